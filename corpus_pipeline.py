@@ -4,16 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylvan.llm import minhash
+from sylvan.llm import minhash, packing, pii, toxicity
 from sylvan.llm.common import stored
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon, taught by the labels, rejects go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near or exact copies stays: that of the smallest id."""
     return minhash.drop_near_duplicates(docs)
 
 
-STAGES = [("near_dedup", near_dedup)]
+def redact_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Private data in the texts give way to their kinds; every document stays."""
+    return pii.redacted(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of whole texts and cut ones, each with the ids and places of its pieces."""
+    return packing.packed(docs)
+
+
+STAGES = [("toxicity", drop_toxic), ("near_dedup", near_dedup), ("pii", redact_private), ("packing", pack)]
 
 #: No stage of the whole can be stated in SQL (a trained sequence model redacts); the tests hold it against brute force.
 ORACLE_SQL = None
