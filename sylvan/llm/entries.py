@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sylvan.llm import bpe, minhash, packing, pii, toxicity
+from sylvan.llm import bpe, html_template, minhash, packing, pii, toxicity, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +16,17 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extracted(table(spark, sf_dir, "pages"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page shows the document whose number its path ends in: the label of that document is the page's outcome."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.try_to_number(F.regexp_extract("url", r"/[a-z]{2}/([0-9]+)", 1), F.lit("999999999999999999")).cast("long").alias("key"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad"))
+    return url_reputation.filtered(pages, labels)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,10 +45,47 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
     "op8_pii": op8_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_url_filter": """
+WITH page AS (
+  SELECT page_id, url, coalesce(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host,
+         try_cast(nullif(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1), '') AS BIGINT) AS key FROM pages),
+named AS (
+  SELECT *, string_split(host, '.') AS p FROM page),
+split AS (
+  SELECT page_id, url, host, key, CASE WHEN len(p) < 2 THEN host ELSE p[-2] || '.' || p[-1] END AS last2,
+         CASE WHEN len(p) < 3 THEN host ELSE p[-3] || '.' || p[-2] || '.' || p[-1] END AS last3, p[-1] AS last1 FROM named),
+part AS (
+  SELECT page_id, url, host, key, CASE WHEN last2 IN (%(suffixes)s) THEN last3 ELSE last2 END AS domain,
+         CASE WHEN last2 IN (%(suffixes)s) THEN last2 ELSE last1 END AS suffix FROM split),
+outcome AS (
+  SELECT doc_id AS key, sum(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad, count(*) AS seen FROM labels
+  WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
+hosts AS (
+  SELECT host, domain, suffix, coalesce(sum(bad), 0)::DOUBLE AS k, coalesce(sum(seen), 0)::DOUBLE AS n
+  FROM part LEFT JOIN outcome USING (key) GROUP BY ALL),
+top AS (SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m FROM hosts WHERE host <> ''),
+s0 AS (SELECT suffix, sum(k) AS k, sum(n) AS n, any_value(m) AS m FROM hosts, top GROUP BY suffix),
+s1 AS (SELECT sum(n * pow(k / n - m, 2) / (m * (1 - m))) AS q, count(*) AS u, sum(n - 1) AS d FROM s0 WHERE n > 0),
+s2 AS (SELECT 1 / (CASE WHEN d > 0 THEN least(greatest((q - u) / d, 0.001::DOUBLE), 0.9::DOUBLE) ELSE 0.001::DOUBLE END) - 1 AS s FROM s1),
+s3 AS (SELECT suffix, (s * m + k) / (s + n) AS mean FROM s0, s2),
+d0 AS (SELECT domain, suffix, sum(k) AS k, sum(n) AS n, any_value(mean) AS m FROM hosts JOIN s3 USING (suffix) GROUP BY domain, suffix),
+d1 AS (SELECT sum(n * pow(k / n - m, 2) / (m * (1 - m))) AS q, count(*) AS u, sum(n - 1) AS d FROM d0 WHERE n > 0),
+d2 AS (SELECT 1 / (CASE WHEN d > 0 THEN least(greatest((q - u) / d, 0.001::DOUBLE), 0.9::DOUBLE) ELSE 0.001::DOUBLE END) - 1 AS s FROM d1),
+d3 AS (SELECT domain, suffix, (s * m + k) / (s + n) AS mean FROM d0, d2),
+h0 AS (SELECT host, k, n, mean AS m FROM hosts JOIN d3 USING (domain, suffix)),
+h1 AS (SELECT sum(n * pow(k / n - m, 2) / (m * (1 - m))) AS q, count(*) AS u, sum(n - 1) AS d FROM h0 WHERE n > 0),
+h2 AS (SELECT 1 / (CASE WHEN d > 0 THEN least(greatest((q - u) / d, 0.001::DOUBLE), 0.9::DOUBLE) ELSE 0.001::DOUBLE END) - 1 AS s FROM h1),
+h3 AS (SELECT host, (s * m + k) / (s + n) AS mean, s + n AS weight FROM h0, h2),
+bound AS (SELECT host, round(mean, 6) AS mean, round(greatest(mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1)), 0.0::DOUBLE), 6) AS lower FROM h3)
+SELECT page_id, url, host, mean, lower, lower <= 0.30::DOUBLE AS kept FROM part JOIN bound USING (host)
+""" % {"suffixes": ", ".join(f"'{x}'" for x in url_reputation.SUFFIXES)},
+}
