@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm import bpe, html_template, minhash, packing, pii, toxicity, url_reputation
+from sylvan.llm import bpe, embed_dedup, html_template, minhash, packing, pii, topk, toxicity, url_reputation
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,15 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxic_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark passage is a query over all documents."""
+    return topk.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.similar_pairs(table(spark, sf_dir, "embeddings"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_documents(table(spark, sf_dir, "documents"))
 
@@ -48,6 +57,8 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
+    "op5_exact_top_k": op5_exact_top_k,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op8_pii": op8_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
@@ -88,4 +99,25 @@ h3 AS (SELECT host, (s * m + k) / (s + n) AS mean, s + n AS weight FROM h0, h2),
 bound AS (SELECT host, round(mean, 6) AS mean, round(greatest(mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1)), 0.0::DOUBLE), 6) AS lower FROM h3)
 SELECT page_id, url, host, mean, lower, lower <= 0.30::DOUBLE AS kept FROM part JOIN bound USING (host)
 """ % {"suffixes": ", ".join(f"'{x}'" for x in url_reputation.SUFFIXES)},
+    "op5_exact_top_k": """
+WITH tok AS (
+  SELECT row_no, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w
+  FROM (SELECT row_number() OVER () AS row_no, doc_id, text FROM documents)),
+tf AS (SELECT row_no, any_value(doc_id) AS doc_id, w, count(*) AS tf FROM tok GROUP BY row_no, w),
+dl AS (SELECT row_no, count(*) AS dl FROM tok GROUP BY row_no),
+size AS (SELECT count(*) AS n, avg(dl) AS mean FROM dl),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+asked AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w FROM benchmark),
+scored AS (
+  SELECT item_id, row_no, any_value(doc_id) AS doc_id,
+         round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / mean))), 6) AS score
+  FROM asked JOIN tf USING (w) JOIN df USING (w) JOIN dl USING (row_no), size GROUP BY item_id, row_no),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scored)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
+    "op6_embedding_near_dedup": """
+SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
+FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
+WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9::DOUBLE
+""",
 }
