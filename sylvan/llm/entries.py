@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sylvan.llm import bpe, embed_dedup, html_template, minhash, packing, pii, topk, toxicity, url_reputation
+from sylvan.llm import bpe, embed_dedup, html_template, minhash, packing, pii, topk, toxicity, url_reputation, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +40,11 @@ def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.similar_pairs(table(spark, sf_dir, "embeddings"))
 
 
+def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as archives without repeated payloads, as read back from the written files."""
+    return warc.deduplicated(table(spark, sf_dir, "pages"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_documents(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_warc_revisits": op7_warc_revisits,
     "op8_pii": op8_pii,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
@@ -119,5 +125,13 @@ SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
 FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
 WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9::DOUBLE
+""",
+    "op7_warc_revisits": """
+WITH page AS (SELECT DISTINCT page_id, url, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_length FROM pages),
+ranked AS (
+  SELECT *, first_value(page_id) OVER w AS original, row_number() OVER w AS place FROM page
+  WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id, url ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT page_id, url, CASE WHEN place = 1 THEN 'response' ELSE 'revisit' END AS warc_type, payload_digest, payload_length,
+       CASE WHEN place > 1 THEN original END AS refers_to FROM ranked
 """,
 }
