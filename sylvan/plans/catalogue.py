@@ -1,10 +1,827 @@
-"""Registered queries over the retrieval operators, with the SQL that states each result."""
+"""Registered queries over the retrieval operators, with the SQL that states each result.
+
+Corpora: ``pages`` and ``documents`` as one node each, ``conversations`` as trees of turns, and the customer tables as a
+deep tree. Every query runs over its whole tables.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from sylvan.config import COMPAT, DOCUMENTED, Config
+from sylvan.functions import text as X
+from sylvan.operators import evaluate, index, score, search, tree, walk
+from sylvan.plans import query as Q
+from sylvan.sources import parsers
+from sylvan.streaming import watch
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+TERMS = "thing worthless onthe"
+
+
+def query(sql: str | None = None):
+    """Register a function under its name, with its SQL."""
+
+    def wrap(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return wrap
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Corpora
+
+
+def doc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("doc_id"), F.lit("n1").alias("node_id"), F.lit(None).cast("string").alias("parent_node_id"), F.lit("").alias("title"), "text", F.lit(1).alias("ord"), F.lit(0).alias("depth"))
+
+
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = t(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), "page_id").alias("doc_id"), F.col("html").alias("text"))
+    return parsers.html_native(pages).withColumns({"node_id": F.lit("n1"), "parent_node_id": F.lit(None).cast("string"), "depth": F.lit(0)})
+
+
+def conv_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.build(parsers.conversations(t(spark, sf_dir, "conversations")))
+
+
+def posts_of(nodes: DataFrame, summary: bool = False) -> tuple[DataFrame, DataFrame]:
+    own = index.fields(nodes, with_summary=summary)
+    return index.postings(own), index.corpus_stats(own)
+
+
+def conv_scores(spark: SparkSession, sf_dir: str, text: str = TERMS) -> tuple[DataFrame, DataFrame]:
+    nodes = conv_nodes(spark, sf_dir)
+    posts, stats = posts_of(nodes)
+    return nodes, score.bm25(posts, stats, Q.plain(text))
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns or ("score",)})
+
+
+SRC, DST = X.FOLD_FROM, X.FOLD_TO
+STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+
+def toks(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(translate(lower({x}), '{SRC}', '{DST}'), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+
+
+def summed(x: str) -> str:
+    flat = lambda y: f"trim(replace({y}, chr(10), ' '))"
+    return f"CASE WHEN length({x}) < 600 THEN {x} ELSE {flat(f'left({x}, 250)')} || ' ... ' || {flat(f'right({x}, 100)')} END"
+
+
+BARE = r"regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g')"
+NODES = {
+    "doc": "nodes AS (SELECT 'doc-' || doc_id AS doc_id, 'n1' AS node_id, '' AS title, text FROM documents)",
+    "page": f"nodes AS (SELECT 'page-' || page_id AS doc_id, 'n1' AS node_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '(?s)<[^>]*>', '', 'g')) AS title, trim(regexp_replace(regexp_replace({BARE}, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages)",
+    "conv": """turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) + 1 AS ord FROM conversations),
+nodes AS (
+  SELECT 'conv-' || conv_id AS doc_id, 1 AS ord, 0 AS depth, substr(md5('conversation ' || conv_id || '#0'), 1, 16) AS node_id, NULL AS parent_node_id, 'conversation ' || conv_id AS title, '' AS text FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT 'conv-' || conv_id, ord, 1, substr(md5('conversation ' || conv_id || '#0/turn ' || turn || ' ' || role || '#0'), 1, 16), substr(md5('conversation ' || conv_id || '#0'), 1, 16), 'turn ' || turn || ' ' || role, text FROM turns)""",
+}
+
+
+def words_sql(corpus: str, summary: bool = False) -> str:
+    cols = [("title", "title"), ("body", "text"), *([("summary", summed("text"))] if summary else [])]
+    parts = "\n  UNION ALL ".join(f"SELECT doc_id, node_id, '{c}' AS col, {toks(x)} AS ws FROM nodes" for c, x in cols)
+    return f"""{NODES[corpus]},
+lists AS ({parts}),
+words AS (SELECT doc_id, node_id, col, u.term AS term, u.pos AS pos FROM lists, unnest(ws) WITH ORDINALITY AS u(term, pos)),
+dl AS (SELECT doc_id, node_id, count(*) AS dl FROM words GROUP BY ALL),
+size AS (SELECT (SELECT count(*) FROM nodes)::DOUBLE AS n, (SELECT count(*) FROM words)::DOUBLE / (SELECT count(*) FROM nodes) AS avgdl)"""
+
+
+def weight_sql(weights: dict[str, float]) -> str:
+    return "CASE col " + " ".join(f"WHEN '{c}' THEN {w}::DOUBLE" for c, w in weights.items()) + " END"
+
+
+def leaves_sql(leaves: dict[str, tuple[str, str]], weights: dict[str, float] = DOCUMENTED) -> str:
+    """CTEs ``part`` (leaf, doc_id, node_id, p): BM25 parts of leaves given as (instances, rows counted for df), both with
+    doc_id, node_id and col."""
+    hits = "\n  UNION ALL ".join(f"SELECT '{k}' AS leaf, doc_id, node_id, col FROM ({inst}) AS x" for k, (inst, _) in leaves.items())
+    dfs = "\n  UNION ALL ".join(f"SELECT '{k}' AS leaf, count(*)::DOUBLE AS df FROM (SELECT DISTINCT doc_id, node_id FROM ({rows}) AS y)" for k, (_, rows) in leaves.items())
+    return f"""hit AS ({hits}),
+dfs AS ({dfs}),
+f AS (SELECT leaf, doc_id, node_id, sum({weight_sql(weights)}) AS f FROM hit GROUP BY ALL),
+part AS (SELECT leaf, doc_id, node_id, greatest(1e-6::DOUBLE, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS p
+  FROM f JOIN dfs USING (leaf) JOIN dl USING (doc_id, node_id), size)"""
+
+
+def term_leaf(term: str, column: str | None = None) -> tuple[str, str]:
+    own = f"SELECT doc_id, node_id, col FROM words WHERE term = '{term}'" + (f" AND col = '{column}'" if column else "")
+    return own, own
+
+
+def plain_leaves(text: str) -> dict[str, tuple[str, str]]:
+    return {w: term_leaf(w) for w in text.split()}
+
+
+RAW = "raw AS (SELECT doc_id, node_id, sum(p) AS score FROM part GROUP BY ALL)"
+
+
+def scored_sql(corpus: str, text: str = TERMS, weights: dict[str, float] = DOCUMENTED, summary: bool = False) -> str:
+    return f"WITH {words_sql(corpus, summary)},\n{leaves_sql(plain_leaves(text), weights)},\n{RAW}"
+
+
+CONV = scored_sql("conv")
+NORM = "norm AS (SELECT doc_id, node_id, CASE WHEN max(score) OVER (PARTITION BY doc_id) > 0 THEN score / max(score) OVER (PARTITION BY doc_id) ELSE 0 END AS score FROM raw)"
+PROP = """up AS (SELECT doc_id, parent_node_id AS node_id, 0.6::DOUBLE * max(score) AS score FROM norm JOIN nodes USING (doc_id, node_id) WHERE parent_node_id IS NOT NULL GROUP BY ALL),
+total AS (SELECT doc_id, node_id, sum(score) AS score FROM (SELECT * FROM norm UNION ALL SELECT * FROM up) GROUP BY ALL),
+prop AS (SELECT doc_id, node_id, round(score / greatest(max(score) OVER (PARTITION BY doc_id), 1.0::DOUBLE), 6) AS score FROM total)"""
+ROUTED = "routed AS (SELECT doc_id, max(score) AS best, row_number() OVER (ORDER BY max(score) DESC, doc_id) AS doc_rank FROM raw GROUP BY doc_id QUALIFY doc_rank <= 3)"
+PICKED = f"""{CONV}, {ROUTED},
+chosen AS (SELECT raw.* FROM raw JOIN routed USING (doc_id)),
+{NORM.replace("FROM raw", "FROM chosen")}, {PROP},
+top AS (SELECT doc_id, node_id, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, node_id) AS node_rank FROM prop QUALIFY node_rank <= 5)"""
+
+
+# Tokens and fields
+
+
+@query(f"SELECT w AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({toks('text')}) AS w FROM documents) GROUP BY w")
+def tok_vocab(spark, sf_dir):
+    return index.term_stats(posts_of(doc_nodes(spark, sf_dir))[0])
+
+
+@query(f"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM documents) WHERE length(w) >= 2 AND w NOT IN ({STOPS}) GROUP BY w")
+def tok_stop(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select(F.explode(X.search_tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, len(regexp_extract_all(x, '.')) AS n, array_to_string(list_transform(range(1, greatest(length(x), 2)), lambda i: substr(x, i, 2)), ' ') AS bigrams FROM (SELECT event_id, translate(event_type, 'clikverowpuhas', '一丁七万三上下不与丐丑专且世') AS x FROM events) WHERE x SIMILAR TO '[一-鿿]+'")
+def cjk_bigrams(spark, sf_dir):
+    x = F.translate("event_type", "clikverowpuhas", "一丁七万三上下不与丐丑专且世")
+    rows = t(spark, sf_dir, "events").select("event_id", x.alias("x")).where(F.col("x").rlike("^[一-鿿]+$"))
+    return rows.select("event_id", F.length("x").cast("long").alias("n"), F.array_join(X.cjk_tokens(F.col("x")), " ").alias("bigrams"))
+
+
+@query("""SELECT doc_id, lang AS front_matter, left(text, 40) AS code_blocks, md5(regexp_replace(regexp_replace('# H' || chr(10) || chr(10) || chr(10) || chr(10) || substr(text, 41), '\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) AS body FROM documents""")
+def md_fields(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    md = F.concat(F.lit("---\n"), "lang", F.lit("\n---\n```py\n"), F.substring("text", 1, 40), F.lit("```# H\n\n\n\n"), F.substring("text", 41, 10**9))
+    return d.select("doc_id", *X.md_fields(md)).withColumn("body", F.md5("body"))
+
+
+@query(f"SELECT doc_id, {summed('text')} AS summary FROM documents")
+def summary_rule(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", X.summary(F.col("text")).alias("summary"))
+
+
+@query(f"WITH {NODES['conv']} SELECT doc_id, concat_ws('. ', string_agg(title, ' > ' ORDER BY ord) FILTER (ord <= 5), substr(min_by(text, ord) FILTER (length(text) > 20), 1, 200)) AS description FROM nodes GROUP BY doc_id")
+def doc_description(spark, sf_dir):
+    return tree.description(conv_nodes(spark, sf_dir))
+
+
+@query("SELECT event_id, CASE WHEN value > 50 THEN 'code' WHEN event_type = 'view' THEN 'markdown' ELSE 'text' END AS source_type FROM events")
+def source_types(spark, sf_dir):
+    ext = F.when(F.col("value") > 50, ".PY").when(F.col("event_type") == "view", ".md").otherwise(".unknown")
+    return t(spark, sf_dir, "events").select("event_id", parsers.source_type(ext).alias("source_type"))
+
+
+# Parsers
+
+
+@query(r"""WITH l AS (SELECT doc_id, i AS line, trim(raw, e' \t\n\r') AS raw FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(raw, i)),
+n AS (SELECT *, lag(raw) OVER w AS p, lead(raw) OVER w AS q FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line)),
+h AS (SELECT doc_id, line, raw AS title, CASE
+  WHEN raw = '' THEN NULL
+  WHEN regexp_matches(raw, '^(?:\d+\.)+\d*\s+[A-Za-z]') AND length(raw) < 80 THEN len(string_split(regexp_replace(regexp_extract(raw, '^((?:\d+\.)+\d*)', 1), '\.$', ''), '.'))
+  WHEN regexp_matches(raw, '^\(?\d+\)\s+.+$') THEN 2
+  WHEN regexp_matches(raw, '^(?:XX|X?(?:IX|IV|V?I{1,3}|V)|X)\.\s+.+$') THEN 1
+  WHEN regexp_matches(raw, '^[A-Z][.)]\s+.+$') AND length(raw) < 60 THEN 2
+  WHEN regexp_matches(raw, '^[A-Z][A-Z\s\-:,&/]{2,}$') AND length(raw) < 80 AND (coalesce(p, '') = '' OR coalesce(q, '') = '') THEN 1 END::BIGINT AS level FROM n)
+SELECT doc_id, line, title, level FROM h WHERE level IS NOT NULL""")
+def text_headings(spark, sf_dir):
+    rows = parsers.text_headings(t(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.where("level is not null").select("doc_id", F.col("line").cast("long").alias("line"), "title", F.col("level").cast("long").alias("level"))
+
+
+@query("""WITH l AS (SELECT doc_id, i AS line, raw FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(raw, i)),
+s AS (SELECT *, sum(CASE WHEN (line - 1) % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS scope FROM l)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY scope) AS ord, min_by(raw, line) AS title, md5(regexp_replace(string_agg(raw, chr(10) ORDER BY line), '^\\s+|\\s+$', '', 'g')) AS text, min(line) AS line_start, max(line) AS line_end FROM s GROUP BY doc_id, scope""")
+def line_nodes(spark, sf_dir):
+    rows = parsers.lines(t(spark, sf_dir, "documents").select("doc_id", "text"))
+    head = (F.col("line") - 1) % 3 == 0
+    out = parsers.cut(rows.withColumns({"level": F.when(head, 1), "title": F.when(head, F.col("raw"))}))
+    return out.select("doc_id", F.col("ord").cast("long").alias("ord"), "title", F.md5("text").alias("text"), F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
+
+
+@query("""WITH s AS (SELECT doc_id, trim(p) AS p, i FROM documents, unnest(regexp_split_to_array(replace(text, '. ', '.' || chr(10) || chr(10)), '\n\\s*\n')) WITH ORDINALITY AS u(p, i))
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ord, left(string_split(p, chr(10))[1], 80) AS title, md5(p) AS text FROM s WHERE p <> ''""")
+def paragraph_nodes(spark, sf_dir):
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
+    return parsers.paragraphs(docs).select("doc_id", F.col("ord").cast("long").alias("ord"), "title", F.md5("text").alias("text"))
+
+
+@query(f"WITH {NODES['page']} SELECT doc_id, title, md5(text) AS text FROM nodes")
+def html_nodes(spark, sf_dir):
+    return page_nodes(spark, sf_dir).select("doc_id", "title", F.md5("text").alias("text"))
+
+
+@query("SELECT 'event-' || event_id AS doc_id, 'event_type: ' || event_type AS title, 'event_type: ' || event_type || chr(10) || 'user_id: ' || user_id AS text FROM events UNION ALL SELECT 'event-' || event_id, 'record[0].props.k', 'k: ' || json_extract_string(props, '$.k') FROM events")
+def jsonl_nodes(spark, sf_dir):
+    """Events as JSON lines with an object below them, through the parser of whole files."""
+    line = F.concat(F.lit('{"event_type": "'), "event_type", F.lit('", "user_id": '), F.col("user_id").cast("string"), F.lit(', "props": '), "props", F.lit("}\nnot json\n"))
+    docs = t(spark, sf_dir, "events").select(F.concat(F.lit("event-"), "event_id").alias("doc_id"), line.alias("text"))
+    return parsers.files(docs, parsers.jsonl_flat).select("doc_id", "title", "text")
+
+
+@query("""SELECT 1::BIGINT AS ord, 'customer' AS title, 'Columns: c_custkey, c_name, c_mktsegment' AS text UNION ALL
+SELECT row_number() OVER (ORDER BY c_custkey) + 1, left(x, 80), x FROM (SELECT c_custkey, 'c_custkey: ' || c_custkey || '; c_name: ' || c_name || '; c_mktsegment: ' || c_mktsegment AS x FROM customer)""")
+def csv_nodes(spark, sf_dir):
+    rows = parsers.table_rows(t(spark, sf_dir, "customer"), "customer", "c_custkey", ["c_custkey", "c_name", "c_mktsegment"])
+    return rows.select(F.col("ord").cast("long").alias("ord"), "title", "text")
+
+
+# Trees
+
+
+def sales_flat(spark, sf_dir) -> DataFrame:
+    """Customers, their orders and the orders' lines as one sequence of levels a nation."""
+    c, o, l = (t(spark, sf_dir, x) for x in ("customer", "orders", "lineitem"))
+    doc = F.col("c_nationkey").alias("doc_id")
+    no = F.lit(-1).cast("long")
+    a = c.select(doc, F.lit(1).alias("level"), F.col("c_custkey").alias("k1"), no.alias("k2"), no.alias("k3"))
+    b = o.join(c, o.o_custkey == c.c_custkey).select(doc, F.lit(2).alias("level"), F.col("c_custkey").alias("k1"), F.col("o_orderkey").alias("k2"), no.alias("k3"))
+    d = l.join(o, l.l_orderkey == o.o_orderkey).join(c, o.o_custkey == c.c_custkey).groupBy(doc, "c_custkey", "o_orderkey", "l_linenumber").agg(F.lit(3).alias("level")).select("doc_id", "level", F.col("c_custkey").alias("k1"), F.col("o_orderkey").alias("k2"), F.col("l_linenumber").cast("long").alias("k3"))
+    rows = a.unionByName(b).unionByName(d)
+    return rows.withColumn("ord", F.row_number().over(W.partitionBy("doc_id").orderBy("k1", "k2", "k3")))
+
+
+SALES = """seq AS (SELECT c_nationkey AS doc_id, 1 AS level, c_custkey AS k1, -1 AS k2, -1 AS k3 FROM customer
+  UNION ALL SELECT c_nationkey, 2, c_custkey, o_orderkey, -1 FROM orders JOIN customer ON o_custkey = c_custkey
+  UNION ALL SELECT DISTINCT c_nationkey, 3, c_custkey, o_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey),
+flat AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k1, k2, k3) AS ord FROM seq),
+tree AS (SELECT a.doc_id, a.ord, a.level, CASE a.level WHEN 2 THEN c.ord WHEN 3 THEN o.ord END AS parent_ord, c.ord AS root, o.ord AS mid
+  FROM flat a JOIN flat c ON c.doc_id = a.doc_id AND c.k1 = a.k1 AND c.k2 = -1 LEFT JOIN flat o ON o.doc_id = a.doc_id AND o.k1 = a.k1 AND o.k2 = a.k2 AND o.k3 = -1 AND a.level >= 2)"""
+
+
+@query(f"WITH {SALES} SELECT doc_id, ord, level::BIGINT AS level, parent_ord, (level - 1)::BIGINT AS depth FROM tree")
+def tree_levels(spark, sf_dir):
+    out = tree.with_parents(sales_flat(spark, sf_dir))
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("ord", "level", "parent_ord", "depth")])
+
+
+@query(f"WITH {SALES} SELECT doc_id, ord, CASE level WHEN 1 THEN ord::VARCHAR WHEN 2 THEN root || '/' || ord ELSE root || '/' || mid || '/' || ord END AS path FROM tree")
+def tree_paths(spark, sf_dir):
+    return tree.with_parents(sales_flat(spark, sf_dir)).select("doc_id", F.col("ord").cast("long").alias("ord"), F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+
+
+@query(f"WITH {SALES} SELECT doc_id, root, count(*) AS nodes, sum(ord)::BIGINT AS ords FROM tree GROUP BY doc_id, root")
+def tree_subtree(spark, sf_dir):
+    nodes = tree.with_parents(sales_flat(spark, sf_dir))
+    return tree.subtree(nodes, nodes.where("level = 1")).groupBy("doc_id", F.col("root").cast("long").alias("root")).agg(F.count("*").alias("nodes"), F.sum("ord").alias("ords"))
+
+
+@query(f"WITH {SALES} SELECT doc_id, count(*) AS leaves FROM tree a WHERE NOT EXISTS (SELECT 1 FROM tree b WHERE b.doc_id = a.doc_id AND b.parent_ord = a.ord) GROUP BY doc_id")
+def tree_leaves(spark, sf_dir):
+    return tree.leaves(tree.with_parents(sales_flat(spark, sf_dir))).groupBy("doc_id").agg(F.count("*").alias("leaves"))
+
+
+@query(f"WITH {NODES['conv']} SELECT a.doc_id, a.ord, b.ord AS sibling FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.parent_node_id = b.parent_node_id AND a.ord <> b.ord")
+def tree_siblings(spark, sf_dir):
+    return tree.siblings(conv_nodes(spark, sf_dir)).select("doc_id", F.col("ord").cast("long").alias("ord"), F.col("sibling").cast("long").alias("sibling"))
+
+
+@query(f"WITH {NODES['conv']} SELECT doc_id, ord, node_id, parent_node_id FROM nodes")
+def node_ids(spark, sf_dir):
+    return conv_nodes(spark, sf_dir).select("doc_id", F.col("ord").cast("long").alias("ord"), "node_id", "parent_node_id")
+
+
+@query(f"WITH {NODES['conv']} SELECT doc_id, ord, title AS titles FROM (SELECT b.doc_id, b.ord, a.title FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.node_id = b.parent_node_id)")
+def tree_ancestors(spark, sf_dir):
+    return tree.ancestors(conv_nodes(spark, sf_dir)).select("doc_id", F.col("ord").cast("long").alias("ord"), "titles")
+
+
+@query(f"WITH {NODES['conv']} SELECT doc_id, ord, CASE WHEN depth = 1 THEN length(text) ELSE (SELECT sum(length(b.text)) + sum(CASE WHEN b.text <> '' THEN 1 ELSE 0 END) FROM nodes b WHERE b.doc_id = a.doc_id) END::BIGINT AS chars FROM nodes a")
+def tree_chars(spark, sf_dir):
+    return tree.subtree_chars(conv_nodes(spark, sf_dir)).select("doc_id", F.col("ord").cast("long").alias("ord"), "chars")
+
+
+@query(f"WITH {NODES['conv']} SELECT doc_id, ord, repeat('  ', depth) || title AS line FROM nodes")
+def tree_toc(spark, sf_dir):
+    return tree.toc(conv_nodes(spark, sf_dir)).select("doc_id", F.col("ord").cast("long").alias("ord"), "line")
+
+
+@query("SELECT doc_id, p + 1 AS part, md5(substr(text, p * 8000 + 1, 8000)) AS piece FROM (SELECT doc_id, text, unnest(range(greatest(ceil(length(text) / 8000.0), 1)::BIGINT)) AS p FROM documents)")
+def split_hard(spark, sf_dir):
+    return tree.hard_split(t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("part").cast("long").alias("part"), F.md5("piece").alias("piece"))
+
+
+# Matching
+
+
+def matched(spark, sf_dir, expression: str) -> DataFrame:
+    posts, stats = posts_of(page_nodes(spark, sf_dir))
+    return rounded(score.bm25(posts, stats, Q.parse(expression))).select("doc_id", "score")
+
+
+def match_sql(leaves: dict[str, tuple[str, str]], where: str, counted: list[str] | None = None, weights=DOCUMENTED) -> str:
+    cols = ", ".join(f"max(CASE WHEN leaf = '{k}' THEN p END) AS {k}" for k in leaves)
+    total = " + ".join(f"coalesce({k}, 0)" for k in counted or leaves)
+    return f"WITH {words_sql('page')},\n{leaves_sql(leaves, weights)},\nwide AS (SELECT doc_id, node_id, {cols} FROM part GROUP BY ALL)\nSELECT doc_id, round({total}, 6) AS score FROM wide WHERE {where}"
+
+
+A, B_, C = term_leaf("thing"), term_leaf("tion"), term_leaf("nicht")
+
+
+@query(match_sql({"a": A, "b": B_}, "a IS NOT NULL AND b IS NOT NULL"))
+def match_and(spark, sf_dir):
+    return matched(spark, sf_dir, "thing AND tion")
+
+
+@query(match_sql({"a": A, "c": C}, "a IS NOT NULL OR c IS NOT NULL"))
+def match_or(spark, sf_dir):
+    return matched(spark, sf_dir, "thing OR nicht")
+
+
+@query(match_sql({"a": A, "b": B_}, "a IS NOT NULL AND b IS NULL", ["a"]))
+def match_not(spark, sf_dir):
+    return matched(spark, sf_dir, "thing NOT tion")
+
+
+PREFIX = "SELECT doc_id, node_id, col FROM words WHERE starts_with(term, 'thing')"
+
+
+@query(match_sql({"a": (PREFIX, PREFIX)}, "a IS NOT NULL"))
+def match_prefix(spark, sf_dir):
+    return matched(spark, sf_dir, "thing*")
+
+
+PHRASE = "SELECT x.doc_id, x.node_id, x.col FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.node_id = y.node_id AND x.col = y.col AND y.pos = x.pos + 1 WHERE x.term = 'the' AND y.term = 'thing'"
+
+
+@query(match_sql({"a": (PHRASE, PHRASE)}, "a IS NOT NULL"))
+def match_phrase(spark, sf_dir):
+    return matched(spark, sf_dir, '"the thing"')
+
+
+def near_leaf(a: str, b: str, n: int) -> tuple[str, str]:
+    return f"SELECT DISTINCT x.doc_id, x.node_id, x.col, x.pos FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.node_id = y.node_id AND x.col = y.col AND x.pos <> y.pos AND abs(x.pos - y.pos) <= {n + 1} WHERE x.term = '{a}' AND y.term = '{b}'", f"SELECT doc_id, node_id FROM words WHERE term = '{a}'"
+
+
+@query(match_sql({"a": near_leaf("thing", "that", 5), "b": near_leaf("that", "thing", 5)}, "a IS NOT NULL AND b IS NOT NULL"))
+def match_near(spark, sf_dir):
+    return matched(spark, sf_dir, "NEAR(thing that, 5)")
+
+
+@query(match_sql({"a": term_leaf("the", "title"), "b": term_leaf("of", "title")}, "a IS NOT NULL OR b IS NOT NULL"))
+def match_column(spark, sf_dir):
+    return matched(spark, sf_dir, "title : (the OR of)")
+
+
+# Scoring
+
+
+def top_sql(corpus: str, weights=DOCUMENTED, summary=False, k=20) -> str:
+    return scored_sql(corpus, "thing trash nicht", weights, summary) + f" SELECT doc_id, rank, round(score, 6) AS score FROM (SELECT doc_id, score, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM raw) WHERE rank <= {k}"
+
+
+def top(spark, sf_dir, nodes: DataFrame, weights=DOCUMENTED, summary=False, k=20) -> DataFrame:
+    posts, stats = posts_of(nodes, summary)
+    got = score.bm25(posts, stats, Q.plain("thing trash nicht"), weights)
+    best = got.orderBy(F.desc(F.round("score", 9)), "doc_id").limit(k)
+    return rounded(best.withColumn("rank", F.row_number().over(W.orderBy(F.desc(F.round("score", 9)), "doc_id")).cast("long"))).select("doc_id", "rank", "score")
+
+
+@query(top_sql("page"))
+def bm25_top(spark, sf_dir):
+    return top(spark, sf_dir, page_nodes(spark, sf_dir))
+
+
+@query(top_sql("doc", summary=True))
+def bm25_columns(spark, sf_dir):
+    return top(spark, sf_dir, doc_nodes(spark, sf_dir), summary=True)
+
+
+@query(top_sql("page", COMPAT, True))
+def bm25_compat(spark, sf_dir):
+    return top(spark, sf_dir, page_nodes(spark, sf_dir), COMPAT, True)
+
+
+LIKE = "(CASE WHEN contains(lower(title), '{0}') THEN 5.0::DOUBLE ELSE 0 END + CASE WHEN contains(lower(text), '{0}') THEN 10.0::DOUBLE ELSE 0 END)"
+
+
+@query(f"WITH {NODES['page']} SELECT doc_id, score FROM (SELECT doc_id, {LIKE.format('thing')} + {LIKE.format('nicht')} AS score FROM nodes) WHERE score > 0")
+def like_score(spark, sf_dir):
+    nodes = page_nodes(spark, sf_dir).withColumnRenamed("text", "body")
+    return score.like(nodes, ["thing", "nicht"]).select("doc_id", "score")
+
+
+@query(f"WITH {NODES['doc']} SELECT doc_id, 1.0::DOUBLE AS score FROM nodes WHERE contains(lower(text), 'of the')")
+def grep_literal(spark, sf_dir):
+    return score.grep(doc_nodes(spark, sf_dir), "of the").select("doc_id", "score")
+
+
+@query(f"WITH {NODES['doc']} SELECT doc_id, 1.0::DOUBLE AS score FROM nodes WHERE regexp_matches(text, '(?i)th(ing|at)\\s+is')")
+def grep_regex(spark, sf_dir):
+    return score.grep(doc_nodes(spark, sf_dir), r"th(ing|at)\s+is", regex=True).select("doc_id", "score")
+
+
+@query("""WITH l AS (SELECT doc_id, i AS line, raw FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(raw, i)),
+n AS (SELECT doc_id, (line - 1) // 3 AS node, count(*) AS n FROM l WHERE regexp_matches(raw, '(?i)thing') GROUP BY ALL)
+SELECT doc_id, (node + 1)::BIGINT AS ord, round(n::DOUBLE / max(n) OVER (PARTITION BY doc_id), 6) AS score FROM n""")
+def grep_lines(spark, sf_dir):
+    """Lines hit, counted by nodes of three lines each."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = parsers.lines(docs)
+    nodes = rows.groupBy("doc_id", F.floor((F.col("line") - 1) / 3).alias("i")).agg(F.min("line").alias("line_start"), F.max("line").alias("line_end")).withColumn("node_id", F.col("i") + 1)
+    return rounded(score.grep_lines(rows, nodes, "thing")).select("doc_id", F.col("node_id").cast("long").alias("ord"), "score")
+
+
+@query(f"WITH {NODES['conv']}, n AS (SELECT doc_id, ord, len(regexp_extract_all(text, '(?i)th(ing|at)')) AS n FROM nodes) SELECT doc_id, ord, round(n::DOUBLE / max(n) OVER (PARTITION BY doc_id), 6) AS score FROM n WHERE n > 0")
+def grep_count(spark, sf_dir):
+    nodes = conv_nodes(spark, sf_dir)
+    return rounded(score.grep_count(nodes, "th(ing|at)").join(nodes.select("doc_id", "node_id", F.col("ord").cast("long").alias("ord")), ["doc_id", "node_id"])).select("doc_id", "ord", "score")
+
+
+@query(f"{CONV} SELECT doc_id, node_id, round(sum(score), 6) AS score FROM (SELECT * FROM raw UNION ALL SELECT doc_id, node_id, 1.0::DOUBLE FROM nodes WHERE contains(lower(title), 'thing') OR contains(lower(text), 'thing')) GROUP BY ALL")
+def combined_score(spark, sf_dir):
+    nodes, raw = conv_scores(spark, sf_dir)
+    return rounded(score.combined(raw, score.grep(nodes.drop("summary"), "thing")))
+
+
+@query(f"{CONV}, {NORM} SELECT doc_id, node_id, round(score, 6) AS score FROM norm")
+def norm_scores(spark, sf_dir):
+    return rounded(score.normalised(conv_scores(spark, sf_dir)[1]))
+
+
+@query(f"{CONV}, {NORM}, {PROP} SELECT doc_id, node_id, score FROM prop")
+def propagate_scores(spark, sf_dir):
+    nodes, raw = conv_scores(spark, sf_dir)
+    return score.propagated(score.normalised(raw), nodes)
+
+
+@query(f"{CONV}, {ROUTED} SELECT doc_id, round(best, 6) AS best, doc_rank FROM routed")
+def route_docs(spark, sf_dir):
+    return rounded(score.routed(conv_scores(spark, sf_dir)[1]).withColumn("doc_rank", F.col("doc_rank").cast("long")), "best")
+
+
+@query(f"{CONV}, best AS (SELECT * FROM raw ORDER BY score DESC, doc_id, node_id LIMIT 200) SELECT doc_id, count(*) AS hit_count, round(max(score), 6) AS best_score, round(avg(score), 6) AS avg_score FROM best GROUP BY doc_id ORDER BY max(score) DESC, doc_id LIMIT 20")
+def doc_aggregate(spark, sf_dir):
+    return rounded(score.doc_aggregate(conv_scores(spark, sf_dir)[1]), "best_score", "avg_score")
+
+
+@query(f"{scored_sql('page', 'the thing')}, ph AS (SELECT DISTINCT doc_id FROM ({PHRASE})), best AS (SELECT doc_id, score FROM raw ORDER BY round(score, 9) DESC, doc_id LIMIT 20) SELECT doc_id, round(CASE WHEN ph.doc_id IS NULL THEN score ELSE score * 1.5::DOUBLE END, 6) AS score FROM best LEFT JOIN ph USING (doc_id)")
+def phrase_boost(spark, sf_dir):
+    posts, stats = posts_of(page_nodes(spark, sf_dir))
+    best = score.bm25(posts, stats, Q.plain("the thing")).orderBy(F.desc(F.round("score", 9)), "doc_id").limit(20)
+    return rounded(score.phrase_boosted(best, score.bm25(posts, stats, Q.parse('"the thing"')))).select("doc_id", "score")
+
+
+def _propagated(spark, sf_dir):
+    nodes, raw = conv_scores(spark, sf_dir)
+    docs = score.routed(raw)
+    return nodes, docs, score.propagated(score.normalised(raw.join(docs, "doc_id", "left_semi")), nodes)
+
+
+@query(f"{PICKED} SELECT doc_id, node_id, score, node_rank FROM top")
+def top_nodes_per_doc(spark, sf_dir):
+    return search.top_nodes(_propagated(spark, sf_dir)[2], 5).withColumn("node_rank", F.col("node_rank").cast("long"))
+
+
+@query(f"{PICKED} SELECT doc_id, node_id, score, row_number() OVER (ORDER BY score DESC, doc_id, node_id) AS rank FROM top")
+def merge_global(spark, sf_dir):
+    _, docs, scores = _propagated(spark, sf_dir)
+    return search.merged(search.top_nodes(scores, 5), docs, "global_score").select("doc_id", "node_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"{PICKED} SELECT doc_id, node_id, score, row_number() OVER (ORDER BY doc_rank, score DESC, node_id) AS rank FROM top JOIN routed USING (doc_id)")
+def merge_per_doc(spark, sf_dir):
+    _, docs, scores = _propagated(spark, sf_dir)
+    return search.merged(search.top_nodes(scores, 5), docs, "per_doc").select("doc_id", "node_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("""WITH RECURSIVE r AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rank, count(*) OVER (PARTITION BY lang) AS n, length(text) AS len FROM documents),
+b AS (SELECT lang, 0::BIGINT AS rank, 32000::BIGINT AS remaining, 0::BIGINT AS chars FROM (SELECT DISTINCT lang FROM documents)
+  UNION ALL SELECT r.lang, r.rank, b.remaining - least(r.len, CASE WHEN b.remaining > 0 THEN greatest(b.remaining // (r.n - r.rank + 1), 1) ELSE 0 END), least(r.len, CASE WHEN b.remaining > 0 THEN greatest(b.remaining // (r.n - r.rank + 1), 1) ELSE 0 END) FROM b JOIN r ON r.lang = b.lang AND r.rank = b.rank + 1)
+SELECT lang, rank, chars FROM b WHERE rank > 0""")
+def char_budget(spark, sf_dir):
+    rows = t(spark, sf_dir, "documents").select("lang", F.row_number().over(W.partitionBy("lang").orderBy("doc_id")).alias("rank"), "text")
+    return search.budgeted(rows, 32_000, "lang").select("lang", F.col("rank").cast("long").alias("rank"), F.length("text").cast("long").alias("chars"))
+
+
+@query(f"WITH {NODES['conv']}, d AS (SELECT doc_id, CASE WHEN right(doc_id, 1) IN ('0', '3', '6', '8') THEN 'markdown' ELSE 'text' END AS kind, max(depth) AS deep FROM nodes GROUP BY doc_id) SELECT round(avg(CASE WHEN kind = 'markdown' AND deep >= 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS share, CASE WHEN avg(CASE WHEN kind = 'markdown' AND deep >= 1 THEN 1.0::DOUBLE ELSE 0 END) >= 0.30::DOUBLE THEN 'tree' ELSE 'flat' END AS mode FROM d")
+def auto_mode(spark, sf_dir):
+    nodes = conv_nodes(spark, sf_dir)
+    docs = nodes.select("doc_id").distinct().withColumn("source_type", F.when(F.right("doc_id", F.lit(1)).isin("0", "3", "6", "8"), "markdown").otherwise("text"))
+    return rounded(search.auto_mode(nodes, docs), "share")
+
+
+@query(f"SELECT item_id, array_to_string(list_distinct_ordered, ' ') AS terms FROM (SELECT item_id, list(w ORDER BY i) AS list_distinct_ordered FROM (SELECT item_id, w, min(i) AS i FROM (SELECT item_id, lower(w) AS w, i FROM benchmark, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) WITH ORDINALITY AS u(w, i)) WHERE length(w) >= 2 AND w NOT IN ({STOPS}) GROUP BY item_id, w) GROUP BY item_id)")
+def query_plan_batch(spark, sf_dir):
+    return t(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.array_distinct(X.search_tokens(F.col("text"))), " ").alias("terms"))
+
+
+PLAN = Q.query_plan("the worthless thing onthe")
+TERM_LIST = "['worthless', 'thing', 'onthe']"
+
+
+def overlap_sql(x: str) -> str:
+    return f"(len(list_filter({TERM_LIST}, lambda q: contains(lower({x}), q)))::DOUBLE / 3)"
+
+
+@query(f"WITH {NODES['conv']} SELECT doc_id, node_id, round({overlap_sql('text')}, 6) AS overlap FROM nodes")
+def term_overlap(spark, sf_dir):
+    terms = F.array(*[F.lit(w) for w in PLAN.terms])
+    return conv_nodes(spark, sf_dir).select("doc_id", "node_id", F.round(X.overlap(F.col("text"), terms), 6).alias("overlap"))
+
+
+@query(f"WITH {NODES['conv']}, x AS (SELECT doc_id, unnest({TERM_LIST}) AS term, lower(title || ' ' || text) AS low FROM nodes) SELECT doc_id, term, round(ln((count(*) + 1)::DOUBLE / (sum(CASE WHEN contains(low, term) THEN 1 ELSE 0 END) + 1)) + 1, 6) AS idf FROM x GROUP BY ALL")
+def doc_idf(spark, sf_dir):
+    return rounded(score.term_idf(conv_nodes(spark, sf_dir), PLAN.terms), "idf")
+
+
+WHOLE = "(title || ' ' || text)"
+ANCHOR = f"""{CONV}, {NORM},
+tree AS (SELECT n.*, coalesce(s.score, 0)::DOUBLE AS fts FROM nodes n LEFT JOIN norm s USING (doc_id, node_id)),
+anchor AS (SELECT *, least(greatest(fts + 0.15::DOUBLE * CASE WHEN len(list_filter({TERM_LIST}, lambda q: contains(lower(title), q))) > 0 THEN 1 ELSE 0 END + 0.07::DOUBLE * CASE WHEN contains(lower({WHOLE}), 'the worthless thing onthe') THEN 1 ELSE 0 END + 0.10::DOUBLE * {overlap_sql(WHOLE)} - 0.10::DOUBLE * least(depth / 6.0::DOUBLE, 1.0::DOUBLE), 0), 1) AS anchor FROM tree)"""
+
+
+def conv_tree(spark, sf_dir):
+    nodes, raw = conv_scores(spark, sf_dir)
+    return walk.scored_tree(nodes, score.normalised(raw))
+
+
+@query(f"{ANCHOR} SELECT doc_id, node_id, round(anchor, 6) AS score FROM anchor")
+def score_anchor(spark, sf_dir):
+    return conv_tree(spark, sf_dir).select("doc_id", "node_id", F.round(walk.anchor_score(PLAN), 6).alias("score"))
+
+
+@query(f"{ANCHOR}, cut AS (SELECT *, rank() OVER (PARTITION BY doc_id ORDER BY fts DESC) AS r FROM anchor WHERE fts > 0 QUALIFY r <= 15), few AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY anchor DESC, ord) AS k FROM cut) SELECT doc_id, node_id, round(anchor, 6) AS score, k AS anchor_rank FROM few WHERE k <= 5")
+def anchors(spark, sf_dir):
+    return walk.anchors(conv_tree(spark, sf_dir), PLAN).select("doc_id", "node_id", F.round("anchor", 6).alias("score"), F.col("anchor_rank").cast("long").alias("anchor_rank"))
+
+
+@query()
+def tree_walk(spark, sf_dir):
+    """The states of best-first walks over all conversations with an anchor."""
+    trees = conv_tree(spark, sf_dir)
+    return rounded(walk.walk(trees, walk.anchors(trees, PLAN), PLAN)).select("doc_id", "node_id", "score", "hop", "step")
+
+
+@query()
+def tree_search_paths(spark, sf_dir):
+    nodes, docs, scores = _propagated(spark, sf_dir)
+    trees = walk.scored_tree(nodes.join(docs, "doc_id", "left_semi"), scores)
+    states = walk.walk(trees, walk.anchors(trees, PLAN), PLAN)
+    out = walk.paths(states, trees, PLAN)
+    return out.select("doc_id", "score", "root_node_id", "target_node_id", F.array_join(F.transform("path", lambda p: p["title"]), " > ").alias("path"))
+
+
+@query()
+def tree_search_nodes(spark, sf_dir):
+    """Tree mode over the routed conversations: walk, re-ranking, the best nodes."""
+    nodes, docs, scores = _propagated(spark, sf_dir)
+    trees = walk.scored_tree(nodes.join(docs, "doc_id", "left_semi"), scores)
+    states = walk.walk(trees, walk.anchors(trees, PLAN), PLAN)
+    return walk.reranked(trees, states, PLAN, 3).select("doc_id", "node_id", "score")
+
+
+# Re-ranking stages, each over titles that exercise it
+
+TREE = f"{CONV}, {NORM}, tree AS (SELECT n.doc_id, n.node_id, n.parent_node_id, n.ord, n.depth, n.text, CASE WHEN n.ord % 4 = 2 THEN 'Overview ::: part' WHEN n.depth = 0 THEN 'turn' ELSE n.title END AS title, coalesce(s.score, 0)::DOUBLE AS fts, coalesce(s.score, 0)::DOUBLE AS score, n.depth = 1 AS leaf FROM nodes n LEFT JOIN norm s USING (doc_id, node_id))"
+
+
+def stage_tree(spark, sf_dir):
+    title = F.when(F.col("ord") % 4 == 2, "Overview ::: part").when(F.col("depth") == 0, "turn").otherwise(F.col("title"))
+    return conv_tree(spark, sf_dir).withColumn("title", title)
+
+
+def staged(df: DataFrame) -> DataFrame:
+    return rounded(df).select("doc_id", "node_id", "score")
+
+
+@query(f"{TREE} SELECT doc_id, node_id, round(CASE WHEN depth = 1 AND title = 'Overview ::: part' THEN score * 0.70::DOUBLE ELSE score END, 6) AS score FROM tree")
+def rerank_generic(spark, sf_dir):
+    return staged(walk.generic_demoted(stage_tree(spark, sf_dir), PLAN))
+
+
+@query(f"{TREE} SELECT doc_id, node_id, round(CASE WHEN leaf AND length(text) > 100 THEN score * 1.08::DOUBLE ELSE score END, 6) AS score FROM tree")
+def rerank_leaf(spark, sf_dir):
+    return staged(walk.leaf_raised(stage_tree(spark, sf_dir)))
+
+
+@query(f"{TREE}, first AS (SELECT doc_id, title, fts FROM tree WHERE fts >= 0.15 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY fts DESC, ord) <= 20), got AS (SELECT t.doc_id, t.node_id, 0.30::DOUBLE * max(f.fts) AS g FROM tree t JOIN first f ON t.doc_id = f.doc_id AND starts_with(t.title, f.title) AND t.title <> f.title AND f.title <> '' WHERE t.score <= 0.005 GROUP BY ALL) SELECT doc_id, node_id, round(coalesce(g, score), 6) AS score FROM tree LEFT JOIN got USING (doc_id, node_id)")
+def rerank_prefix(spark, sf_dir):
+    return staged(walk.prefix_raised(stage_tree(spark, sf_dir)))
+
+
+UP = f"{TREE}, raised AS (SELECT doc_id, node_id, parent_node_id, title, text, ord, depth, leaf, CASE WHEN depth = 0 THEN 1.0::DOUBLE ELSE fts * 0.5::DOUBLE END AS fts, fts * 0.5::DOUBLE AS score FROM tree)"
+
+
+def raised_tree(spark, sf_dir):
+    return stage_tree(spark, sf_dir).withColumns({"score": F.col("fts") * 0.5, "fts": F.when(F.col("depth") == 0, 1.0).otherwise(F.col("fts") * 0.5)})
+
+
+@query(f"{UP}, j AS (SELECT c.*, p.fts AS pf, {overlap_sql('(c.title || chr(32) || c.text)')} AS o FROM raised c LEFT JOIN raised p ON p.doc_id = c.doc_id AND p.node_id = c.parent_node_id) SELECT doc_id, node_id, round(score + CASE WHEN o >= 0.20 AND score >= 0.01 AND pf > score + 0.06::DOUBLE THEN 0.50::DOUBLE * pf * o ELSE 0 END, 6) AS score FROM j")
+def rerank_parent(spark, sf_dir):
+    return staged(walk.parent_raised(raised_tree(spark, sf_dir), PLAN))
+
+
+@query(f"{TREE}, j AS (SELECT *, {overlap_sql(WHOLE)} AS o FROM tree) SELECT doc_id, node_id, round(CASE WHEN o >= 0.5 AND score >= 0.05 THEN score + 0.12::DOUBLE * o * score ELSE score END, 6) AS score FROM j")
+def rerank_density(spark, sf_dir):
+    return staged(walk.density_raised(stage_tree(spark, sf_dir), PLAN))
+
+
+@query(f"{TREE}, j AS (SELECT a.doc_id, a.node_id, a.score, greatest(coalesce((SELECT score FROM tree p WHERE p.doc_id = a.doc_id AND p.node_id = a.parent_node_id), 0), coalesce((SELECT max(score) FROM tree c WHERE c.doc_id = a.doc_id AND c.parent_node_id = a.node_id), 0), coalesce((SELECT max(score) FROM tree s WHERE s.doc_id = a.doc_id AND s.parent_node_id IS NOT DISTINCT FROM a.parent_node_id AND s.node_id <> a.node_id), 0)) AS best FROM tree a) SELECT doc_id, node_id, round(CASE WHEN best > 1.5 * score AND best > 0.15 THEN score + 0.30::DOUBLE * (best - score) ELSE score END, 6) AS score FROM j")
+def rerank_subtree(spark, sf_dir):
+    return staged(walk.subtree_raised(stage_tree(spark, sf_dir)))
+
+
+@query(f"{TREE} SELECT doc_id, node_id, round(score + 0.15::DOUBLE * {overlap_sql('title')} * greatest(score, 0.10::DOUBLE), 6) AS score FROM tree")
+def rerank_title(spark, sf_dir):
+    return staged(walk.title_raised(stage_tree(spark, sf_dir), PLAN))
+
+
+@query(f"{TREE} SELECT doc_id, node_id, round(score, 6) AS score FROM tree QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, ord) <= 50")
+def rerank_cap(spark, sf_dir):
+    return staged(walk.doc_cap(stage_tree(spark, sf_dir), 1000))
+
+
+# Many queries at once
+
+
+BATCH = f"""WITH {words_sql('doc')},
+asked AS (SELECT DISTINCT item_id AS query_id, unnest(flatten(list_transform(list_filter(list_transform(regexp_split_to_array(text, '\\s+'), lambda w: regexp_replace(w, '[^\\p{{L}}\\p{{N}}_]', '', 'g')), lambda w: upper(w) NOT IN ('AND', 'OR', 'NOT', 'NEAR')), lambda w: {toks('w')}))) AS term FROM benchmark),
+f AS (SELECT term, doc_id, node_id, sum({weight_sql(DOCUMENTED)}) AS f FROM words WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+df AS (SELECT term, count(*)::DOUBLE AS df FROM f GROUP BY term),
+part AS (SELECT term, doc_id, node_id, greatest(1e-6::DOUBLE, ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * f * 2.2::DOUBLE / (f + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl)) AS p FROM f JOIN df USING (term) JOIN dl USING (doc_id, node_id), size),
+raw AS (SELECT query_id, doc_id, sum(p) AS score FROM asked JOIN part USING (term) GROUP BY ALL)
+SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS doc_rank, 1.0::DOUBLE AS score FROM raw QUALIFY doc_rank <= 3"""
+
+
+@query(BATCH)
+def batch_search(spark, sf_dir):
+    """Every benchmark passage as a query over all documents: routed documents and their nodes."""
+    nodes = doc_nodes(spark, sf_dir)
+    posts, stats = posts_of(nodes)
+    corpus = search.Corpus(nodes, None, posts, stats)
+    asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    out = search.batch_search(corpus, asked, Config())
+    return out.select("query_id", "doc_id", F.col("doc_rank").cast("long").alias("doc_rank"), "score")
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch search of the benchmark passages over pages and documents together, with the beginning of each answer."""
+    nodes = doc_nodes(spark, sf_dir).unionByName(page_nodes(spark, sf_dir).select("doc_id", "node_id", "parent_node_id", "title", "text", "ord", "depth"))
+    posts, stats = posts_of(nodes)
+    asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    found = search.batch_search(search.Corpus(nodes, None, posts, stats), asked)
+    return found.join(nodes.select("doc_id", "node_id", "title", F.substring("text", 1, 300).alias("snippet")), ["doc_id", "node_id"])
+
+
+# Index upkeep: the documents against a changed copy (every 7th gone, every 5th edited, new ones added)
+
+
+def versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    old = t(spark, sf_dir, "documents").select("doc_id", F.lit("n1").alias("node_id"), F.md5("text").alias("content_hash"), "source")
+    kept = old.where("doc_id % 7 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 5 == 0, F.md5("content_hash")).otherwise(F.col("content_hash")))
+    return old, kept.unionByName(old.where("doc_id % 11 = 0").withColumn("doc_id", F.col("doc_id") + 10_000_000))
+
+
+VERSIONS = "old AS (SELECT doc_id, md5(text) AS h FROM documents), new AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN md5(h) ELSE h END AS h FROM old WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id + 10000000, h FROM old WHERE doc_id % 11 = 0)"
+
+
+@query(f"WITH {VERSIONS} SELECT coalesce(old.doc_id, new.doc_id) AS doc_id, CASE WHEN old.h IS NULL THEN 'added' WHEN new.h IS NULL THEN 'removed' WHEN old.h = new.h THEN 'kept' ELSE 'changed' END AS state FROM old FULL JOIN new USING (doc_id)")
+def node_diff(spark, sf_dir):
+    return index.node_diff(*versions(spark, sf_dir)).select("doc_id", "state")
+
+
+def metas(spark, sf_dir):
+    return [v.select(F.concat(F.lit("/d/"), "doc_id").alias("source_path"), F.col("content_hash").alias("file_hash")) for v in versions(spark, sf_dir)]
+
+
+@query(f"WITH {VERSIONS} SELECT '/d/' || doc_id AS source_path FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new)")
+def prune_orphans(spark, sf_dir):
+    return index.pruned(*metas(spark, sf_dir)).select("source_path")
+
+
+@query(f"WITH {VERSIONS} SELECT '/d/' || doc_id AS source_path FROM new WHERE NOT EXISTS (SELECT 1 FROM old WHERE old.doc_id = new.doc_id AND old.h = new.h)")
+def changed_files(spark, sf_dir):
+    old, new = metas(spark, sf_dir)
+    return index.changed_files(new, old).select("source_path")
+
+
+@query(f"WITH {VERSIONS}, gone AS (SELECT h, min('/d/' || doc_id) AS old_path FROM old WHERE doc_id NOT IN (SELECT doc_id FROM new) GROUP BY h), come AS (SELECT h, min('/d/' || doc_id) AS new_path FROM new WHERE doc_id NOT IN (SELECT doc_id FROM old) GROUP BY h) SELECT old_path, new_path FROM gone JOIN come USING (h)")
+def detect_moves(spark, sf_dir):
+    return index.moves(*metas(spark, sf_dir))
+
+
+@query("SELECT doc_id, 'nodes' AS kind FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0) UNION ALL SELECT page_id, 'postings' FROM pages WHERE page_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0)")
+def verify_orphans(spark, sf_dir):
+    """Labels and pages held against two thirds of the documents."""
+    docs = t(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
+    found = index.orphans(docs.select("doc_id"), t(spark, sf_dir, "labels").select("doc_id"), t(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id")), None)
+    return found["nodes"].withColumn("kind", F.lit("nodes")).unionByName(found["postings"].withColumn("kind", F.lit("postings")))
+
+
+@query("SELECT lang AS source_type, count(*) AS documents, count(*) AS nodes, sum(length(text))::BIGINT AS chars FROM documents GROUP BY lang")
+def index_stats(spark, sf_dir):
+    d = t(spark, sf_dir, "documents")
+    return index.index_stats(d.select("doc_id", F.col("lang").alias("source_type")), d.select("doc_id", "text"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unindexed_docs(spark, sf_dir):
+    return index.unindexed(t(spark, sf_dir, "documents"), t(spark, sf_dir, "labels"))
+
+
+@query(f"WITH {NODES['conv']} SELECT count(*) AS nodes, count(DISTINCT doc_id) AS documents FROM nodes WHERE right(doc_id, 1) <> '7'")
+def delete_docs(spark, sf_dir):
+    nodes = conv_nodes(spark, sf_dir)
+    gone = nodes.where(F.right("doc_id", F.lit(1)) == "7").select("doc_id").distinct()
+    return nodes.join(gone, "doc_id", "left_anti").agg(F.count("*").alias("nodes"), F.countDistinct("doc_id").alias("documents"))
+
+
+# Streams
+
+
+@query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
+s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
+SELECT user_id, epoch(min(ts))::BIGINT AS started, epoch(max(ts) + INTERVAL 30 MINUTE)::BIGINT AS ended, count(*) AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS items FROM s GROUP BY user_id, sid""")
+def debounce_sessions(spark, sf_dir):
+    out = watch.debounced(t(spark, sf_dir, "events"))
+    return out.select("user_id", F.unix_timestamp("start").alias("started"), F.unix_timestamp("end").alias("ended"), "events", "items")
+
+
+# Evaluation
+
+
+def judged(spark, sf_dir):
+    l = t(spark, sf_dir, "labels")
+    d = t(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    ranked = d.withColumn("rank", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id"))).select(F.col("source").alias("query_id"), F.col("doc_id").alias("item"), "rank")
+    relevant = l.where("quality = 1 and toxic = 0").join(d, "doc_id").select(F.col("source").alias("query_id"), F.col("doc_id").alias("item"))
+    return ranked, relevant
+
+
+JUDGED = "ranked AS (SELECT source AS query_id, doc_id AS item, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS rank FROM documents), relevant AS (SELECT DISTINCT source AS query_id, doc_id AS item FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND toxic = 0)"
+
+
+@query(f"""WITH {JUDGED}, size AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY ALL),
+h AS (SELECT query_id, sum(CASE WHEN rank <= 5 THEN 1 ELSE 0 END) AS tp, min(rank) AS first, sum(CASE WHEN rank <= 5 THEN 1 / log2(rank + 1.0::DOUBLE) ELSE 0 END) AS dcg FROM ranked JOIN relevant USING (query_id, item) GROUP BY ALL),
+m AS (SELECT query_id, n, coalesce(tp, 0)::DOUBLE AS tp, first, coalesce(dcg, 0) AS dcg, (SELECT sum(1 / log2(i + 1.0::DOUBLE)) FROM range(1, 6) r(i) WHERE i <= n) AS ideal FROM size LEFT JOIN h USING (query_id))
+SELECT query_id, round(tp / 5, 6) AS precision, round(tp / n, 6) AS recall, CASE WHEN tp > 0 THEN 1.0::DOUBLE ELSE 0 END AS hit, round(coalesce(1.0::DOUBLE / first, 0), 6) AS rr, round(dcg / ideal, 6) AS ndcg, round(CASE WHEN tp > 0 THEN 2 * (tp / 5) * (tp / n) / (tp / 5 + tp / n) ELSE 0 END, 6) AS f1 FROM m""")
+def eval_metrics(spark, sf_dir):
+    return rounded(evaluate.ranking_metrics(*judged(spark, sf_dir)), "precision", "recall", "rr", "ndcg", "f1")
+
+
+@query(f"WITH {JUDGED}, s AS (SELECT query_id, item FROM relevant QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY item) <= 2) SELECT query_id, round(avg(CASE WHEN rank <= 9 THEN 1.0::DOUBLE ELSE 0 END), 6) AS sp_recall, min(CASE WHEN rank <= 9 THEN 1.0::DOUBLE ELSE 0 END) AS covered FROM s JOIN ranked USING (query_id, item) GROUP BY query_id")
+def sp_recall(spark, sf_dir):
+    ranked, relevant = judged(spark, sf_dir)
+    some = relevant.withColumn("n", F.row_number().over(W.partitionBy("query_id").orderBy("item"))).where("n <= 2").select("query_id", F.col("item").alias("title"))
+    return rounded(evaluate.support_metrics(ranked, some, 9), "sp_recall")
+
+
+@query(r"""WITH n AS (SELECT conv_id, list(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\b(a|an|the)\b', ' ', 'g'), '[^0-9A-Za-z_\s.%]', '', 'g'), '\b(millions?|billions?|thousands?|usd|dollars?)\b', '', 'g'), '\s+', ' ', 'g')) ORDER BY turn) AS x FROM conversations WHERE turn < 2 GROUP BY conv_id HAVING count(*) = 2),
+w AS (SELECT conv_id, x[1] AS a, x[2] AS g, list_filter(string_split(x[1], ' '), lambda v: v <> '') AS la, list_filter(string_split(x[2], ' '), lambda v: v <> '') AS lg FROM n),
+c AS (SELECT conv_id, coalesce(sum(k), 0)::DOUBLE AS common FROM (SELECT conv_id, v, least(len(list_filter(la, lambda y: y = v)), len(list_filter(lg, lambda y: y = v))) AS k FROM (SELECT conv_id, la, lg, unnest(list_distinct(la)) AS v FROM w)) GROUP BY conv_id)
+SELECT conv_id AS query_id, CASE WHEN a = g THEN 1.0::DOUBLE ELSE 0 END AS em, round(CASE WHEN coalesce(common, 0) > 0 THEN 2 * (common / len(la)) * (common / len(lg)) / (common / len(la) + common / len(lg)) ELSE 0 END, 6) AS f1 FROM w LEFT JOIN c USING (conv_id)""")
+def qa_f1(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations").where("turn < 2")
+    pair = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("answer"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("gold"), F.count("*").alias("n")).where("n = 2")
+    return rounded(evaluate.answer_metrics(pair), "f1")
+
+
+@query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents), q AS (SELECT item_id, i, left(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), n) AS head FROM benchmark, (VALUES (0, 80), (1, 50), (2, 30)) v(i, n)),
+h AS (SELECT item_id, i, doc_id FROM d JOIN q ON contains(t, head)) SELECT DISTINCT item_id AS query_id, doc_id FROM h WHERE i = (SELECT min(i) FROM h b WHERE b.item_id = h.item_id)""")
+def evidence_match(spark, sf_dir):
+    nodes = t(spark, sf_dir, "documents").select("doc_id", F.lit("n1").alias("node_id"), "text")
+    return evaluate.evidence_match(t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), nodes).select("query_id", "doc_id")
+
+
+@query("SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS rank FROM embeddings a, embeddings b WHERE a.label = 0 QUALIFY rank <= 10")
+def embed_topk(spark, sf_dir):
+    """The vectors of label 0 as queries over all vectors."""
+    v = t(spark, sf_dir, "embeddings")
+    out = evaluate.cosine_top(v, v.where("label = 0").select(F.col("vec_id").alias("query_id"), "embedding"))
+    return out.withColumn("rank", F.col("rank").cast("long"))
+
+
+# Output
+
+
+@query("SELECT conv_id, turn, regexp_replace(text, '(?i)(thing|nicht)', '«\\1»', 'g') AS text FROM conversations")
+def highlighted(spark, sf_dir):
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", X.highlight(F.col("text"), ["nicht", "thing"]).alias("text"))
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+@query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) ELSE printf('%.1f MB', b / 1048576.0::DOUBLE) END AS size, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS line FROM (SELECT doc_id, text, strlen(text) AS b FROM documents)")
+def plain_output(spark, sf_dir):
+    return t(spark, sf_dir, "documents").select("doc_id", X.human_size(F.octet_length("text").cast("long")).alias("size"), X.clipped(F.col("text"), 100).alias("line"))
