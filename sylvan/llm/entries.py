@@ -92,15 +92,15 @@ hosts AS (
 top AS (SELECT (coalesce(sum(k), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1.0::DOUBLE) AS m FROM hosts WHERE host <> ''),
 s0 AS (SELECT suffix, sum(k) AS k, sum(n) AS n, any_value(m) AS m FROM hosts, top GROUP BY suffix),
 s1 AS (SELECT sum(n * pow(k / n - m, 2) / (m * (1 - m))) AS q, count(*) AS u, sum(n - 1) AS d FROM s0 WHERE n > 0),
-s2 AS (SELECT 1 / (CASE WHEN d > 0 THEN least(greatest((q - u) / d, 0.001::DOUBLE), 0.9::DOUBLE) ELSE 0.001::DOUBLE END) - 1 AS s FROM s1),
+s2 AS (SELECT 1 / (CASE WHEN d > 0 THEN least(greatest((q - u) / d, 0.001::DOUBLE), 0.9::DOUBLE) ELSE 0.5::DOUBLE END) - 1 AS s FROM s1),
 s3 AS (SELECT suffix, (s * m + k) / (s + n) AS mean FROM s0, s2),
 d0 AS (SELECT domain, suffix, sum(k) AS k, sum(n) AS n, any_value(mean) AS m FROM hosts JOIN s3 USING (suffix) GROUP BY domain, suffix),
 d1 AS (SELECT sum(n * pow(k / n - m, 2) / (m * (1 - m))) AS q, count(*) AS u, sum(n - 1) AS d FROM d0 WHERE n > 0),
-d2 AS (SELECT 1 / (CASE WHEN d > 0 THEN least(greatest((q - u) / d, 0.001::DOUBLE), 0.9::DOUBLE) ELSE 0.001::DOUBLE END) - 1 AS s FROM d1),
+d2 AS (SELECT 1 / (CASE WHEN d > 0 THEN least(greatest((q - u) / d, 0.001::DOUBLE), 0.9::DOUBLE) ELSE 0.5::DOUBLE END) - 1 AS s FROM d1),
 d3 AS (SELECT domain, suffix, (s * m + k) / (s + n) AS mean FROM d0, d2),
 h0 AS (SELECT host, k, n, mean AS m FROM hosts JOIN d3 USING (domain, suffix)),
 h1 AS (SELECT sum(n * pow(k / n - m, 2) / (m * (1 - m))) AS q, count(*) AS u, sum(n - 1) AS d FROM h0 WHERE n > 0),
-h2 AS (SELECT 1 / (CASE WHEN d > 0 THEN least(greatest((q - u) / d, 0.001::DOUBLE), 0.9::DOUBLE) ELSE 0.001::DOUBLE END) - 1 AS s FROM h1),
+h2 AS (SELECT 1 / (CASE WHEN d > 0 THEN least(greatest((q - u) / d, 0.001::DOUBLE), 0.9::DOUBLE) ELSE 0.5::DOUBLE END) - 1 AS s FROM h1),
 h3 AS (SELECT host, (s * m + k) / (s + n) AS mean, s + n AS weight FROM h0, h2),
 bound AS (SELECT host, round(mean, 6) AS mean, round(greatest(mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1)), 0.0::DOUBLE), 6) AS lower FROM h3)
 SELECT page_id, url, host, mean, lower, lower <= 0.30::DOUBLE AS kept FROM part JOIN bound USING (host)

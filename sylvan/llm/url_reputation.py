@@ -21,7 +21,8 @@ from sylvan.llm.common import maybe_broadcast, stored
 Z, MAX_BAD = 1.645, 0.30
 #: Suffixes of more than one label under which names are registered, besides every single label.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "co.nz", "co.in", "com.br", "com.mx", "com.cn", "com.tr", "github.io", "blogspot.com", "example.com", "example.net", "example.org")
-_LEAST, _MOST = 0.001, 0.9
+#: Bounds of the correlation, and its value where no unit has two labelled pages that could tell.
+_LEAST, _MOST, _NONE = 0.001, 0.9, 0.5
 
 
 def parts_of(url: Column, suffixes: tuple[str, ...] = SUFFIXES) -> list[Column]:
@@ -38,7 +39,7 @@ def _shrunk(units: DataFrame, level: str) -> DataFrame:
     seen = units.where("n > 0").agg(
         F.sum(F.col("n") * F.pow(F.col("k") / F.col("n") - m, 2) / (m * (1 - m))).alias("q"), F.count("*").alias("u"), F.sum(F.col("n") - 1).alias("d")
     )
-    rho = F.when(F.col("d") > 0, F.least(F.greatest((F.col("q") - F.col("u")) / F.col("d"), F.lit(_LEAST)), F.lit(_MOST))).otherwise(F.lit(_LEAST))
+    rho = F.when(F.col("d") > 0, F.least(F.greatest((F.col("q") - F.col("u")) / F.col("d"), F.lit(_LEAST)), F.lit(_MOST))).otherwise(F.lit(_NONE))
     strength = seen.select((1 / rho - 1).alias("s"))
     return units.crossJoin(F.broadcast(strength)).select(level, ((F.col("s") * m + F.col("k")) / (F.col("s") + F.col("n"))).alias("mean"), (F.col("s") + F.col("n")).alias("weight"), *[c for c in units.columns if c in ("domain", "suffix") and c != level])
 

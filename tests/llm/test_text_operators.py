@@ -1,0 +1,250 @@
+"""BPE, toxicity, private data, packing and near-duplicates over documents with every defined case."""
+
+import random
+import re
+from collections import defaultdict
+from itertools import product
+
+import numpy as np
+import pytest
+
+from sylvan.llm import bpe, minhash, packing, pii, toxicity
+
+from .conftest import prose, rows_of
+
+
+class TestBpe:
+    def test_is_the_definition(self, spark, documents):
+        import tiktoken
+
+        ranks = bpe.read_ranks(bpe.VOCABULARY)
+        true = tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        texts = {(r.doc_id, r.text) for r in documents.collect()}
+        got = bpe.encoded(documents).collect()
+        assert len(got) == documents.count()
+        assert sorted((repr(r.doc_id), r.tokens) for r in got if r.tokens is not None) == sorted((repr(i), true.encode_ordinary(t)) for i, t in ((r.doc_id, r.text) for r in documents.collect()) if t is not None)
+        assert all(r.exact for r in got if r.tokens is not None) and sum(r.tokens is None for r in got) == sum(t is None for _, t in [(r.doc_id, r.text) for r in documents.collect()])
+        assert texts
+
+    def test_odd_texts(self):
+        c = bpe.Coder(bpe.read_ranks(bpe.VOCABULARY))
+        for text in ["", "a" * 5000, "日本語🎉", "don't  \n\n x", "\x00\x7f", "<|endoftext|>", "ééé ÀÀ"]:
+            tokens, sizes = c.encode([text])
+            assert c.decode(tokens.tolist()) == text and sizes.tolist() == [len(tokens)]
+
+    def test_trie_is_the_merges(self):
+        c = bpe.Coder(bpe.read_ranks(bpe.VOCABULARY))
+        r = random.Random(5)
+        for _ in range(300):
+            w = "".join(r.choices("abcdeth ingé", k=r.randint(1, 14))).encode()
+            assert c.ranks.get(w) is not None or c.insert(w) == c.merged(w)
+
+    def test_decoding_and_empty(self, documents, empty, odd):
+        back = bpe.decoded(bpe.encoded(documents).select("doc_id", "tokens"))
+        assert rows_of(back.select("doc_id", "text")) == rows_of(documents.select("doc_id", "text"))
+        assert bpe.encoded(empty).count() == 0
+        assert bpe.encoded(odd).count() == odd.count()
+
+
+class TestToxicity:
+    lexicon = toxicity.SEEDS
+
+    def brute(self, text):
+        """Terms counted by trying each at every place of the folded text."""
+        folded, total = toxicity.fold(text), 0.0
+        weights = dict(self.lexicon)
+        terms = {toxicity.fold(k): v for k, v in weights.items()}
+        for phrase in toxicity.EXCEPTIONS:
+            w = sum(weights.get(x, 0.0) for x in phrase.split())
+            if w:
+                terms[phrase] = -w
+        for term, w in terms.items():
+            for m in re.finditer(f"(?={re.escape(term)})", folded):
+                s, e = m.start(), m.start() + len(term)
+                if (s == 0 or not text[s - 1].isalnum()) and (e == len(text) or not text[e].isalnum()) and any(c.isalpha() for c in text[s:e]):
+                    total += w
+        return max(total, 0.0)
+
+    def test_is_brute_force(self):
+        own = toxicity.automaton(self.lexicon)
+        r = random.Random(2)
+        bits = ["idiot", "1d10t", "trash", "trash can", "$cum", "clown!!!", "ѕtupіd", "nice", "text", "class", "clown", "clown fish", "455", "MORON", "moronic", "x", "lóser"]
+        for _ in range(200):
+            text = " ".join(r.choices(bits, k=r.randint(1, 12)))
+            assert toxicity.score(text, own)[1] == pytest.approx(self.brute(text))
+
+    def test_cases(self, documents, labels, empty, odd):
+        found = toxicity.toxic_documents(documents, labels)
+        assert [r.doc_id for r in found.collect()] == [12]
+        kept = toxicity.without_toxic(documents, labels)
+        assert kept.columns == documents.columns and kept.count() == documents.count() - 1
+        assert toxicity.without_toxic(odd, labels).columns == odd.columns
+        assert toxicity.toxic_documents(empty, labels).count() == 0
+        assert toxicity.toxic_documents(documents, labels.limit(0)).count() == 1
+        assert toxicity.toxic_documents(documents, None).count() == 1
+
+    def test_folding_keeps_places(self):
+        for text in ["ǅ ﬁ İ", "ＩＤＩＯＴ", "𝐢𝐝𝐢𝐨𝐭"]:
+            assert len(toxicity.fold(text)) == len(text)
+        assert toxicity.score("ＩＤＩＯＴ", toxicity.automaton(self.lexicon))[2] == 1
+
+    def test_learns_words_and_beginnings(self, spark):
+        r = random.Random(3)
+        clean = [(i, prose(i, 40), 0) for i in range(100)]
+        toxic = [(100 + i, prose(200 + i, 38) + " zorkword quuxin" + r.choice("abcdefghij") * 2, 1) for i in range(30)]
+        rows = spark.createDataFrame(clean + toxic, "doc_id long, text string, toxic int")
+        found = toxicity.learned(rows.drop("toxic"), rows.select("doc_id", "toxic"))
+        assert "zorkword" in found and any(t.endswith("*") and "quuxin".startswith(t[:5]) for t in found)
+        got = {x.doc_id for x in toxicity.toxic_documents(rows.drop("toxic"), rows.select("doc_id", "toxic")).collect()}
+        assert got == {i for i, _, _ in toxic}
+
+
+class TestPrivateData:
+    @pytest.fixture(scope="class")
+    def model(self, spark):
+        return pii.trained(spark)
+
+    def test_held_out_sentences(self, model):
+        right = total = 0
+        for row in pii._written(123, 400):
+            text, spans, at = " ".join(t for t, _ in row), [], 0
+            for token, y in row:
+                if y[0] == "B":
+                    spans.append([at, at + len(token), y[2:]])
+                elif y[0] == "I":
+                    spans[-1][1] = at + len(token)
+                at += len(token) + 1
+            want = [(s, s + len(re.sub(r"[^\w)]+$", "", text[s:e])), k) for s, e, k in spans]
+            right += pii.find(model, [text])[0] == want
+            total += 1
+        assert right / total > 0.97
+
+    def test_viterbi_is_the_best_of_all(self, model):
+        r = np.random.default_rng(1)
+        scores = r.normal(size=(5, 3, 4))
+        move = r.normal(size=(4, 4))
+        for s, got in zip(scores, pii.viterbi(scores, move), strict=True):
+            best = max(product(range(4), repeat=3), key=lambda y: move[0, y[0]] + sum(s[t, y[t]] for t in range(3)) + sum(move[y[t], y[t + 1]] for t in range(2)) + move[y[2], 0])
+            assert tuple(got) == best
+
+    def test_cases(self, model, documents, empty, odd):
+        (found,) = pii.private_documents(documents, model).collect()
+        assert found.doc_id == 13 and found.text == "Call <PHONE> or write <EMAIL>"
+        assert [(s.kind) for s in found.spans] == ["PHONE", "EMAIL"]
+        out = pii.redacted(documents, model)
+        assert out.columns == documents.columns
+        same = lambda df: rows_of(df.where("doc_id is null or doc_id <> 13"))
+        assert same(out) == same(documents)
+        (row,) = out.where("doc_id = 13").collect()
+        assert row.n_chars == len(row.text)
+        assert pii.redacted(odd, model).columns == odd.columns and pii.private_documents(empty, model).count() == 0
+
+    def test_clean_numbers_stay(self, model):
+        texts = ["Version 2.0. of 1999, page 12-14 at 12:30", "CC BY-NC 4.0.", "0000000000000001 and 300.1.2.3", "@name 3.", None, ""]
+        assert pii.find(model, texts) == [[] for _ in texts]
+        (spans,) = pii.find(model, ["x" * 200_000 + " 4111111111111111 " + "y" * 200_000])
+        assert [k for _, _, k in spans] == ["CARD"]
+
+
+class TestPacking:
+    def brute(self, sizes, capacity):
+        """The same rule over plain lists."""
+        left, bins = sorted(((n, i) for i, n in enumerate(sizes)), key=lambda x: (-x[0], x[1])), []
+        while left:
+            gap, own = capacity, []
+            while fit := next((x for x in left if x[0] <= gap), None):
+                left.remove(fit)
+                own.append(fit)
+                gap -= fit[0]
+            small = own[-1]
+            room = gap + small[0]
+            pairs = [(a[0] + b[0], max(a[0], b[0])) for k, a in enumerate(left) for b in left[k + 1 :] if small[0] < a[0] + b[0] <= room]
+            if gap and pairs:
+                total, big = max(pairs)
+                a = next(x for x in left if x[0] == big)
+                left.remove(a)
+                b = next(x for x in left if x[0] == total - big)
+                left.remove(b)
+                own = [*own[:-1], a, b]
+                left = sorted([*left, small], key=lambda x: (-x[0], x != small, x[1]))
+            bins.append([i for _, i in own])
+        return bins
+
+    def test_is_brute_force(self):
+        r = random.Random(4)
+        for _ in range(60):
+            sizes = [r.randint(1, 40) for _ in range(r.randint(1, 40))]
+            got = packing.best_two_fit(sizes, 40)
+            assert [sorted(sizes[i] for i in b) for b in got] == [sorted(sizes[i] for i in b) for b in self.brute(sizes, 40)]
+            assert sorted(i for b in got for i in b) == list(range(len(sizes)))
+
+    def test_texts_come_back(self, documents, empty, odd):
+        bins = packing.packed(documents, capacity=1000).collect()
+        back = defaultdict(list)
+        for b in bins:
+            at = 0
+            assert len(b.text) == b.used <= 1000
+            for i, s, n in zip(b.doc_ids, b.starts, b.lengths, strict=True):
+                back[i].append((s, b.text[at : at + n]))
+                at += n + 2
+        want = defaultdict(str)
+        for r in documents.orderBy("doc_id", "text").collect():
+            want[r.doc_id] += r.text or ""
+        for i, text in want.items():
+            assert sum(len(x) for _, x in back[i]) == len(text)
+        assert "".join(x for _, x in sorted(back[8])) == want[8]
+        assert packing.packed(empty).count() == 0
+        assert packing.packed(odd, capacity=1000).count() == len(bins)
+
+    def test_many_shards(self, documents):
+        few = packing.packed(documents, capacity=500, shard_chars=2000)
+        assert few.select("shard").distinct().count() > 1
+        assert few.selectExpr("sum(aggregate(lengths, 0, (a, x) -> a + x))").first()[0] == documents.selectExpr("sum(length(text))").first()[0]
+
+
+class TestNearDuplicates:
+    def test_cases(self, documents, empty, odd):
+        got = defaultdict(set)
+        for r in minhash.near_duplicates(documents).collect():
+            got[r.group_id].add(r.doc_id)
+        assert dict(got) == {1: {1, 2, 3}, 7: {7}, 9: {9, 10}}
+        kept = minhash.drop_near_duplicates(documents)
+        assert kept.columns == documents.columns
+        ids = sorted(r.doc_id for r in kept.collect() if r.doc_id is not None)
+        assert ids == [1, 4, 5, 6, 7, 8, 9, 11, 12, 13, 14] and kept.where("doc_id is null").count() == 2
+        assert minhash.near_duplicates(empty).count() == 0 and minhash.drop_near_duplicates(empty).count() == 0
+        assert minhash.drop_near_duplicates(odd).columns == odd.columns
+
+    def test_keys_find_every_pair_within_the_radius(self):
+        r = np.random.default_rng(0)
+        a = r.integers(0, 65536, (300, minhash.K)).astype("<u2")
+        b = a.copy()
+        for i, row in enumerate(b):
+            places = r.choice(minhash.K, minhash.RADIUS if i % 2 else i % minhash.RADIUS, replace=False)
+            row[places] ^= 1
+        x, y = minhash.chunk_keys(a, minhash.RADIUS, minhash.CHUNK), minhash.chunk_keys(b, minhash.RADIUS, minhash.CHUNK)
+        assert all(set(p) & set(q) for p, q in zip(x.tolist(), y.tolist(), strict=True))
+
+    def test_is_brute_force(self, spark):
+        r = random.Random(9)
+        rows = []
+        for g in range(40):
+            base = prose(g + 1000, 90).split()
+            for _ in range(r.choice([1, 1, 2, 5])):
+                copy = [w if r.random() > r.choice([0, 0.03, 0.15]) else "edited" for w in base]
+                rows.append((len(rows), " ".join(copy)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        signed = sorted(minhash.signatures(docs).collect(), key=lambda x: x.doc_id)
+        root = minhash.linked(np.stack([np.frombuffer(x.sig, "<u2") for x in signed]), minhash.RADIUS)
+        want = defaultdict(set)
+        for i, g in enumerate(root):
+            want[int(g)].add(i)
+        got = defaultdict(set)
+        for x in minhash.near_duplicates(docs).collect():
+            got[x.group_id].add(x.doc_id)
+        assert dict(got) == {k: v for k, v in want.items() if len(v) > 1}
+
+    def test_long_chains_are_one_component(self, spark):
+        edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
+        got = {r.node: r.root for r in minhash.components(edges).collect()}
+        assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
