@@ -15,6 +15,9 @@ CJK = "[\\u4e00-\\u9fff\\u3400-\\u4dbf]"
 STOP_WORDS = tuple(sorted(set("you your would with why whom who which where when what were we was very us under too to through this those they these then their them the than that such so some should shall she same over our other or only on of not nor no my most more might me may into its it is in if i how his him her he have has had from for few every each during down does do did could can by but both between below being been before be at as are any and an all also again after above about a".split())))
 
 
+_UNSPOKEN = ("a", "an", "the", "usd", *(w + e for w in ("million", "billion", "thousand", "dollar") for e in ("", "s")))
+
+
 def fold(text: Column) -> Column:
     """Lower case without marks."""
     return F.translate(F.lower(text), FOLD_FROM, FOLD_TO)
@@ -97,8 +100,6 @@ def clipped(text: Column, most: int) -> Column:
 
 
 def normal_answer(text: Column) -> Column:
-    """Answers for comparison: lower case, without articles, punctuation (but digits' points) and magnitude words."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    bare = F.regexp_replace(F.regexp_replace(low, r"\b(a|an|the)\b", " "), r"[^\w\s.%]", "")
-    bare = F.regexp_replace(bare, r"\b(millions?|billions?|thousands?|usd|dollars?)\b", "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    """Answers for comparison: lower case, without punctuation (but points and percents), articles and magnitude words."""
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s.%]", "")
+    return F.array_join(F.filter(F.split(bare, r"\s+"), lambda w: (w != "") & ~w.isin(*_UNSPOKEN)), " ")

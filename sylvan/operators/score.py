@@ -169,8 +169,8 @@ def doc_aggregate(scores: DataFrame, candidates: int = 200, top_k: int = 20) ->
 
 def routed(scores: DataFrame, top_k: int = 3) -> DataFrame:
     """(doc_id, best, doc_rank) of the best documents by raw score."""
-    best = scores.groupBy("doc_id").agg(F.max("score").alias("best")).orderBy(F.desc("best"), "doc_id").limit(top_k)
-    return best.withColumn("doc_rank", F.row_number().over(W.orderBy(F.desc("best"), "doc_id")))
+    best = scores.groupBy("doc_id").agg(F.max("score").alias("best")).orderBy(F.desc(F.round("best", 9)), "doc_id").limit(top_k)
+    return best.withColumn("doc_rank", F.row_number().over(W.orderBy(F.desc(F.round("best", 9)), "doc_id")))
 
 
 def term_idf(nodes: DataFrame, terms: list[str]) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sylvan.config import Config
 from sylvan.operators import index, score, tree, walk
+from sylvan.operators.lineage import cut
 from sylvan.plans import query as Q
 from sylvan.sources import parsers
 
@@ -108,8 +109,8 @@ def search(corpus: Corpus, query: str, config: Config | None = None, expression:
     """One query. Nothing found by text routes to the first documents, with no nodes; a pattern without a match to none."""
     c = config or Config()
     mode = Q.classify(query, expression, regex)
-    raw = node_scores(corpus, mode, c, pre_filter=pre_filter)
-    docs = score.routed(raw, c.top_k_docs)
+    raw = cut(node_scores(corpus, mode, c, pre_filter=pre_filter))  # read by routing and by scoring
+    docs = cut(score.routed(raw, c.top_k_docs))
     chosen = raw.join(docs.select("doc_id"), "doc_id", "left_semi")
     scores = score.propagated(score.normalised(chosen), corpus.nodes, c.ancestor_decay)
     picked = corpus.documents.join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -120,8 +121,8 @@ def search(corpus: Corpus, query: str, config: Config | None = None, expression:
     paths = None
     if kind == "tree":
         plan = Q.query_plan(query)
-        trees = walk.scored_tree(corpus.nodes.join(docs.select("doc_id"), "doc_id", "left_semi"), scores)
-        states = walk.walk(trees, walk.anchors(trees, plan, c.anchor_top_k), plan, c)
+        trees = cut(walk.scored_tree(corpus.nodes.join(docs.select("doc_id"), "doc_id", "left_semi"), scores))
+        states = cut(walk.walk(trees, walk.anchors(trees, plan, c.anchor_top_k), plan, c))
         paths = walk.paths(states, trees, plan, c.path_top_k, c.path_top_k)
         scores = walk.reranked(trees, states, plan, c.top_k_docs).select("doc_id", "node_id", "score")
     top = merged(top_nodes(scores, c.max_nodes_per_doc), docs, c.merge_strategy)
@@ -137,7 +138,7 @@ def batch_search(corpus: Corpus, queries: DataFrame, config: Config | None = Non
     c = config or Config()
     raw = score.bm25_batch(corpus.postings, corpus.stats, queries, c.weights)
     per_doc = raw.groupBy("query_id", "doc_id").agg(F.max("score").alias("best"))
-    docs = per_doc.withColumn("doc_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("best"), "doc_id"))).where(F.col("doc_rank") <= c.top_k_docs)
+    docs = per_doc.withColumn("doc_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("best", 9)), "doc_id"))).where(F.col("doc_rank") <= c.top_k_docs)
     norm = raw.join(docs, ["query_id", "doc_id"]).withColumn("score", F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0))
     parents = corpus.nodes.where("parent_node_id is not null").select("doc_id", "node_id", "parent_node_id")
     up = norm.join(parents, ["doc_id", "node_id"]).groupBy("query_id", "doc_id", "doc_rank", F.col("parent_node_id").alias("node_id")).agg((c.ancestor_decay * F.max("score")).alias("score"))

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from sylvan.config import Config
 from sylvan.functions import text as X
+from sylvan.operators.lineage import cut
 from sylvan.plans.query import QueryPlan
 
 GENERIC = tuple(sorted(["overview", "background", "introduction", "abstract", "related work"] + [f"conclusion{s}{t}" for s in ("", "s") for t in ("", " and outlook", " and future work")] + ["acknowledgements", "acknowledgments"]))
@@ -213,10 +214,10 @@ def title_raised(tree: DataFrame, plan: QueryPlan) -> DataFrame:
 
 
 def reranked(tree: DataFrame, states: DataFrame, plan: QueryPlan, docs: int) -> DataFrame:
-    """All stages in order, scores to 4 decimals, best first."""
+    """All stages in order, scores to 4 decimals, best first. Stages that join the tree with itself start from a table."""
     stages = [
-        lambda t: doc_cap(t, docs), lambda t: generic_demoted(t, plan), leaf_raised, prefix_raised, lambda t: walk_raised(t, states, plan), lambda t: doc_cap(t, docs, 100),
-        lambda t: parent_raised(t, plan), lambda t: density_raised(t, plan), subtree_raised, lambda t: title_raised(t, plan),
+        lambda t: doc_cap(t, docs), lambda t: generic_demoted(t, plan), leaf_raised, cut, prefix_raised, lambda t: walk_raised(t, states, plan), lambda t: doc_cap(t, docs, 100),
+        cut, lambda t: parent_raised(t, plan), lambda t: density_raised(t, plan), cut, subtree_raised, lambda t: title_raised(t, plan),
     ]
     out = reduce(lambda t, stage: stage(t), stages, tree)
     return out.withColumn("score", F.round("score", 4)).where("score > 0").orderBy(F.desc("score"), "doc_id", "ord")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sylvan.config import COMPAT, DOCUMENTED, Config
 from sylvan.functions import text as X
 from sylvan.operators import evaluate, index, score, search, tree, walk
+from sylvan.operators.lineage import cut
 from sylvan.plans import query as Q
 from sylvan.sources import parsers
 from sylvan.streaming import watch
@@ -57,12 +58,13 @@ def conv_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def posts_of(nodes: DataFrame, summary: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The index of nodes as tables, as a saved one would be."""
     own = index.fields(nodes, with_summary=summary)
-    return index.postings(own), index.corpus_stats(own)
+    return cut(index.postings(own)), cut(index.corpus_stats(own))
 
 
 def conv_scores(spark: SparkSession, sf_dir: str, text: str = TERMS) -> tuple[DataFrame, DataFrame]:
-    nodes = conv_nodes(spark, sf_dir)
+    nodes = cut(conv_nodes(spark, sf_dir))
     posts, stats = posts_of(nodes)
     return nodes, score.bm25(posts, stats, Q.plain(text))
 
@@ -143,7 +145,7 @@ NORM = "norm AS (SELECT doc_id, node_id, CASE WHEN max(score) OVER (PARTITION BY
 PROP = """up AS (SELECT doc_id, parent_node_id AS node_id, 0.6::DOUBLE * max(score) AS score FROM norm JOIN nodes USING (doc_id, node_id) WHERE parent_node_id IS NOT NULL GROUP BY ALL),
 total AS (SELECT doc_id, node_id, sum(score) AS score FROM (SELECT * FROM norm UNION ALL SELECT * FROM up) GROUP BY ALL),
 prop AS (SELECT doc_id, node_id, round(score / greatest(max(score) OVER (PARTITION BY doc_id), 1.0::DOUBLE), 6) AS score FROM total)"""
-ROUTED = "routed AS (SELECT doc_id, max(score) AS best, row_number() OVER (ORDER BY max(score) DESC, doc_id) AS doc_rank FROM raw GROUP BY doc_id QUALIFY doc_rank <= 3)"
+ROUTED = "routed AS (SELECT doc_id, max(score) AS best, row_number() OVER (ORDER BY round(max(score), 9) DESC, doc_id) AS doc_rank FROM raw GROUP BY doc_id QUALIFY doc_rank <= 3)"
 PICKED = f"""{CONV}, {ROUTED},
 chosen AS (SELECT raw.* FROM raw JOIN routed USING (doc_id)),
 {NORM.replace("FROM raw", "FROM chosen")}, {PROP},
@@ -155,7 +157,7 @@ top AS (SELECT doc_id, node_id, score, row_number() OVER (PARTITION BY doc_id OR
 
 @query(f"SELECT w AS term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({toks('text')}) AS w FROM documents) GROUP BY w")
 def tok_vocab(spark, sf_dir):
-    return index.term_stats(posts_of(doc_nodes(spark, sf_dir))[0])
+    return index.term_stats(index.postings(index.fields(doc_nodes(spark, sf_dir), with_summary=False)))
 
 
 @query(f"SELECT w AS word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+')) AS w FROM documents) WHERE length(w) >= 2 AND w NOT IN ({STOPS}) GROUP BY w")
@@ -486,7 +488,8 @@ def phrase_boost(spark, sf_dir):
 
 def _propagated(spark, sf_dir):
     nodes, raw = conv_scores(spark, sf_dir)
-    docs = score.routed(raw)
+    raw = cut(raw)  # routing and picking both read it
+    docs = cut(score.routed(raw))
     return nodes, docs, score.propagated(score.normalised(raw.join(docs, "doc_id", "left_semi")), nodes)
 
 
@@ -555,7 +558,7 @@ anchor AS (SELECT *, least(greatest(fts + 0.15::DOUBLE * CASE WHEN len(list_filt
 
 def conv_tree(spark, sf_dir):
     nodes, raw = conv_scores(spark, sf_dir)
-    return walk.scored_tree(nodes, score.normalised(raw))
+    return walk.scored_tree(nodes, score.normalised(cut(raw)))
 
 
 @query(f"{ANCHOR} SELECT doc_id, node_id, round(anchor, 6) AS score FROM anchor")
@@ -571,15 +574,15 @@ def anchors(spark, sf_dir):
 @query()
 def tree_walk(spark, sf_dir):
     """The states of best-first walks over all conversations with an anchor."""
-    trees = conv_tree(spark, sf_dir)
+    trees = cut(conv_tree(spark, sf_dir))
     return rounded(walk.walk(trees, walk.anchors(trees, PLAN), PLAN)).select("doc_id", "node_id", "score", "hop", "step")
 
 
 @query()
 def tree_search_paths(spark, sf_dir):
     nodes, docs, scores = _propagated(spark, sf_dir)
-    trees = walk.scored_tree(nodes.join(docs, "doc_id", "left_semi"), scores)
-    states = walk.walk(trees, walk.anchors(trees, PLAN), PLAN)
+    trees = cut(walk.scored_tree(nodes.join(docs, "doc_id", "left_semi"), scores))
+    states = cut(walk.walk(trees, walk.anchors(trees, PLAN), PLAN))
     out = walk.paths(states, trees, PLAN)
     return out.select("doc_id", "score", "root_node_id", "target_node_id", F.array_join(F.transform("path", lambda p: p["title"]), " > ").alias("path"))
 
@@ -588,8 +591,8 @@ def tree_search_paths(spark, sf_dir):
 def tree_search_nodes(spark, sf_dir):
     """Tree mode over the routed conversations: walk, re-ranking, the best nodes."""
     nodes, docs, scores = _propagated(spark, sf_dir)
-    trees = walk.scored_tree(nodes.join(docs, "doc_id", "left_semi"), scores)
-    states = walk.walk(trees, walk.anchors(trees, PLAN), PLAN)
+    trees = cut(walk.scored_tree(nodes.join(docs, "doc_id", "left_semi"), scores))
+    states = cut(walk.walk(trees, walk.anchors(trees, PLAN), PLAN))
     return walk.reranked(trees, states, PLAN, 3).select("doc_id", "node_id", "score")
 
 
@@ -754,7 +757,7 @@ def delete_docs(spark, sf_dir):
 
 @query("""WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events),
 s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS sid FROM g)
-SELECT user_id, epoch(min(ts))::BIGINT AS started, epoch(max(ts) + INTERVAL 30 MINUTE)::BIGINT AS ended, count(*) AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS items FROM s GROUP BY user_id, sid""")
+SELECT user_id, floor(epoch(min(ts)))::BIGINT AS started, floor(epoch(max(ts) + INTERVAL 30 MINUTE))::BIGINT AS ended, count(*) AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS items FROM s GROUP BY user_id, sid""")
 def debounce_sessions(spark, sf_dir):
     out = watch.debounced(t(spark, sf_dir, "events"))
     return out.select("user_id", F.unix_timestamp("start").alias("started"), F.unix_timestamp("end").alias("ended"), "events", "items")
@@ -789,7 +792,7 @@ def sp_recall(spark, sf_dir):
     return rounded(evaluate.support_metrics(ranked, some, 9), "sp_recall")
 
 
-@query(r"""WITH n AS (SELECT conv_id, list(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '\b(a|an|the)\b', ' ', 'g'), '[^0-9A-Za-z_\s.%]', '', 'g'), '\b(millions?|billions?|thousands?|usd|dollars?)\b', '', 'g'), '\s+', ' ', 'g')) ORDER BY turn) AS x FROM conversations WHERE turn < 2 GROUP BY conv_id HAVING count(*) = 2),
+@query(r"""WITH n AS (SELECT conv_id, list(array_to_string(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\p{L}\p{N}_\s.%]', '', 'g'), '\s+'), lambda v: v <> '' AND v NOT IN ('a', 'an', 'the', 'usd', 'million', 'millions', 'billion', 'billions', 'thousand', 'thousands', 'dollar', 'dollars')), ' ') ORDER BY turn) AS x FROM conversations WHERE turn < 2 GROUP BY conv_id HAVING count(*) = 2),
 w AS (SELECT conv_id, x[1] AS a, x[2] AS g, list_filter(string_split(x[1], ' '), lambda v: v <> '') AS la, list_filter(string_split(x[2], ' '), lambda v: v <> '') AS lg FROM n),
 c AS (SELECT conv_id, coalesce(sum(k), 0)::DOUBLE AS common FROM (SELECT conv_id, v, least(len(list_filter(la, lambda y: y = v)), len(list_filter(lg, lambda y: y = v))) AS k FROM (SELECT conv_id, la, lg, unnest(list_distinct(la)) AS v FROM w)) GROUP BY conv_id)
 SELECT conv_id AS query_id, CASE WHEN a = g THEN 1.0::DOUBLE ELSE 0 END AS em, round(CASE WHEN coalesce(common, 0) > 0 THEN 2 * (common / len(la)) * (common / len(lg)) / (common / len(la) + common / len(lg)) ELSE 0 END, 6) AS f1 FROM w LEFT JOIN c USING (conv_id)""")
@@ -822,6 +825,6 @@ def highlighted(spark, sf_dir):
     return t(spark, sf_dir, "conversations").select("conv_id", "turn", X.highlight(F.col("text"), ["nicht", "thing"]).alias("text"))
 
 
-@query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', b / 1024.0::DOUBLE) ELSE printf('%.1f MB', b / 1048576.0::DOUBLE) END AS size, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS line FROM (SELECT doc_id, text, strlen(text) AS b FROM documents)")
+@query("SELECT doc_id, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KB', round(b / 1024.0::DOUBLE, 1)) ELSE printf('%.1f MB', round(b / 1048576.0::DOUBLE, 1)) END AS size, CASE WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE text END AS line FROM (SELECT doc_id, text, strlen(text) AS b FROM documents)")
 def plain_output(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", X.human_size(F.octet_length("text").cast("long")).alias("size"), X.clipped(F.col("text"), 100).alias("line"))
