@@ -88,11 +88,24 @@ class Index:
         out.write(bytearray(f"{new}\n".encode()))
         out.close()
         final = jvm.org.apache.hadoop.fs.Path(f"{self.path}/CURRENT")
-        if fs.exists(final):
-            fs.delete(final, False)
-        fs.rename(draft, final)
+        sc = self.spark.sparkContext
+        rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+        over = sc._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(draft), fs.makeQualified(final), over)
         return new
 
+    def vacuum(self) -> int:
+        """Remove all versions but the current one, once no reader is on them; how many there were."""
+        fs, jvm = self._fs()
+        current, gone = self.version(), 0
+        for entry in fs.listStatus(jvm.org.apache.hadoop.fs.Path(self.path)):
+            name = entry.getPath().getName()
+            if name.startswith("v-") and name != current:
+                fs.delete(entry.getPath(), True)
+                gone += 1
+        return gone
+
     def add(self, nodes: DataFrame, documents: DataFrame, meta: DataFrame | None = None, markdown: bool = False) -> dict[str, int]:
         """Index documents anew or again; documents without a changed node are left as they are. Counts of nodes by state."""
         fresh = fields(nodes, markdown).withColumn("content_hash", F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 16))

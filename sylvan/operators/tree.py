@@ -108,6 +108,23 @@ def toc(nodes: DataFrame) -> DataFrame:
     return nodes.select("doc_id", "ord", F.concat(F.expr("repeat('  ', depth)"), F.coalesce("title", F.lit(""))).alias("line"))
 
 
+def nested_json(nodes: DataFrame, fields: tuple[str, ...] = ("title", "node_id", "summary", "text", "line_start", "line_end")) -> DataFrame:
+    """(doc_id, tree): each document's nodes one within the other, as JSON text with ``nodes`` last."""
+    import json
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        roots: list[dict] = []
+        at: dict[int, dict] = {}
+        for r in pdf.sort_values("ord").to_dict("records"):
+            node = {f: r[f].item() if hasattr(r[f], "item") else r[f] for f in fields} | {"nodes": []}
+            at[r["ord"]] = node
+            (at[int(r["parent_ord"])]["nodes"] if pd.notna(r["parent_ord"]) else roots).append(node)
+        return pd.DataFrame({"doc_id": [pdf["doc_id"].iloc[0]], "tree": [json.dumps(roots, ensure_ascii=False, separators=(",", ":"))]})
+
+    out = T.StructType([T.StructField("doc_id", nodes.schema["doc_id"].dataType), T.StructField("tree", T.StringType())])
+    return nodes.select("doc_id", "ord", "parent_ord", *fields).groupBy("doc_id").applyInPandas(run, out)
+
+
 def without_text(nodes: DataFrame, *fields: str) -> DataFrame:
     return nodes.drop(*(fields or ("text",)))
 

@@ -1,4 +1,4 @@
-"""Tree search: anchors, best-first walks, paths and re-ranking.
+"""Search in trees: anchors, best-first walks, paths and re-ranking.
 
 All but the walk is set-oriented. Each re-ranking stage reads a snapshot of the scores before it. Scored trees are
 DataFrames ``doc_id, node_id, parent_node_id, ord, depth, title, text, leaf, fts, score``.

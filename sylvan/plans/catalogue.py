@@ -223,6 +223,17 @@ def line_nodes(spark, sf_dir):
     return out.select("doc_id", F.col("ord").cast("long").alias("ord"), "title", F.md5("text").alias("text"), F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"))
 
 
+MARKED = "marked AS (SELECT doc_id, i AS line, CASE WHEN (i - 1) % 4 = 0 THEN CASE WHEN (i - 1) % 8 = 0 THEN '# ' ELSE '### ' END || raw ELSE raw END AS raw, (i - 1) % 4 = 0 AND trim(raw, e' \\t\\r') <> '' AS head, (i - 1) % 8 = 0 AS top FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS u(raw, i))"
+
+
+@query(f"WITH {MARKED}, s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line) AS scope FROM marked) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY scope) AS ord, CASE WHEN min_by(top, line) THEN 1 ELSE 3 END::BIGINT AS level, md5(trim(regexp_replace(min_by(raw, line), '^#+', ''), e' \\t\\r')) AS title, md5(regexp_replace(string_agg(raw, chr(10) ORDER BY line), '^\\s+|\\s+$', '', 'g')) AS text, min(line) AS line_start, max(line) AS line_end FROM s WHERE scope > 0 GROUP BY doc_id, scope")
+def markdown_nodes(spark, sf_dir):
+    """Documents with every fourth line made a heading."""
+    mark = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 8 == 0, F.concat(F.lit("# "), x)).when(i % 4 == 0, F.concat(F.lit("### "), x)).otherwise(x))
+    out = parsers.markdown(t(spark, sf_dir, "documents").select("doc_id", F.array_join(mark, "\n").alias("text")))
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("ord", "level")], F.md5("title").alias("title"), F.md5("text").alias("text"), *[F.col(c).cast("long").alias(c) for c in ("line_start", "line_end")])
+
+
 @query("""WITH s AS (SELECT doc_id, trim(p) AS p, i FROM documents, unnest(regexp_split_to_array(replace(text, '. ', '.' || chr(10) || chr(10)), '\n\\s*\n')) WITH ORDINALITY AS u(p, i))
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS ord, left(string_split(p, chr(10))[1], 80) AS title, md5(p) AS text FROM s WHERE p <> ''""")
 def paragraph_nodes(spark, sf_dir):
@@ -325,6 +336,11 @@ def split_hard(spark, sf_dir):
     return tree.hard_split(t(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("part").cast("long").alias("part"), F.md5("piece").alias("piece"))
 
 
+@query(f"WITH {NODES['conv']} SELECT doc_id, '[{{\"title\":\"' || any_value(title) FILTER (depth = 0) || '\",\"nodes\":[' || string_agg('{{\"title\":\"' || title || '\",\"nodes\":[]}}', ',' ORDER BY ord) FILTER (depth = 1) || ']}}]' AS tree FROM nodes GROUP BY doc_id")
+def tree_json(spark, sf_dir):
+    return tree.nested_json(conv_nodes(spark, sf_dir), ("title",))
+
+
 # Matching
 
 
@@ -579,7 +595,7 @@ def tree_walk(spark, sf_dir):
 
 
 @query()
-def tree_search_paths(spark, sf_dir):
+def walk_paths(spark, sf_dir):
     nodes, docs, scores = _propagated(spark, sf_dir)
     trees = cut(walk.scored_tree(nodes.join(docs, "doc_id", "left_semi"), scores))
     states = cut(walk.walk(trees, walk.anchors(trees, PLAN), PLAN))
@@ -588,7 +604,7 @@ def tree_search_paths(spark, sf_dir):
 
 
 @query()
-def tree_search_nodes(spark, sf_dir):
+def walk_ranked(spark, sf_dir):
     """Tree mode over the routed conversations: walk, re-ranking, the best nodes."""
     nodes, docs, scores = _propagated(spark, sf_dir)
     trees = cut(walk.scored_tree(nodes.join(docs, "doc_id", "left_semi"), scores))

@@ -233,6 +233,7 @@ def test_folder_lifecycle(spark, tmp_path, capsys):
     (folder / "z.md").unlink()
     assert watch.sync(store, str(folder))["pruned"] == 1
     assert not any(store.verify().values()) and store.stats().first().documents == 1
+    assert store.vacuum() > 0 and store.vacuum() == 0
     assert store.delete(["nothing"]) == 0 and store.indexed_files().count() == 1
     with pytest.raises(ValueError):
         discovery.listing(spark, [str(folder)], max_files=0 or 1, extensions=[".md", ".nope"], respect_ignore=False)
