@@ -77,11 +77,13 @@ def bm25(posts: DataFrame, stats: DataFrame, expression: Node | Leaf | None, wei
     rows, frequencies = [], []
     for i, leaf in enumerate(leaves):
         found, counted = leaf_rows(posts, leaf)
-        rows.append(found.groupBy("doc_id", "node_id", "dl").agg(F.sum(_weight(weights) * F.col("hits")).alias("f")).withColumn("leaf", F.lit(i)))
+        rows.append(found.select("doc_id", "node_id", "dl", F.lit(i).alias("leaf"), (_weight(weights) * F.col("hits")).alias("f")))
         frequencies.append(counted.select("doc_id", "node_id").distinct().agg(F.count("*").alias("df")).withColumn("leaf", F.lit(i)))
-    each = reduce(DataFrame.unionByName, rows).join(F.broadcast(reduce(DataFrame.unionByName, frequencies)), "leaf").crossJoin(F.broadcast(stats))
-    part = bm25_part(F.col("n"), F.col("df"), F.col("f"), F.col("dl"), F.col("avgdl"))
-    wide = each.groupBy("doc_id", "node_id").agg(*[F.max(F.when(F.col("leaf") == i, part)).alias(f"c{i}") for i in range(len(leaves))])
+    own = lambda name: [F.when(F.col("leaf") == i, F.col(name)) for i in range(len(leaves))]
+    each = reduce(DataFrame.unionByName, rows).groupBy("doc_id", "node_id").agg(F.max("dl").alias("dl"), *[F.sum(x).alias(f"f{i}") for i, x in enumerate(own("f"))])
+    dfs = reduce(DataFrame.unionByName, frequencies).agg(*[F.max(x).alias(f"df{i}") for i, x in enumerate(own("df"))])
+    each = each.crossJoin(F.broadcast(dfs)).crossJoin(F.broadcast(stats))  # one row each
+    wide = each.select("doc_id", "node_id", *[bm25_part(F.col("n"), F.col(f"df{i}"), F.col(f"f{i}"), F.col("dl"), F.col("avgdl")).alias(f"c{i}") for i in range(len(leaves))])
     total = reduce(lambda a, b: a + b, [F.coalesce(F.col(f"c{i}"), F.lit(0.0)) for i in sorted(scored)])
     out = wide.where(matches).select("doc_id", "node_id", total.alias("score"))
     return out.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi") if doc_ids is not None else out
