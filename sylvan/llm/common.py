@@ -50,6 +50,12 @@ def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCA
     return F.broadcast(df) if rows <= limit else df
 
 
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Have this session send texts to Python in batches of at most ``most`` bytes: long texts make rows a poor measure,
+    and both the executor's buffers and the worker hold a batch whole."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def text_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut batches so that none holds more than ``most`` bytes in column ``text``, unless it is one row."""
     for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.llm.common import maybe_broadcast, stored, text_batches
+from sylvan.llm.common import maybe_broadcast, small_batches, stored, text_batches
 
 K, CHUNK, RADIUS, SHINGLE = 64, 4, 31, 3
 _WORD = re.compile(r"\w+")
@@ -89,6 +89,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, digest, sig) of each row; digest is of the word sequence, both null without words."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("text_hash", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sig", T.BinaryType())])
     return rows.mapInArrow(_sign, schema)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sylvan.llm.common import small_batches
+
 KINDS = ("EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _OPEN = re.compile(r"[\d@]")
@@ -323,6 +325,7 @@ def _finder(model: Model):
 
 def private_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, n_spans, spans, text) of the documents that hold private data; ``text`` has each span replaced by its kind."""
+    small_batches(docs.sparkSession)
     model = model or trained(docs.sparkSession)
     found = docs.select("doc_id", _finder(model)("text").alias("found")).where(F.size("found.spans") > 0)
     return found.select("doc_id", F.size("found.spans").cast("long").alias("n_spans"), "found.spans", "found.text")
@@ -330,6 +333,7 @@ def private_documents(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 def redacted(docs: DataFrame, model: Model | None = None, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with private data replaced by its kind; ``length_col``, where there is one, follows the text."""
+    small_batches(docs.sparkSession)
     model = model or trained(docs.sparkSession)
     into = "found"
     while into in docs.columns:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylvan.llm.common import small_batches
+
 #: Labelled rows used to learn terms (by hash of their id), and terms kept.
 MAX_LABELLED, MAX_TERMS = 10_000, 5_000
 #: A document is toxic from this score on, if its matches weigh ``MIN_WEIGHT`` together: one seed, or two learned terms.
@@ -138,6 +140,7 @@ def lexicon_of(docs: DataFrame, labels: DataFrame | None, **options) -> dict[str
 
 def scored(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS, into: str = "toxicity") -> DataFrame:
     """``docs`` with a struct ``into`` of score, weight, hits and words."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(into, _scorer(lexicon, exceptions)(F.col(text_col)))
 
 
