@@ -54,7 +54,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    """Each document that has near or exact copies, and the smallest id of its group."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", F.col("group_id").alias("duplicate_of"))
 
 
 QUERIES = {
