@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.functions import text as X
 
+#: Vectors of one block, and the value that stands for no cosine.
+BLOCK_VECTORS, NO_COSINE = 4096, -9.0
+
 
 def ranking_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
     """(query_id, precision, recall, hit, rr, ndcg, f1) of ``ranked`` (query_id, item, rank) against ``relevant``
@@ -53,16 +62,67 @@ def evidence_match(evidence: DataFrame, nodes: DataFrame, chars: tuple[int, ...]
     return hits.join(best, ["query_id", "i"]).select("query_id", "doc_id", "node_id").distinct()
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, embedding) as blocks of ids and one matrix of unit vectors; what has no direction is NaN."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_VECTORS):
+            ids, vectors = batch.column(0).slice(at, BLOCK_VECTORS), batch.column(1).slice(at, BLOCK_VECTORS)
+            for width in set(pc.fill_null(pc.list_value_length(vectors), 0).to_pylist()):
+                mask = pc.equal(pc.fill_null(pc.list_value_length(vectors), 0), width)
+                own = vectors.filter(mask)
+                rows = np.array([[np.nan if x is None else x for x in v] if v else [] for v in own.to_pylist()], np.float64).reshape(len(own), width)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    rows = rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+                named = ids.filter(mask)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(named)], pa.int32()), named), pa.array([width], pa.int32()), pa.array([rows.tobytes()], pa.binary())], ["ids", "width", "rows"])
+
+
+def _tops(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                asked, among = batch.column("q_ids")[i].values, batch.column("ids")[i].values
+                q, v = (np.frombuffer(batch.column(f"{x}rows")[i].as_py()).reshape(n, batch.column(f"{x}width")[i].as_py()) for x, n in (("q_", len(asked)), ("", len(among))))
+                order = pc.sort_indices(among)
+                among, v = among.take(order), v[order.to_numpy()]
+                step = max(1, 4_000_000 // len(among))
+                for at in range(0, len(asked), step):
+                    part = q[at : at + step]
+                    cosine = part @ v.T if q.shape[1] == v.shape[1] and q.shape[1] else np.full((len(part), len(among)), np.nan)
+                    cosine[np.isnan(cosine)] = NO_COSINE
+                    # what rounding may lift to the k-th place stays a candidate
+                    least = np.partition(cosine, -k, axis=1)[:, -k, None] - 2e-6 if k < len(among) else NO_COSINE
+                    row, col = np.nonzero(cosine >= least)
+                    value = np.round(cosine[row, col], 6)
+                    first = np.lexsort((col, -value, row))
+                    row, col, value = row[first], col[first], value[first]
+                    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, col, value = row[kept], col[kept], value[kept]
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(row + at)), among.take(pa.array(col)), pa.array(value, mask=value == NO_COSINE)], ["query_id", "vec_id", "cosine"])
+
+    return run
+
+
 def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, vec_id, cosine, rank): the baseline that compares each query vector with all."""
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    """(query_id, vec_id, cosine, rank): the baseline that compares each query vector with all, block by block.
+
+    A pair without a cosine (a null, a zero vector, other lengths) has null and ranks last.
+    """
     from pyspark.sql import Window as W
 
-    v = vectors.select("vec_id", F.col("embedding").alias("v"), F.sqrt(dot("embedding", "embedding")).alias("vn"))
-    q = queries.select("query_id", F.col("embedding").alias("q"), F.sqrt(dot("embedding", "embedding")).alias("qn"))
-    out = v.crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.round(dot("v", "q") / (F.col("vn") * F.col("qn")), 6).alias("cosine"))
+    spark = vectors.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    parts = math.ceil(math.sqrt(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        kind = df.schema[name].dataType.simpleString()
+        return df.select(name, "embedding").mapInArrow(_packed, f"ids array<{kind}>, width int, rows binary").repartition(parts)
+
+    own, asked = blocks(vectors, "vec_id"), blocks(queries, "query_id")
+    pairs = own.crossJoin(asked.select(*[F.col(c).alias(f"q_{c}") for c in asked.columns]))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, cosine double"
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return pairs.mapInArrow(_tops(k), schema).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def paragraph_chunks(docs: DataFrame, most: int = 1000) -> DataFrame:
