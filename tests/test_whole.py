@@ -31,3 +31,12 @@ def test_vectors_without_a_direction(spark):
     got = evaluate.cosine_top(v, v.select(F.col("vec_id").alias("query_id"), "embedding"), 4).collect()
     by = {i: [(x.vec_id, x.cosine) for x in sorted(got, key=lambda x: x.rank) if x.query_id == i] for i in (1, 2)}
     assert by == {1: [(1, 1.0), (4, 0.707107), (2, None), (3, None)], 2: [(1, None), (2, None), (3, None), (4, None)]}
+
+
+def test_every_relevant_document_supports(spark, tmp_path):
+    docs = [(i, "x", "en", "s" if i < 20 else "u", 100 - i) for i in range(24)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    good = {2, 5, 8, 12, 15, 20, 21, 22}
+    spark.createDataFrame([(i, int(i in good), 0) for i in range(24)] + [(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.query_id: (r.sp_recall, r.covered) for r in catalogue.QUERIES["sp_recall"](spark, str(tmp_path)).collect()}
+    assert got == {"s": (0.6, 0.0), "u": (1.0, 1.0)}
