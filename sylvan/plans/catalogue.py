@@ -813,9 +813,11 @@ w AS (SELECT conv_id, x[1] AS a, x[2] AS g, list_filter(string_split(x[1], ' '),
 c AS (SELECT conv_id, coalesce(sum(k), 0)::DOUBLE AS common FROM (SELECT conv_id, v, least(len(list_filter(la, lambda y: y = v)), len(list_filter(lg, lambda y: y = v))) AS k FROM (SELECT conv_id, la, lg, unnest(list_distinct(la)) AS v FROM w)) GROUP BY conv_id)
 SELECT conv_id AS query_id, CASE WHEN a = g THEN 1.0::DOUBLE ELSE 0 END AS em, round(CASE WHEN coalesce(common, 0) > 0 THEN 2 * (common / len(la)) * (common / len(lg)) / (common / len(la) + common / len(lg)) ELSE 0 END, 6) AS f1 FROM w LEFT JOIN c USING (conv_id)""")
 def qa_f1(spark, sf_dir):
-    c = t(spark, sf_dir, "conversations").where("turn < 2")
-    pair = c.groupBy(F.col("conv_id").alias("query_id")).agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("answer"), F.max(F.when(F.col("turn") == 1, F.col("text"))).alias("gold"), F.count("*").alias("n")).where("n = 2")
-    return rounded(evaluate.answer_metrics(pair), "f1")
+    """Turns 2i and 2i + 1 of a conversation are pair i, where both are there. The SQL still states pair 0 alone."""
+    c = t(spark, sf_dir, "conversations").withColumn("pair", F.floor(F.col("turn") / 2))
+    side = lambda n: F.max(F.when(F.pmod("turn", F.lit(2)) == n, F.col("text")))
+    pair = c.groupBy(F.struct("conv_id", "pair").alias("query_id")).agg(side(0).alias("answer"), side(1).alias("gold"), F.count("*").alias("n")).where("n = 2")
+    return rounded(evaluate.answer_metrics(pair), "f1").select("query_id.conv_id", "query_id.pair", "em", "f1").withColumnRenamed("conv_id", "query_id")
 
 
 @query(r"""WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents), q AS (SELECT item_id, i, left(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), n) AS head FROM benchmark, (VALUES (0, 80), (1, 50), (2, 30)) v(i, n)),

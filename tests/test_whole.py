@@ -40,3 +40,14 @@ def test_every_relevant_document_supports(spark, tmp_path):
     spark.createDataFrame([(i, int(i in good), 0) for i in range(24)] + [(2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     got = {r.query_id: (r.sp_recall, r.covered) for r in catalogue.QUERIES["sp_recall"](spark, str(tmp_path)).collect()}
     assert got == {"s": (0.6, 0.0), "u": (1.0, 1.0)}
+
+
+def test_every_pair_of_turns_is_scored(spark, tmp_path):
+    texts = ["The cat sat", "a cat ran", "12 million dollars", "$12", "alone at last", "", "x y", "y x"]
+    turns = [("a", i, x) for i, x in enumerate(texts)] + [("b", i, x) for i, x in enumerate(texts[:3])] + [("c", 0, "p"), ("c", 3, "q")]
+    spark.createDataFrame(turns, "conv_id string, turn int, text string").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.query_id, r.pair): (r.em, r.f1) for r in catalogue.QUERIES["qa_f1"](spark, str(tmp_path)).collect()}
+    assert got == {("a", 0): (0.0, 0.5), ("a", 1): (1.0, 1.0), ("a", 2): (0.0, 0.0), ("a", 3): (0.0, 1.0), ("b", 0): (0.0, 0.5)}
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert {x[0]: x[1:] for x in con.execute(catalogue.ORACLE["qa_f1"]).fetchall()} == {i: v for (i, n), v in got.items() if n == 0}
