@@ -1,16 +1,19 @@
 """Text of web pages without the templates of their sites.
 
 Each page is parsed to a tree of elements; the hash of an element is of its tag, its own text and the hashes of its
-children. Per host, Spark counts on how many pages each hash occurs. An element whose hash occurs on many pages of its host
-(``MIN_PAGES`` and ``MIN_SHARE`` of them) is a template: it is deleted with all within it, and the text of the rest is
-extracted, block by block. Elements of fewer than ``MIN_CHARS`` characters of text and the page as a whole (html, body,
+children. Per host, Spark counts among how many page contents each hash occurs. An element whose hash occurs among many contents of
+its host (``MIN_PAGES`` and ``MIN_SHARE`` of them) is a template: it is deleted with all within it, and the text of the rest
+is extracted, block by block. Elements of fewer than ``MIN_CHARS`` characters of text and the page as a whole (html, body,
 head) are never templates.
 
+The content of a page is its longest run of own text of an element, other than of elements on more than half of the pages
+of a host of ``MANY_PAGES`` or more. Copies of one article count once, whatever surrounds them, and all keep it.
+
 A host has few templates however many pages it has (at most elements a page / ``MIN_SHARE``), so they travel as one list
 a host: broadcast while all lists together are small, else joined by host and a salt that spreads large hosts.
 
 Defined cases: a null or empty html has null or empty text; a null or hostless url belongs to the host "" that has no
-templates; each row is a page, so repeated rows count apiece; broken markup is read on as far as it goes (unclosed
+templates; repeated rows are one content; broken markup is read on as far as it goes (unclosed
 elements end with their parent, unknown ends are skipped); further columns are ignored.
 """
 
@@ -29,6 +32,8 @@ from pyspark.sql import types as T
 from sylvan.llm.common import BROADCAST_ROWS, stored, text_batches
 
 MIN_PAGES, MIN_SHARE, MIN_CHARS = 3, 0.005, 15
+#: Of an element on more than this share of a host's pages, if they are so many or more, the text is nobody's content.
+MANY_PAGES, MOST_PAGES = 10, 0.5
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea svg iframe".split())
@@ -127,10 +132,20 @@ def text_of(root: Element, templates: frozenset[int] | set[int]) -> tuple[str, i
     return "\n".join(x for x in lines if x), deleted
 
 
+def contents(done: list[Element]) -> list[tuple[int, int]]:
+    """Hashes of each element's own text and of the element, from the longest text on."""
+    own = ((e, "".join(p for p in e.parts if isinstance(p, str)).strip()) for e in done)
+    found = sorted((-len(text), xxhash.xxh3_64_intdigest(text) - (1 << 63), e.hash) for e, text in own if text)
+    return [(text, element) for _, text, element in found]
+
+
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in text_batches(batches, 1):
-        found = [sorted(candidates(parse(h)[1])) if h else [] for h in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["host", "hashes"])
+        done = [parse(h)[1] if h else [] for h in batch.column(1).to_pylist()]
+        found = [sorted(candidates(d)) for d in done]
+        own = [contents(d) for d in done]
+        lists = [pa.array([[x[k] for x in row] for row in own], pa.list_(pa.int64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64())), *lists], ["host", "hashes", "texts", "elements"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,25 +166,48 @@ def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates): the hashes of each host's templates."""
+def _parsed(pages: DataFrame) -> DataFrame:
+    """(host, hashes, texts, elements) of each page of a host."""
     rows = pages.select(host_of(F.col("url")).alias("host"), "html").where("host <> ''")
-    each = rows.mapInArrow(_hashes, "host string, hashes array<long>")
+    return rows.mapInArrow(_hashes, "host string, hashes array<long>, texts array<long>, elements array<long>")
+
+
+def _recurring(each: DataFrame, min_pages: int, min_share: float) -> DataFrame:
     counted = each.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    sizes = rows.groupBy("host").agg(F.count("*").alias("pages"))
+    sizes = each.groupBy("host").agg(F.count("*").alias("pages"))
     return counted.join(sizes, "host").where(F.col("n") >= F.lit(min_share) * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("templates"))
 
 
-def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, salts: int = 32) -> DataFrame:
-    """(page_id, url, text, deleted) of each row."""
-    per_host = stored(templates(pages, min_pages, min_share), "templates")
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, templates): the hashes that recur on the pages of each host, each row a page."""
+    return _recurring(_parsed(pages), min_pages, min_share)
+
+
+def _with_lists(rows: DataFrame, per_host: DataFrame, salt: list[str], salts: int) -> DataFrame:
+    """``rows`` with the ``templates`` of their hosts."""
     size = per_host.agg(F.sum(F.size("templates") + 1)).first()[0] or 0
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     if size <= 4 * BROADCAST_ROWS:
-        rows = rows.join(F.broadcast(per_host), "host", "left")
-    else:
-        salted = per_host.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+        return rows.join(F.broadcast(per_host), "host", "left")
+    salted = per_host.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(*salt), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+
+
+def content_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, salts: int = 32) -> DataFrame:
+    """(host, templates): the hashes that recur among the distinct contents of each host's pages."""
+    each = stored(_parsed(pages), "parsed")
+    many = each.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MANY_PAGES)
+    common = stored(_recurring(each, 1, MOST_PAGES + 1e-9).join(many, "host", "left_semi"), "common")
+    own = F.filter(F.arrays_zip("texts", "elements"), lambda x: ~F.array_contains(F.coalesce("templates", F.array().cast("array<long>")), x["elements"]))
+    keyed = _with_lists(each, common, ["hashes"], salts).select("host", "hashes", F.get(own, F.lit(0))["texts"].alias("content")).where("content is not null")
+    merged = keyed.select("host", "content", F.explode("hashes").alias("hash")).distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    sizes = keyed.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("contents"))
+    return merged.join(sizes, "host").where(F.col("n") >= F.lit(min_share) * F.col("contents")).groupBy("host").agg(F.sort_array(F.collect_list("hash")).alias("templates"))
+
+
+def extracted(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, salts: int = 32) -> DataFrame:
+    """(page_id, url, text, deleted) of each row."""
+    per_host = stored(content_templates(pages, min_pages, min_share, salts), "templates")
+    rows = _with_lists(pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host")), per_host, ["page_id", "url"], salts)
     kinds = pages.schema
     schema = T.StructType([T.StructField("page_id", kinds["page_id"].dataType), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("deleted", T.LongType())])
     return rows.select("page_id", "url", "html", "host", "templates").mapInArrow(_texts, schema)

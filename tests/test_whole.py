@@ -51,3 +51,23 @@ def test_every_pair_of_turns_is_scored(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
     assert {x[0]: x[1:] for x in con.execute(catalogue.ORACLE["qa_f1"]).fetchall()} == {i: v for (i, n), v in got.items() if n == 0}
+
+
+def test_republished_articles_stay_and_templates_go(spark):
+    from sylvan.llm import html_template
+
+    from .llm.conftest import prose
+
+    def page(i, article, nav="Home and all news", notice=""):
+        return (i, f"https://a.example.com/en/{i}", f"<html><head><title>T{i}</title></head><body><nav><ul><li>{nav}</ul></nav><div>{notice}</div><article><h1>About {article} at length</h1><p>{prose(article, 30)}</p></article><footer>All rights of no. {i % 2}</footer></body></html>")
+
+    rows = [page(i, i) for i in range(20)] + [page(20 + i, 7, nav=f"The shelf number {i}") for i in range(5)] + [page(3, 3)] * 4
+    got = {r.page_id: r for r in html_template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(25):
+        article = i if i < 20 else 7
+        assert f"About {article} at length\n{prose(article, 30)}" in got[i].text and "All rights" not in got[i].text
+    assert "Home and" not in got[3].text and got[3].deleted == 2
+    # a notice longer than any article, on all pages, is nobody's content
+    rows = [page(i, i if i < 20 else 7, notice=prose(99, 200)) for i in range(24)]
+    got = html_template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.deleted == 3 and prose(99, 200) not in r.text and prose(r.page_id if r.page_id < 20 else 7, 30) in r.text for r in got)
