@@ -1,8 +1,8 @@
 """Personal data and secrets: a linear-chain conditional random field over word shapes.
 
-Tokens are runs of characters other than white space and a few separators. Only tokens with a digit or an at sign are open:
-all others are fixed to ``O``, in training as in decoding, so the chain falls into segments of open neighbours that are
-decoded apart without loss. The model is trained here, by gradient ascent on a small labelled table that is written by
+Tokens are runs of characters other than white space and a few separators. Open are tokens with a digit or an at sign, the
+one after a word such as password or key, and the letters of an IBAN in printed groups: all others are fixed to ``O``, in
+training as in decoding, so the chain falls into segments of open neighbours that are decoded apart without loss. The model is trained here, by gradient ascent on a small labelled table that is written by
 rule (:func:`labelled_table`), and decoded by Viterbi over numpy batches of segments of one length.
 
 Kinds: EMAIL, PHONE, IP, CARD (13 to 19 digits with a right check digit), SECRET (keys and tokens), SSN, IBAN.
@@ -31,6 +31,9 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 _OPEN = re.compile(r"[\d@]")
 _STOP = set(" \t\n\r\x0b\x0c   \"'<>=|,;")
 _EDGE = re.compile("[\\s\"'<>=|,;]")
+_NAMES = ("pass", "pwd", "secret", "token", "key")
+_NAMED = re.compile(r"(?<![^\W_])(pass(?:word|wd|phrase)|pwd|secret|token|(?:api)?key)(?:[:\s\"'<>=|,;]{0,3}[\s\"'<>=|,;])(?=[^\W\d_]{4})", re.I)
+_IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?!\w)")
 _LEAD, _TAIL = re.compile(r"^[^\w+(]+"), re.compile(r"[^\w)]+$")
 SPANS = "array<struct<start: int, end: int, kind: string>>"
 
@@ -43,21 +46,72 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _unmarked(text: str) -> set[tuple[int, int]]:
+    """Spans of the tokens that are open for what is before them: a name of a secret, or the head of a grouped IBAN."""
+    out = set()
+    low = text.lower()
+    if any(n in low for n in _NAMES):
+        for m in _NAMED.finditer(text):
+            end = _EDGE.search(text, m.end())
+            out.add((m.end(), end.start() if end else len(text)))
+    for m in _IBAN.finditer(text):
+        for g in re.finditer(r"[A-Z]+(?=\s)", m[0] + " "):
+            end = _EDGE.search(text, m.start() + g.end())
+            if text[m.start() + g.start() - 1] == " ":
+                out.add((m.start() + g.start(), end.start() if end else len(text)))
+    return out
+
+
 def segments(text: str) -> list[list[tuple[int, int]]]:
     """Spans of the open tokens, neighbours together."""
-    out: list[list[tuple[int, int]]] = []
-    at = last = 0
+    found = _unmarked(text)
+    at = 0
     while m := _OPEN.search(text, at):
         start = m.start()
         while start > at and text[start - 1] not in _STOP and not text[start - 1].isspace():
             start -= 1
         end = _EDGE.search(text, m.end())
         end = end.start() if end else len(text)
+        found.add((start, end))
+        at = end
+    out: list[list[tuple[int, int]]] = []
+    last = 0
+    for start, end in sorted(found):
         if out and not text[last:start].strip(" \t\n\r\"'<>=|,;"):
             out[-1].append((start, end))
         else:
             out.append([(start, end)])
-        at = last = end
+        last = end
+    return out
+
+
+def groups_of(tokens: list[str]) -> list[str]:
+    """For each of neighbouring tokens its part in a card or an IBAN in printed groups, or nothing."""
+    out = [""] * len(tokens)
+    cores = [_core(t) for t in tokens]
+    i = 0
+    while i < len(cores) - 1:
+        end, kind = 0, ""
+        if re.fullmatch(r"[A-Z]{2}\d{2}", cores[i]):
+            j, n = i + 1, 4
+            while j < len(cores) and re.fullmatch(r"[A-Z0-9]{4}", cores[j]) and n < 32:
+                n, j = n + 4, j + 1
+            if j < len(cores) and re.fullmatch(r"(?=.*\d)[A-Z0-9]{1,3}", cores[j]) and n >= 12:
+                n, j = n + len(cores[j]), j + 1
+            end, kind = (j, "iban") if 15 <= n <= 34 else (0, "")
+        elif re.fullmatch(r"[0-9]{4}", cores[i]) and not (i and re.fullmatch(r"[0-9]{4}", cores[i - 1])):
+            digits = cores[i]
+            for j in range(i + 1, min(len(cores), i + 5)):
+                if not re.fullmatch(r"[0-9]{1,7}", cores[j]):
+                    break
+                digits += cores[j]
+                if 13 <= len(digits) <= 19 and luhn(digits) and not end:
+                    end, kind = j + 1, "card"
+                if len(cores[j]) < 4:
+                    break
+        for j in range(i, end):
+            out[j] = f"{'I' if j > i else 'B'}{kind}"
+        i = max(end, i + 1)
     return out
 
 
@@ -74,8 +128,8 @@ def _kind(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[^\W\d_]", "x", re.sub(r"\d", "0", word)))[:12]
 
 
-def features(token: str, before: str, after: str) -> list[str]:
-    """Names of the features of a token between two others."""
+def features(token: str, before: str, after: str, group: str = "") -> list[str]:
+    """Names of the features of a token between two others, with its part in printed groups."""
     core = _core(token)
     digits = re.sub(r"\D", "", core)
     plain = re.sub(r"[ -]", "", core)
@@ -93,6 +147,13 @@ def features(token: str, before: str, after: str) -> list[str]:
         out.append("hex")
     if re.fullmatch(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}", core):
         out.append("iban")
+    if group:
+        out.append(f"g={group}")
+    if not _OPEN.search(token):
+        name = "pass" if re.search("(?i)pass|pwd", before) else "other"
+        told = before[-1:] in (":", "=")
+        odd = bool(re.search(r"[a-z][A-Z]|[A-Z][a-z]*[A-Z]", core) or re.search(r"(?i)[bcdfghj-np-tv-z]{6}", core))
+        out += ["letters", f"t={name}{told}", f"odd={odd}{min(len(core) // 8, 3)}", f"u={name}{told}{len(core) > 5}"]
     return out
 
 
@@ -102,7 +163,7 @@ class Model:
     def __init__(self, names: dict[str, int], emit: np.ndarray, move: np.ndarray):
         self.names, self.emit, self.move = names, emit, move
 
-    def scores(self, tokens: list[tuple[str, str, str]]) -> np.ndarray:
+    def scores(self, tokens: list[tuple[str, ...]]) -> np.ndarray:
         out = np.zeros((len(tokens), len(LABELS)))
         for i, t in enumerate(tokens):
             out[i] = self.emit[[self.names[f] for f in features(*t) if f in self.names]].sum(axis=0)
@@ -125,8 +186,8 @@ def viterbi(scores: np.ndarray, move: np.ndarray) -> np.ndarray:
     return labels
 
 
-def decode(model: Model, chains: list[list[tuple[str, str, str]]]) -> list[np.ndarray]:
-    """Labels of each chain of (token, before, after): chains of one length are one batch."""
+def decode(model: Model, chains: list[list[tuple[str, ...]]]) -> list[np.ndarray]:
+    """Labels of each chain of (token, before, after, part in groups): chains of one length are one batch."""
     by_length: dict[int, list[int]] = defaultdict(list)
     for i, c in enumerate(chains):
         by_length[len(c)].append(i)
@@ -141,12 +202,14 @@ def decode(model: Model, chains: list[list[tuple[str, str, str]]]) -> list[np.nd
     return out
 
 
-def chain_of(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str, str]]:
-    """Tokens of a segment with the token before and after each."""
+def chain_of(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, str, str, str]]:
+    """Tokens of a segment with the token before (and an equals sign after that) and after each, and the part in groups."""
     before = re.findall("[^\\s\"'<>=|,;]+", text[max(0, spans[0][0] - 60) : spans[0][0]])
     after = re.findall("[^\\s\"'<>=|,;]+", text[spans[-1][1] : spans[-1][1] + 60])
+    if before and "=" in text[max(0, spans[0][0] - 3) : spans[0][0]]:
+        before[-1] += "="
     words = [before[-1] if before else "", *(text[s:e] for s, e in spans), after[0] if after else ""]
-    return list(zip(words[1:-1], words, words[2:], strict=False))
+    return list(zip(words[1:-1], words, words[2:], groups_of(words[1:-1]), strict=False))
 
 
 def find(model: Model, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
@@ -205,7 +268,21 @@ def _written(seed: int, count: int) -> list[list[tuple[str, str]]]:
         return r.choice([[f"+{r.randint(1, 99)}", f"({a})", f"{b}-{c}"], [f"+{r.randint(1, 99)}", f"({a})", f"{b}-{c}"], [f"({a})", f"{b}-{c}"], [f"{a}-{b}-{c}"], [f"+{r.randint(1, 99)}-{a}-{b}-{c}"], [f"+{r.randint(1, 99)}", a, b, c], [f"+{r.randint(1, 99)}{a}{b}{c}"], [f"{a}.{b}.{c}"]])
 
     secret = lambda: r.choice([hexes(40), hexes(40).upper(), hexes(32), hexes(64), "AKIA" + "".join(r.choices(string.ascii_uppercase + string.digits, k=15)) + digits(1), "sk-" + "".join(r.choices(string.ascii_letters + string.digits, k=30)) + digits(2), "ghp_" + "".join(r.choices(string.ascii_letters + string.digits, k=34)) + digits(2)])
+    letters = lambda: "".join(r.choices(r.choice([string.ascii_letters, string.ascii_letters, string.ascii_lowercase]), k=r.randint(16, 40)))
+    names = ("password", "passwd", "pwd", "passphrase"), ("secret", "token", "key", "api_key", "apikey")
+    plain = lambda: "".join(r.choices(syllables, k=r.randint(3, 6)))
+    cut = lambda x, sizes: [y for k, n in enumerate(sizes) if (y := x[sum(sizes[:k]) : sum(sizes[:k]) + n])]
+    fours = lambda x: cut(x, [4] * 9)
+
+    def grouped_card(valid: bool) -> list[str]:
+        x = card(valid)
+        return cut(x, [4, 6, 5]) if len(x) == 15 else fours(x)
+
+    def grouped_iban() -> list[str]:
+        return fours(r.choice(["DE", "FR", "GB", "ES", "NL"]) + digits(2) + r.choice(["", "", "".join(r.choices(string.ascii_uppercase, k=4))]) + digits(r.randint(14, 20)))
+
     decoys = (
+        lambda: " ".join(grouped_card(False)), lambda: f"{r.choice(r.choice(names))} {word()}", lambda: f"{r.choice(r.choice(names))} {plain()}", lambda: f"{r.choice(names[1])}{r.choice([':', '='])} {plain()}",
         lambda: f"{r.randint(1, 9)}.{r.randint(0, 9)}.", lambda: f"{r.randint(1, 40)}.", lambda: f"{r.randint(1, 9)}.{r.randint(0, 30)}.{r.randint(0, 30)}", lambda: str(r.randint(1, 2100)),
         lambda: f"{r.randint(1900, 2030)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{r.randint(1, 23)}:{r.randint(0, 59):02}", lambda: f"${r.randint(1, 999)}.{digits(2)}", lambda: f"{r.randint(1, 100)}%",
         lambda: f"#{digits(r.randint(2, 7))}", lambda: digits(r.randint(5, 12)), lambda: f"{r.randint(300, 999)}.{r.randint(256, 999)}.{r.randint(0, 999)}.{r.randint(0, 999)}", lambda: f"mp{r.randint(3, 4)}", lambda: f"v{r.randint(1, 9)}.{r.randint(0, 9)}",
@@ -223,7 +300,11 @@ def _written(seed: int, count: int) -> list[list[tuple[str, str]]]:
                 kind = r.choice([*KINDS, "CARD", "SECRET", "IP", "PHONE", "EMAIL"])
                 if r.random() < 0.4 or kind in ("SSN", "IBAN"):
                     row.append((r.choice(spoken[kind]), "O"))
-                parts = {"EMAIL": lambda: [email()], "PHONE": phone, "IP": lambda: [".".join(str(r.randint(0, 255)) for _ in range(4))], "CARD": lambda: [card(True)], "SECRET": lambda: [secret()], "SSN": lambda: [f"{digits(3)}-{digits(2)}-{digits(4)}"], "IBAN": lambda: [r.choice(["DE", "FR", "GB", "ES"]) + digits(2) + digits(r.randint(14, 20))]}[kind]()
+                parts = {"EMAIL": lambda: [email()], "PHONE": phone, "IP": lambda: [".".join(str(r.randint(0, 255)) for _ in range(4))], "CARD": lambda: r.choice([[card(True)], [card(True)], grouped_card(True), ["-".join(grouped_card(True))]]), "SECRET": lambda: [secret()], "SSN": lambda: [f"{digits(3)}-{digits(2)}-{digits(4)}"], "IBAN": lambda: r.choice([[r.choice(["DE", "FR", "GB", "ES"]) + digits(2) + digits(r.randint(14, 20))], grouped_iban()])}[kind]()
+                if kind == "SECRET" and r.random() < 0.3:
+                    mark = r.choice([":", "=", ""])
+                    row.append((r.choice(names[bool(r.random() < 0.5)]) + mark, "O"))
+                    parts = [plain() if mark and row[-1][0][:2] in ("pa", "pw") and r.random() < 0.5 else letters()]
                 parts[-1] += noise
                 row += [(p, f"{'I' if i else 'B'}-{kind}") for i, p in enumerate(parts)]
             row += [(word(), "O") for _ in range(r.choice([0, 1, 1, 2, 3]))]
@@ -243,15 +324,12 @@ def train(rows: list[tuple[int, int, str, str]], steps: int = 120, rate: float =
         sentences[s].append((t, LABELS.index(y)))
     chains: list[tuple[list, list[int]]] = []
     for row in sentences.values():
-        words = ["", *(t for t, _ in row), ""]
-        last = -2
-        for i, (t, y) in enumerate(row):
-            if _OPEN.search(t):
-                if last != i - 1:
-                    chains.append(([], []))
-                chains[-1][0].append(features(t, words[i], words[i + 2]))
-                chains[-1][1].append(y)
-                last = i
+        text, labels = "", {}
+        for t, y in row:
+            labels[len(text)] = y
+            text += f"{t} "
+        for spans in segments(text):
+            chains.append(([features(*x) for x in chain_of(text, spans)], [labels.get(start, 0) for start, _ in spans]))
     names: dict[str, int] = {}
     for c, _ in chains:
         for fs in c:

@@ -71,3 +71,23 @@ def test_republished_articles_stay_and_templates_go(spark):
     rows = [page(i, i if i < 20 else 7, notice=prose(99, 200)) for i in range(24)]
     got = html_template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r.deleted == 3 and prose(99, 200) not in r.text and prose(r.page_id if r.page_id < 20 else 7, 30) in r.text for r in got)
+
+
+def test_private_data_in_groups_and_letters(spark):
+    from sylvan.llm import pii
+
+    model = pii.trained(spark)
+    texts = {
+        "paid with 4111 1111 1111 1111 today": "paid with <CARD> today",
+        "card 3782 822463 10005.": "card <CARD>.",
+        "card 4111-1111-1111-1111 ok": "card <CARD> ok",
+        "not 4111 1111 1111 1112 today": None,
+        "to DE89 3704 0044 0532 0130 00 please": "to <IBAN> please",
+        "to GB29 NWBK 6016 1331 9268 19 please": "to <IBAN> please",
+        "password: correcthorse and more": "password: <SECRET> and more",
+        "api_key=QwErTyUiOpAsDfGhJkLzXcVb now": "api_key=<SECRET> now",
+        "the password policy and the key thing": None,
+        "a token ring, the secret garden": None,
+    }
+    got = pii.find(model, list(texts))
+    assert [pii.redact(t, s) if s else None for t, s in zip(texts, got, strict=True)] == list(texts.values())
