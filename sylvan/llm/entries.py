@@ -37,7 +37,8 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed_dedup.similar_pairs(table(spark, sf_dir, "embeddings"))
+    """Every vector with its class and the number of its links."""
+    return embed_dedup.near_classes(table(spark, sf_dir, "embeddings"))
 
 
 def op7_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,9 +124,10 @@ ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY scor
 SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
 """,
     "op6_embedding_near_dedup": """
-SELECT a.vec_id AS vec_id_a, b.vec_id AS vec_id_b, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
-FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id
-WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.9::DOUBLE
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9::DOUBLE),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, link.b FROM reach r JOIN link ON link.a = r.b)
+SELECT a AS vec_id, min(reach.b) AS class_id, (SELECT count(*) FROM link WHERE link.a = reach.a) AS links FROM reach GROUP BY a
 """,
     "op7_warc_revisits": """
 WITH page AS (SELECT DISTINCT page_id, url, 'sha256:' || sha256(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_length FROM pages),

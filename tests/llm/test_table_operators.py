@@ -162,29 +162,90 @@ class TestTopK:
 
 
 class TestEmbeddings:
-    def test_is_brute_force(self, spark, monkeypatch):
+    def brute(self, rows, width, threshold=0.9):
+        """Every pair in double precision; components by relabelling."""
+        all_ = [(i, np.array(v, float)) if v and len(v) == width and all(x is not None and np.isfinite(x) for x in v) and any(v) else (i, None) for i, v in rows]
+        sizes = [None if v is None else v / np.abs(v).max() for _, v in all_]
+        links, label = [0] * len(all_), list(range(len(all_)))
+        for k, a in enumerate(sizes):
+            for j in range(k + 1, len(sizes)):
+                b = sizes[j]
+                if a is not None and b is not None and a @ b / math.sqrt((a @ a) * (b @ b)) >= threshold:
+                    links[k], links[j] = links[k] + 1, links[j] + 1
+                    old, new = label[j], label[k]
+                    label = [new if x == old else x for x in label]
+        least = {}
+        for (i, _), g in zip(all_, label, strict=True):
+            least[g] = i if least.get(g) is None or i is not None and i < least[g] else least[g]
+        return sorted(((i, least[g], n) for (i, _), g, n in zip(all_, label, links, strict=True)), key=repr)
+
+    def rows(self):
         r = np.random.default_rng(3)
         base = r.normal(size=(120, 24))
-        x = np.concatenate([base, base[:30] + r.normal(scale=0.05, size=(30, 24)), base[:10], base[:5] * 7]).astype(np.float32)
-        rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, []), (902, [0.0] * 24), (903, [1.0] * 3), (904, [float("nan")] * 24), (0, x[0].tolist())]
+        chain = np.cumsum(np.concatenate([base[:1], r.normal(scale=0.3, size=(20, 24))]), axis=0)
+        x = np.concatenate([base, base[:30] + r.normal(scale=0.05, size=(30, 24)), base[:10], base[:5] * 7, chain]).astype(np.float32)
+        odd = [(900, None), (901, []), (902, [0.0] * 24), (903, [1.0] * 3), (904, [float("nan")] * 24), (905, [None] + [1.0] * 23), (None, x[3].tolist()), (None, [-1.0] * 24), (0, x[0].tolist())]
+        return [(i, v.tolist()) for i, v in enumerate(x)] + odd
+
+    @pytest.mark.parametrize(("tile", "guests"), [(8192, 8), (64, 1), (64, 2)])
+    def test_is_brute_force(self, spark, monkeypatch, tile, guests):
+        rows = self.rows()
         df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
         monkeypatch.setattr(embed_dedup, "BLOCK", 16)
-        got = sorted((r.vec_id_a, r.vec_id_b, r.cosine) for r in embed_dedup.similar_pairs(df, 0.9, tile=40).collect())
-        all_ = [(i, np.array(v, float)) for i, v in rows if v and len(v) == 24 and 0 < np.dot(v, v) < np.inf]
-        want = []
-        for k, (i, a) in enumerate(all_):
-            for j, b in all_[k + 1 :]:
-                c = a @ b / math.sqrt((a @ a) * (b @ b))
-                if c >= 0.9:
-                    want.append((min(i, j), max(i, j), round(c, 6)))
-        assert [g[:2] for g in got] == [w[:2] for w in sorted(want)]
-        assert all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, sorted(want), strict=True)) and (0, 0) in {g[:2] for g in got}
-
-    def test_empty_and_two_dimensions(self, spark):
+        monkeypatch.setattr(embed_dedup, "GUESTS", guests)
+        got = sorted(((r.vec_id, r.class_id, r.links) for r in embed_dedup.near_classes(df, 0.9, tile=tile).collect()), key=repr)
+        assert got == self.brute(rows, 24) and max(n for _, _, n in got) > 3
+
+    def test_one_hot_cell_of_many_tiles(self, spark):
+        r = np.random.default_rng(5)
+        x = 1 + r.normal(scale=0.35, size=(500, 8))
+        rows = [(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+        got = sorted(((v.vec_id, v.class_id, v.links) for v in embed_dedup.near_classes(df, tile=64).collect()), key=repr)
+        assert got == self.brute(rows, 8)
+
+    def test_every_pair_of_tiles_meets_once(self):
+        r = random.Random(1)
+        cells = [(a, b, r.randint(1, 900)) for a in range(-2, 3) for b in range(-2, 2) if r.random() < 0.8]
+        table = {(a, b): (n, total, homes) for a, b, n, total, homes in embed_dedup._tiles(cells, 64)}
+        met, places = Counter(), defaultdict(set)
+        for (a, b), (n, _, homes) in table.items():
+            for own in range(n):
+                for a2, b2, n2, offset in homes:
+                    itself = (a2, b2) == (a, b)
+                    for t in range(own if itself else n2):
+                        met[(a2, b2, t), (a, b, own)] += 1
+                        place = own - t - 1 if itself else offset - t + own
+                        assert place not in places[a2, b2, t]
+                        places[a2, b2, t].add(place)
+        near = {((a, b, s), (c, d, t)) for (a, b), (n, _, _) in table.items() for (c, d), (m, _, _) in table.items() if abs(a - c) < 2 and abs(b - d) < 2 for s in range(n) for t in range(m) if (a, b, s) < (c, d, t)}
+        assert set(met) == near and set(met.values()) <= {1}
+        assert all(places[a, b, t] == set(range(total - t)) for (a, b), (n, total, _) in table.items() for t in range(n))
+
+    def test_empty_clashing_huge_and_two_dimensions(self, spark):
+        from pyspark.sql import functions as F
+
         none = spark.createDataFrame([], "vec_id long, embedding array<float>")
-        assert embed_dedup.similar_pairs(none).count() == 0
-        flat = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.99, 0.05]), (3, [-1.0, 0.0]), (None, [1.0, 0.01])], "vec_id long, embedding array<float>")
-        assert {(r.vec_id_a, r.vec_id_b) for r in embed_dedup.similar_pairs(flat).collect()} == {(1, 2), (None, 1), (None, 2)}
+        assert embed_dedup.near_classes(none).count() == 0
+        flat = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.99e200, 0.05e200]), (3, [-1.0, 0.0]), (None, [1e-200, 0.01e-200])], "vec_id long, embedding array<double>")
+        want = [(1, 1, 2), (2, 1, 2), (3, 3, 0), (None, 1, 2)]
+        assert sorted(((r.vec_id, r.class_id, r.links) for r in embed_dedup.near_classes(flat).collect()), key=repr) == sorted(want, key=repr)
+        odd = flat.select("*", *[F.lit("x").alias(c) for c in ("nid", "h1", "h2", "a", "b", "tile", "links", "root", "class_id", "copies", "least", "home")])
+        assert rows_of(embed_dedup.near_classes(odd)) == rows_of(embed_dedup.near_classes(flat))
+        named = spark.createDataFrame([("b", [1.0, 1.0]), ("a", [1.0, 1.0]), ("c", None)], "vec_id string, embedding array<double>")
+        assert rows_of(embed_dedup.near_classes(named)) == sorted(map(repr, [("a", "a", 1), ("b", "a", 1), ("c", "c", 0)]))
+
+    def test_query_is_its_sql_where_vectors_link(self, spark, tmp_path):
+        import duckdb
+
+        from sylvan.llm import entries
+
+        rows = [(i, v) for i, v in self.rows()[:186]]
+        spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+        got = sorted((r.vec_id, r.class_id, r.links) for r in entries.op6_embedding_near_dedup(spark, str(tmp_path)).collect())
+        con = duckdb.connect()
+        con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+        assert got == sorted(con.execute(entries.ORACLE["op6_embedding_near_dedup"]).fetchall()) and max(n for _, _, n in got) > 3
 
 
 class TestArchives:
