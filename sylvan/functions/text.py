@@ -28,9 +28,12 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(fold(text), F.lit("")), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
-def cjk_tokens(text: Column, mode: str = "bigram") -> Column:
-    """Tokens whose Chinese, Japanese ideograph runs become overlapping pairs (``bigram``) or single signs (``char``)."""
+def cjk_tokens(text: Column, mode: str = "bigram", dictionary: tuple[str, ...] = ()) -> Column:
+    """Tokens whose runs of Chinese or Japanese ideographs become overlapping pairs (``bigram``), single signs (``char``),
+    or the longest words of ``dictionary`` from the left, other signs alone (``word``)."""
     runs = F.regexp_extract_all(F.coalesce(fold(text), F.lit("")), F.lit(f"({CJK}+|(?:(?!{CJK})[\\p{{L}}\\p{{N}}])+)"), F.lit(1))
+    if mode == "word":
+        return F.flatten(F.transform(runs, lambda run: F.when(run.rlike(CJK), F.regexp_extract_all(run, F.lit(word_pattern(dictionary)), F.lit(0))).otherwise(F.array(run))))
     size = 2 if mode == "bigram" else 1
 
     def split(run: Column) -> Column:
@@ -40,6 +43,16 @@ def cjk_tokens(text: Column, mode: str = "bigram") -> Column:
     return F.flatten(F.transform(runs, split))
 
 
+def word_pattern(dictionary: tuple[str, ...]) -> str:
+    """Words of a dictionary, the longest first, and any other sign alone."""
+    return "|".join([*sorted({w for w in dictionary if w}, key=lambda w: (-len(w), w)), "."])
+
+
+def index_tokens(text: Column, mode: str = "bigram", dictionary: tuple[str, ...] = ()) -> Column:
+    """Tokens of an indexed text: those of :func:`cjk_tokens` where it holds an ideograph, else plain ones."""
+    return F.when(text.rlike(CJK), cjk_tokens(text, mode, dictionary)).otherwise(tokens(text))
+
+
 def search_tokens(text: Column, stop_words: bool = True, least: int = 2) -> Column:
     """Lower-case words of two characters or more, without stop words."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda x: F.length(x) >= least)

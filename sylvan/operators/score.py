@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 from sylvan.config import DOCUMENTED
 from sylvan.functions import text as X
-from sylvan.plans.query import Leaf, Node
+from sylvan.operators.lineage import cut
+from sylvan.plans.query import Cut, Leaf, Node
 
 K1, B = 1.2, 0.75
+#: Words of all queries of a batch (a word a query) up to which they are broadcast: some 100 MB.
+BATCH_TERMS = 1_000_000
 
 
 def _weight(weights: dict[str, float]) -> Column:
@@ -94,16 +97,23 @@ def bm25_part(n: Column, df: Column, f: Column, dl: Column, avgdl: Column) -> Co
     return idf * f * (K1 + 1) / (f + K1 * (1 - B + B * dl / avgdl))
 
 
-def bm25_batch(posts: DataFrame, stats: DataFrame, queries: DataFrame, weights: dict[str, float] = DOCUMENTED) -> DataFrame:
-    """(query_id, doc_id, node_id, score) of plain queries (query_id, query), all at once."""
+def bm25_batch(posts: DataFrame, stats: DataFrame, queries: DataFrame, weights: dict[str, float] = DOCUMENTED, how: Cut | None = None) -> DataFrame:
+    """(query_id, doc_id, node_id, score) of plain queries (query_id, query), all at once.
+
+    The queries' words (with their frequencies) are the small side: as long as its size, counted, allows, it is broadcast
+    and the postings stay where they are, whatever words are frequent; beyond that the join shuffles, and skew is split."""
+    how = how or Cut()
     squeezed = F.transform(F.split(F.coalesce("query", F.lit("")), r"\s+"), lambda w: F.regexp_replace(w, r"(?U)[^\w]", ""))
     kept = F.filter(squeezed, lambda w: ~F.upper(w).isin("AND", "OR", "NOT", "NEAR"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(kept, X.tokens)))).alias("term"))
+    asked = cut(queries.select("query_id", F.explode(F.array_distinct(F.flatten(F.transform(kept, lambda w: X.index_tokens(w, how.mode, how.dictionary))))).alias("term")))
     wanted = asked.select("term").distinct()
-    hits = posts.join(wanted, "term", "left_semi").groupBy("term", "doc_id", "node_id", "dl").agg(F.sum(_weight(weights) * F.col("tf")).alias("f"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    parts = hits.join(df, "term").crossJoin(F.broadcast(stats)).select("term", "doc_id", "node_id", bm25_part(F.col("n"), F.col("df"), F.col("f"), F.col("dl"), F.col("avgdl")).alias("p"))
-    return asked.join(parts, "term").groupBy("query_id", "doc_id", "node_id").agg(F.sum("p").alias("score"))
+    small = F.broadcast if asked.count() <= BATCH_TERMS else (lambda df: df)
+    own = posts.join(small(wanted), "term", "left_semi")
+    df = own.select("term", "doc_id", "node_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    side = cut(asked.join(df, "term").groupBy("term", "df").agg(F.sort_array(F.collect_list("query_id")).alias("ids")))
+    hits = own.groupBy("term", "doc_id", "node_id", "dl").agg(F.sum(_weight(weights) * F.col("tf")).alias("f"))
+    parts = hits.join(small(side), "term").crossJoin(F.broadcast(stats)).select("ids", "doc_id", "node_id", bm25_part(F.col("n"), F.col("df"), F.col("f"), F.col("dl"), F.col("avgdl")).alias("p"))
+    return parts.select(F.explode("ids").alias("query_id"), "doc_id", "node_id", "p").groupBy("query_id", "doc_id", "node_id").agg(F.sum("p").alias("score"))
 
 
 def like(nodes: DataFrame, keywords: list[str], weights: dict[str, float] = DOCUMENTED) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -25,21 +27,31 @@ class Corpus:
     documents: DataFrame
     postings: DataFrame
     stats: DataFrame
+    cut: Q.Cut = field(default_factory=Q.Cut)
 
     @classmethod
-    def of(cls, nodes: DataFrame, documents: DataFrame, markdown: bool = False, with_summary: bool = True, cjk: bool = False) -> Corpus:
-        indexed = index.fields(nodes, markdown, with_summary)
-        return cls(nodes, documents, index.postings(indexed, cjk), index.corpus_stats(indexed, cjk))
+    def of(cls, nodes: DataFrame, documents: DataFrame, markdown: bool = False, with_summary: bool = True, mode: str = "bigram", dictionary: tuple[str, ...] = ()) -> Corpus:
+        """``mode`` and ``dictionary`` say how ideographs are cut to words, in texts as in queries."""
+        posts = index.postings(index.fields(nodes, markdown, with_summary), mode, dictionary)
+        return cls(nodes, documents, posts, index.stats_of(posts, nodes), Q.Cut(mode, dictionary))
+
+    @classmethod
+    def saved(cls, store: index.Index) -> Corpus:
+        """The corpus of a saved index."""
+        nodes, posts = store.table("nodes"), store.table("postings")
+        return cls(nodes, store.table("documents"), posts, index.stats_of(posts, nodes))
 
 
 @dataclass
 class Result:
-    """``flat_nodes`` in rank order, ``documents`` with their nodes, and in tree mode ``paths``."""
+    """``flat_nodes`` in rank order, ``documents`` with their nodes, ``routed`` documents (doc_id, doc_rank), those without
+    a node too, and in tree mode ``paths``."""
 
     flat_nodes: DataFrame
     documents: DataFrame
     mode: str
     paths: DataFrame | None = None
+    routed: DataFrame | None = None
 
 
 def auto_mode(nodes: DataFrame, documents: DataFrame, ratio: float = 0.30) -> DataFrame:
@@ -76,19 +88,25 @@ def attached(top: DataFrame, nodes: DataFrame, text_mode: str = "full", include_
 
 
 def budgeted(flat: DataFrame, most: int = 32_000, by: str | None = None) -> DataFrame:
-    """``flat`` with texts cut in rank order: each node gets an even share of what is left, what it leaves flows on."""
-    row = F.struct("rank", *[F.col(c) for c in flat.columns if c != "rank"])
-    grouped = flat.groupBy(*([by] if by else [])).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    """``flat`` with texts cut in rank order: each node gets an even share of what is left, what it leaves flows on. Lengths
+    alone are brought together; each text is cut where its row is. ``rank`` is unique (within ``by``)."""
+    keys = [by] if by else []
+    sizes = flat.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), F.coalesce(F.length("text"), F.lit(0)).alias("n")))).alias("rows"))
     n = F.size("rows")
-    start = F.struct(F.lit(most).alias("left"), F.lit(0).alias("i"), F.array().cast("array<string>").alias("texts"))
+    start = F.struct(F.lit(most).alias("left"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("shares"))
 
     def step(a, x):
         share = F.when(a["left"] > 0, F.greatest(F.floor(a["left"] / (n - a["i"])).cast("int"), F.lit(1))).otherwise(0)
-        text = F.substring(F.coalesce(x["text"], F.lit("")), F.lit(1), share)
-        return F.struct((a["left"] - F.length(text)).alias("left"), (a["i"] + 1).alias("i"), F.concat(a["texts"], F.array(text)).alias("texts"))
+        taken = F.least(share, x["n"])
+        return F.struct((a["left"] - taken).alias("left"), (a["i"] + 1).alias("i"), F.concat(a["shares"], F.array(taken)).alias("shares"))
 
-    cut = grouped.withColumn("texts", F.aggregate("rows", start, step)["texts"]).select(F.explode(F.arrays_zip("rows", "texts")).alias("x"))
-    return cut.select(*[F.col("x.texts").alias("text") if c == "text" else F.col(f"x.rows.{c}").alias(c) for c in flat.columns])
+    shares = sizes.withColumn("shares", F.aggregate("rows", start, step)["shares"]).select(*keys, F.explode(F.arrays_zip("rows", "shares")).alias("x"))
+    shares = shares.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("x.rows.rank").alias("__rank"), F.col("x.shares").alias("__share"))
+    same = F.col("rank") == F.col("__rank")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
+    cut_ = flat.join(shares, same)
+    return cut_.select(*[F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.col("__share")).alias("text") if c == "text" else F.col(c) for c in flat.columns])
 
 
 def node_scores(corpus: Corpus, mode: Q.Mode, config: Config, docs: DataFrame | None = None, pre_filter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
@@ -99,18 +117,55 @@ def node_scores(corpus: Corpus, mode: Q.Mode, config: Config, docs: DataFrame |
         return pre_filter(nodes).select("doc_id", "node_id", "score")
     if mode.kind == "regex":
         return score.grep(nodes, mode.regex, regex=True)
-    full = score.bm25(corpus.postings, corpus.stats, mode.expression, config.weights, docs)
-    grepped = [t for t, chain in parsers.PREFILTERS.items() if "grep" in chain]
-    kinds = corpus.documents.where(F.col("source_type").isin(*grepped)).select("doc_id")
-    return score.combined(full, score.grep(nodes.join(kinds, "doc_id", "left_semi"), mode.query))
+    by_chain = lambda name, has: [t for t, chain in parsers.PREFILTERS.items() if (name in chain) == has]
+    of_type = lambda types: corpus.documents.where(F.col("source_type").isin(*types)).select("doc_id")
+    full = score.bm25(corpus.postings, corpus.stats, mode.expression, config.weights, docs).join(of_type(by_chain("fts", False)), "doc_id", "left_anti")
+    return score.combined(full, score.grep(nodes.join(of_type(by_chain("grep", True)), "doc_id", "left_semi"), mode.query))
+
+
+def search_nodes(corpus: Corpus, query: str, top_k: int = 20, expression: str | None = None, doc_ids: DataFrame | None = None, config: Config | None = None) -> DataFrame:
+    """(doc_id, node_id, title, summary, depth, score): the best nodes by full text. Of plain queries of two words or more,
+    the chosen nodes that hold them as a phrase gain ``phrase_boost``."""
+    c = config or Config()
+    mode = Q.classify(query, expression, cut=corpus.cut)
+    raw = score.bm25(corpus.postings, corpus.stats, mode.expression, c.weights, doc_ids)
+    best = raw.orderBy(F.desc(F.round("score", 9)), "doc_id", "node_id").limit(top_k)
+    said = [w for w in re.split(r"\W+", query.lower()) if len(w) > 2]
+    if expression is None and len(said) >= 2:
+        best = cut(best)
+        phrase = score.bm25(corpus.postings, corpus.stats, Q.parse('"' + " ".join(said) + '"', corpus.cut), c.weights)
+        best = score.phrase_boosted(best, phrase.join(best, ["doc_id", "node_id"], "left_semi"), c.phrase_boost)
+    meta = corpus.nodes.select("doc_id", "node_id", "title", F.col("summary") if "summary" in corpus.nodes.columns else F.lit(None).cast("string").alias("summary"), "depth")
+    return best.join(meta, ["doc_id", "node_id"]).select("doc_id", "node_id", "title", "summary", "depth", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id", "node_id")
+
+
+def search_documents(corpus: Corpus, query: str, top_k: int = 20, expression: str | None = None, config: Config | None = None) -> DataFrame:
+    """(doc_id, doc_name, hit_count, best_score, avg_score) of the documents of the 200 best nodes."""
+    found = score.doc_aggregate(search_nodes(corpus, query, 200, expression, config=config), 200, top_k)
+    return found.join(corpus.documents.select("doc_id", "doc_name"), "doc_id", "left").select("doc_id", "doc_name", "hit_count", F.round("best_score", 6).alias("best_score"), F.round("avg_score", 6).alias("avg_score")).orderBy(F.desc("best_score"), "doc_id")
+
+
+def document_scores(corpus: Corpus, query: str, doc_ids: DataFrame | None = None, expression: str | None = None, config: Config | None = None) -> DataFrame:
+    """(doc_id, node_id, score) within documents (all, or those of ``doc_ids``): normalised and passed up."""
+    c = config or Config()
+    raw = score.bm25(corpus.postings, corpus.stats, Q.classify(query, expression, cut=corpus.cut).expression, c.weights, doc_ids)
+    return score.propagated(score.normalised(raw), corpus.nodes, c.ancestor_decay)
+
+
+def ranked_ids(corpus: Corpus, query: str, top_k: int = 10, doc_ids: DataFrame | None = None, expression: str | None = None, config: Config | None = None) -> DataFrame:
+    """(doc_id, node_id) of the best nodes by :func:`document_scores`, best first."""
+    return document_scores(corpus, query, doc_ids, expression, config).orderBy(F.desc("score"), "doc_id", "node_id").limit(top_k).select("doc_id", "node_id")
 
 
 def search(corpus: Corpus, query: str, config: Config | None = None, expression: str | None = None, regex: bool = False, pre_filter: Callable[[DataFrame], DataFrame] | None = None, include_ancestors: bool = False) -> Result:
     """One query. Nothing found by text routes to the first documents, with no nodes; a pattern without a match to none."""
     c = config or Config()
-    mode = Q.classify(query, expression, regex)
+    mode = Q.classify(query, expression, regex, corpus.cut)
     raw = cut(node_scores(corpus, mode, c, pre_filter=pre_filter))  # read by routing and by scoring
     docs = cut(score.routed(raw, c.top_k_docs))
+    if mode.kind != "regex" and pre_filter is None and docs.isEmpty():
+        first = corpus.documents.select("doc_id").orderBy("doc_id").limit(c.top_k_docs)
+        docs = cut(first.select("doc_id", F.lit(0.0).alias("best"), F.row_number().over(W.orderBy("doc_id")).alias("doc_rank")))
     chosen = raw.join(docs.select("doc_id"), "doc_id", "left_semi")
     scores = score.propagated(score.normalised(chosen), corpus.nodes, c.ancestor_decay)
     picked = corpus.documents.join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -122,21 +177,22 @@ def search(corpus: Corpus, query: str, config: Config | None = None, expression:
     if kind == "tree":
         plan = Q.query_plan(query)
         trees = cut(walk.scored_tree(corpus.nodes.join(docs.select("doc_id"), "doc_id", "left_semi"), scores))
-        states = cut(walk.walk(trees, walk.anchors(trees, plan, c.anchor_top_k), plan, c))
+        walked = trees.join(walk.walked_docs(scores, c.max_walked_docs), "doc_id", "left_semi")
+        states = cut(walk.walk(walked, walk.anchors(walked, plan, c.anchor_top_k), plan, c))
         paths = walk.paths(states, trees, plan, c.path_top_k, c.path_top_k)
         scores = walk.reranked(trees, states, plan, c.top_k_docs).select("doc_id", "node_id", "score")
     top = merged(top_nodes(scores, c.max_nodes_per_doc), docs, c.merge_strategy)
     flat = budgeted(attached(top, corpus.nodes, c.text_mode, include_ancestors), c.budget_chars)
     flat = flat.join(corpus.documents.select("doc_id", "doc_name"), "doc_id").orderBy("rank")
     grouped = flat.groupBy("doc_id", "doc_name", "doc_rank").agg(F.array_sort(F.collect_list(F.struct("rank", "node_id", "title", "score", "text"))).alias("nodes")).orderBy("doc_rank")
-    return Result(flat, grouped, kind, paths)
+    return Result(flat, grouped, kind, paths, docs.select("doc_id", "doc_rank"))
 
 
 def batch_search(corpus: Corpus, queries: DataFrame, config: Config | None = None) -> DataFrame:
     """Many plain queries (query_id, query) in one plan: routed documents, normalised and propagated scores, the best
     nodes of each (query_id, doc_id, node_id, doc_rank, node_rank, score)."""
     c = config or Config()
-    raw = score.bm25_batch(corpus.postings, corpus.stats, queries, c.weights)
+    raw = cut(score.bm25_batch(corpus.postings, corpus.stats, queries, c.weights, corpus.cut))
     per_doc = raw.groupBy("query_id", "doc_id").agg(F.max("score").alias("best"))
     docs = per_doc.withColumn("doc_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("best", 9)), "doc_id"))).where(F.col("doc_rank") <= c.top_k_docs)
     norm = raw.join(docs, ["query_id", "doc_id"]).withColumn("score", F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0))
@@ -147,3 +203,12 @@ def batch_search(corpus: Corpus, queries: DataFrame, config: Config | None = Non
     out = total.withColumn("score", F.round(F.col("score") / best, 6))
     rank = F.row_number().over(W.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "node_id"))
     return out.withColumn("node_rank", rank).where(F.col("node_rank") <= c.max_nodes_per_doc)
+
+
+def search_many(corpus: Corpus, queries: list[dict], config: Config | None = None) -> DataFrame:
+    """Queries of any mode (``query`` and any further argument of :func:`search`), each as it would be alone: its flat nodes
+    with ``query_no``, from 0 in the order given, one plan for all. For many plain queries there is :func:`batch_search`."""
+    parts = [search(corpus, **(({"config": config} if config else {}) | q)).flat_nodes.withColumn("query_no", F.lit(i)) for i, q in enumerate(queries)]
+    if not parts:
+        raise ValueError("no query")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).orderBy("query_no", "rank")

@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylvan.functions import text as X
+from sylvan.operators.lineage import cut
 
-MAX_LEVEL = 6
-
-
-def with_parents(flat: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
+def with_parents(flat: DataFrame, max_level: int | None = None) -> DataFrame:
     """``flat`` (doc_id, ord, level, ...) with ``parent_ord``, ``depth`` and ``path``.
 
     A node's ancestors are, of the last nodes seen at each smaller level, those that no later node of a level smaller
-    still has closed. Levels beyond ``max_level`` count as that one.
+    still has closed. ``max_level`` is the largest level, looked up if it isn't given.
     """
+    if max_level is None:
+        max_level = flat.agg(F.max("level")).first()[0] or 1
     so_far = W.partitionBy("doc_id").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
-    level = F.least(F.col("level"), F.lit(max_level))
+    level = F.col("level")
     lasts = F.array(*[F.coalesce(F.last(F.when(level == k, F.col("ord")), ignorenulls=True).over(so_far), F.lit(0)) for k in range(1, max_level)]) if max_level > 1 else F.array(F.lit(0))
     open_ = F.filter(F.transform(F.slice(F.col("__lasts"), F.lit(1), F.greatest(level - 1, F.lit(0))), lambda x, i: F.when((x > 0) & (x > F.coalesce(F.array_max(F.slice(F.col("__lasts"), F.lit(1), i)), F.lit(0))), x)), lambda x: x.isNotNull())
     out = flat.withColumn("__lasts", lasts).withColumn("__open", open_)
@@ -47,7 +47,20 @@ def with_ids(nodes: DataFrame) -> DataFrame:
     return named.drop("__title", "__part").join(ids, ["doc_id", "ord"]).join(parents, ["doc_id", "parent_ord"], "left")
 
 
-def build(flat: DataFrame, max_level: int = MAX_LEVEL) -> DataFrame:
+def shaped(flat: DataFrame, split: int | None = 8000, thin: int | None = None) -> DataFrame:
+    """``flat`` as it is indexed: small subtrees thinned if asked for, then texts of more than ``split`` characters split.
+    Only documents that need it pass through Python."""
+    flat = flat.select("doc_id", *(F.col(c).cast("int").alias(c) for c in ("ord", "level")), "title", "text", *(F.col(c).cast("int").alias(c) for c in ("line_start", "line_end")))
+    if thin:
+        flat = thinned(flat, thin)
+    if split:
+        flat = cut(flat)
+        long = flat.where(F.length("text") > split).select("doc_id").distinct()
+        flat = flat.join(long, "doc_id", "left_anti").unionByName(split_oversized(flat.join(long, "doc_id", "left_semi"), split))
+    return flat
+
+
+def build(flat: DataFrame, max_level: int | None = None) -> DataFrame:
     """Levels to a whole tree with ids, summaries and content hashes."""
     out = with_ids(with_parents(flat, max_level))
     return out.withColumns({"summary": X.summary(F.col("text")), "content_hash": F.substring(F.md5(F.coalesce("text", F.lit(""))), 1, 16)})
@@ -137,24 +150,20 @@ def hard_split(texts: DataFrame, most: int = 8000) -> DataFrame:
 
 
 def _boundary_parts(text: str, most: int) -> list[str]:
-    """Whole paragraphs packed up to ``most`` characters; longer ones by lines; longer lines cut."""
-    def packed(units: list[str], joint: str, deeper) -> list[str]:
-        out, held = [], ""
-        for u in units:
-            if len(u) > most:
-                if held:
-                    out.append(held)
-                    held = ""
-                out += deeper(u)
-            elif held and len(held) + len(joint) + len(u) > most:
-                out.append(held)
-                held = u
+    """Whole paragraphs packed up to ``most`` characters; if one is longer, whole lines; if one is longer, a cut every
+    ``most`` characters."""
+    for joint in ("\n\n", "\n"):
+        units = text.split(joint)
+        if max(map(len, units)) > most:
+            continue
+        out = [units[0]]
+        for u in units[1:]:
+            if len(out[-1]) + len(joint) + len(u) > most:
+                out.append(u)
             else:
-                held = held + joint + u if held else u
-        return [*out, held] if held else out
-
-    cut = lambda s: [s[i : i + most] for i in range(0, len(s), most)]
-    return packed(text.split("\n\n"), "\n\n", lambda p: packed(p.split("\n"), "\n", cut))
+                out[-1] += joint + u
+        return out
+    return [text[i : i + most] for i in range(0, len(text), most)]
 
 
 def split_oversized(flat: DataFrame, most: int = 8000) -> DataFrame:

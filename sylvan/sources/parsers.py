@@ -23,6 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sylvan.operators.lineage import cut as cut_lineage
+
 _KINDS = {
     "markdown": "md markdown mdx", "json": "json", "jsonl": "jsonl", "csv": "csv", "html": "html htm", "xml": "xml", "pdf": "pdf epub xps oxps fb2 cbz cbr", "doc": "doc", "docx": "docx", "excel": "xlsx xlsm xltx xltm", "text": "txt log rst",
     "code": "py java js jsx ts tsx c h cc cpp cxx hpp cs php go rb rs swift kt scala lua r sql sh bash el clj ex exs erl hs jl ml pl m css toml yaml yml dockerfile mk",
@@ -160,14 +162,19 @@ def code(docs: DataFrame, extension: str, drop_preamble: bool = True) -> DataFra
 
 
 def table_rows(table: DataFrame, doc_id: str, key: str, columns: list[str] | None = None) -> DataFrame:
-    """Rows of a table as nodes below a root of its columns: ``h: v; h: v`` without blanks, by order of ``key``."""
+    """Rows of a table as nodes below a root of its columns: ``h: v; h: v`` without blanks, by order of ``key``. Rows are
+    sorted over all tasks, and numbered from how many there are before each task's."""
     columns = columns or table.columns
     cells = [F.when(F.trim(F.col(c).cast("string")) != "", F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns]
-    text = F.concat_ws("; ", *cells)
-    ord_ = F.row_number().over(W.orderBy(key)) + 1
-    rows = table.select(F.lit(doc_id).alias("doc_id"), ord_.alias("ord"), F.lit(2).alias("level"), text.alias("text")).withColumn("title", F.when(F.col("text") != "", F.substring("text", 1, 80)).otherwise(F.concat(F.lit("Row "), F.col("ord"))))
+    sorted_ = cut_lineage(table.select(F.concat_ws("; ", *cells).alias("text"), F.col(key).alias("__key")).orderBy("__key").withColumn("__id", F.monotonically_increasing_id()).drop("__key"), "rows")
+    part, place = F.shiftright("__id", 33), F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = sorted_.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row a task
+    rows = sorted_.withColumn("__part", part).join(F.broadcast(before), "__part")
+    rows = rows.select(F.lit(doc_id).alias("doc_id"), (F.col("__before") + place + 2).cast("int").alias("ord"), F.lit(2).alias("level"), "text")
+    rows = rows.withColumn("title", F.when(F.col("text") != "", F.substring("text", 1, 80)).otherwise(F.concat(F.lit("Row "), F.col("ord"))))
     root = table.sparkSession.range(1).select(F.lit(doc_id).alias("doc_id"), F.lit(1).alias("ord"), F.lit(1).alias("level"), F.lit(doc_id).alias("title"), F.lit("Columns: " + ", ".join(columns)).alias("text"))
-    return root.unionByName(rows).withColumns({"line_start": F.col("ord"), "line_end": F.col("ord")}).select("doc_id", "ord", "level", "title", "text", "line_start", "line_end")
+    return root.unionByName(rows.select(*root.columns)).withColumns({"line_start": F.col("ord"), "line_end": F.col("ord")}).select("doc_id", "ord", "level", "title", "text", "line_start", "line_end")
 
 
 def conversations(turns: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from sylvan import cli
 from sylvan.config import COMPAT, Config
 from sylvan.functions import text as X
 from sylvan.operators import evaluate, index, score, search, tree, walk
+from sylvan.operators.lineage import cut
 from sylvan.plans import query as Q
 from sylvan.sources import discovery, parsers
 from sylvan.streaming import watch
@@ -144,7 +145,8 @@ def corpus(spark):
     rows = [(f"d{i // 6}", i % 6 + 1, 1 if i % 6 == 0 else 2, " ".join(r.choices(words, k=2)), " ".join(r.choices(words, k=r.randint(0, 30))), i, i) for i in range(120)]
     nodes = tree.build(spark.createDataFrame(rows, "doc_id string, ord int, level int, title string, text string, line_start int, line_end int")).cache()
     docs = nodes.select("doc_id").distinct().withColumns({"doc_name": F.col("doc_id"), "source_type": F.lit("markdown")})
-    return search.Corpus.of(nodes, docs)
+    found = search.Corpus.of(nodes, docs)
+    return search.Corpus(nodes, docs, cut(found.postings), cut(found.stats))
 
 
 @pytest.mark.parametrize("expression", ["auth", "auth AND token", "auth token", "auth OR cache", "auth NOT token", '"auth token"', "cach*", "NEAR(auth token, 2)", "title : auth", "title : (auth OR user) NOT body : cache", '"user login" OR cafe'])
@@ -232,7 +234,8 @@ def test_folder_lifecycle(spark, tmp_path, capsys):
     assert json.loads(capsys.readouterr().out.splitlines()[0])["title"] == "Mac"
     (folder / "z.md").unlink()
     assert watch.sync(store, str(folder))["pruned"] == 1
-    assert not any(store.verify().values()) and store.stats().first().documents == 1
+    assert not any(store.verify(files=True).values()) and store.stats().first().documents == 1
+    store.compact()
     assert store.vacuum() > 0 and store.vacuum() == 0
     assert store.delete(["nothing"]) == 0 and store.indexed_files().count() == 1
     with pytest.raises(ValueError):
@@ -246,6 +249,131 @@ def test_node_diff_touches_one_node(spark, md):
     assert states == {"kept": 4, "changed": 1}
 
 
+def names_of(store):
+    return sorted(r.doc_name for r in store.table("documents").collect())
+
+
+def test_pruning_stays_within_folder_extension_and_disk(spark, tmp_path):
+    one, two, store = tmp_path / "one", tmp_path / "two", index.Index(spark, str(tmp_path / "ix"))
+    for folder in (one, two):
+        folder.mkdir()
+    for path in (one / "a.md", one / "b.txt", two / "c.md", two / "d.md"):
+        path.write_text(f"# {path.name}\ntext of {path.name}")
+    watch.sync(store, str(one))
+    assert watch.sync(store, str(two)) == {"moved": 0, "indexed": 2, "pruned": 0} and names_of(store) == ["a", "b", "c", "d"]
+    assert watch.sync(store, str(one), [".md"])["pruned"] == 0 and names_of(store) == ["a", "b", "c", "d"]
+    (two / ".gitignore").write_text("d.md\n")
+    assert watch.sync(store, str(two))["pruned"] == 0 and names_of(store) == ["a", "b", "c", "d"]
+    (one / "a.md").unlink()
+    (one / "b.txt").unlink()
+    assert watch.sync(store, str(one), [".md"])["pruned"] == 1 and names_of(store) == ["b", "c", "d"]
+    assert watch.sync(store, str(one), prune=False)["pruned"] == 0 and watch.sync(store, str(two), prune=True)["pruned"] == 2
+    assert names_of(store) == ["c"] and not any(store.verify().values())
+    with pytest.raises(FileNotFoundError):
+        watch.sync(store, str(tmp_path / "unmounted"))
+    assert store.delete_paths(str(two / "c.md"), "nothing") == 1 and names_of(store) == []
+
+
+def test_edits_anywhere_are_seen(spark, tmp_path):
+    folder, store = tmp_path / "docs", index.Index(spark, str(tmp_path / "ix"))
+    folder.mkdir()
+    text = "# A\n" + "words " * 3000
+    (folder / "a.md").write_text(text)
+    assert watch.sync(store, str(folder))["indexed"] == 1
+    (folder / "a.md").write_text(text[:7000] + "WORDS " + text[7006:])
+    assert watch.sync(store, str(folder))["indexed"] == 1 and watch.sync(store, str(folder))["indexed"] == 0
+    assert watch.sync(store, str(folder), force=True)["indexed"] == 1
+    nodes = store.table("nodes").collect()
+    assert max(len(r.text) for r in nodes) <= 8000 and {r.title for r in nodes} == {"A", "A (part 1)", "A (part 2)", "A (part 3)"}
+    with pytest.raises(ValueError):
+        (folder / "b.md").write_text("# B")
+        watch.sync(store, str(folder), max_files=1)
+    assert watch.sync(store, str(folder), max_files=0)["indexed"] == 1
+
+
+def test_segments_merge_and_missing_files_go(spark, tmp_path):
+    folder, store = tmp_path / "docs", index.Index(spark, str(tmp_path / "ix"))
+    folder.mkdir()
+    store.MAX_SEGMENTS = 2
+    for i in range(3):
+        (folder / "a.md").write_text(f"# A\nedition{i} text")
+        (folder / f"m{i}.md").write_text(f"# M\nfile{i}")
+        assert watch.sync(store, str(folder))["indexed"] == 2
+    assert len(store.segments()) <= 2 and names_of(store) == ["a", "m0", "m1", "m2"]
+    found = search.search(search.Corpus.saved(store), "edition2 edition1", Config(search_mode="flat")).flat_nodes.collect()
+    assert [r.text for r in found] == ["# A\nedition2 text"]
+    (folder / "m1.md").unlink()
+    assert store.verify(files=True)["missing_files"] == 1 and store.repair(drop_missing_files=True)["missing_files"] == 1
+    assert names_of(store) == ["a", "m0", "m2"] and not any(store.verify(files=True).values())
+    assert store.is_indexed(store.table("documents").first().doc_id) and not store.is_indexed("no")
+
+
+def test_ignore_rules(spark):
+    rules = ["*.log", "!keep.log", "/top.md", "build/", "a/**/z.md", "x[0-9].md", "[!a]b.txt", "# note", "doc?.md", "sp ace.md "]
+    paths = {"a.log": True, "d/keep.log": False, "top.md": True, "d/top.md": False, "d/build/x.md": True, "build": False, "a/z.md": True, "a/b/c/z.md": True, "x1.md": True, "xy.md": False, "cb.txt": True, "ab.txt": False, "doc1.md": True, "doc12.md": False, "sp ace.md": True}
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r.path: r.hit for r in df.select("path", discovery.is_ignored(F.col("path"), rules).alias("hit")).collect()} == paths
+    with pytest.warns(UserWarning, match="no such path"):
+        assert discovery.listing(spark, ["/no/such/folder"]).count() == 0
+
+
+def test_chinese(spark, tmp_path):
+    folder, store = tmp_path / "docs", index.Index(spark, str(tmp_path / "ix"))
+    folder.mkdir()
+    (folder / "cn.md").write_text("# 项目简介\n本项目旨在构建一个高效的语义检索系统，支持中文和英文混合搜索。\n# 技术方案\n核心技术包括：SQLite 全文检索、BM25排序算法。机器学习是人工智能的分支")
+    (folder / "en.md").write_text("# English\nplain words only")
+    assert watch.sync(store, str(folder))["indexed"] == 2
+    corpus = search.Corpus.saved(store)
+    titles = lambda q, **o: [r.title for r in search.search(corpus, q, Config(search_mode="flat"), **o).flat_nodes.collect()]
+    assert titles("机器学习") == ["技术方案"] and titles("语义检索") == ["项目简介", "技术方案"] and titles("全文 words") and titles("量子") == []
+    assert titles("x", expression='"语义检索"') == ["项目简介"] and titles("x", expression="全文检索 AND BM25") == ["技术方案"]
+    words = search.Corpus.of(corpus.nodes.drop("body", "code_blocks", "front_matter"), corpus.documents, mode="word", dictionary=("机器学习", "检索系统"))
+    assert {r.col for r in words.postings.where("term = '机器学习'").collect()} == {"body", "summary"} and [r.title for r in search.search(words, "机器学习").flat_nodes.collect()] == ["技术方案"]
+    assert Q.words("用BM25排序", "char") == ["用", "bm25", "排", "序"] and Q.words("机器学习吗", "word", ("机器学习",)) == ["机器学习", "吗"]
+
+
+def test_deep_trees(spark):
+    levels = [*range(1, 10), 5, 9, 2]
+    flat = spark.createDataFrame([("d", i, n, f"t{i}", "", i, i) for i, n in enumerate(levels, 1)], "doc_id string, ord int, level int, title string, text string, line_start int, line_end int")
+    got = {r.ord: r for r in tree.build(flat).collect()}
+    assert [got[i].parent_ord or 0 for i in range(1, len(levels) + 1)] == tree.stack_parents(levels) and got[9].path == list(range(1, 10))
+    shaped = tree.shaped(flat.withColumn("text", F.lit("ab")), split=None, thin=1000)
+    assert [r.text for r in shaped.collect()] == ["\n\n".join(["ab"] * 12)]
+
+
+def test_node_and_document_calls(corpus):
+    got = search.search_nodes(corpus, "auth token", 10).collect()
+    raw = {(r.doc_id, r.node_id): r.score for r in score.bm25(corpus.postings, corpus.stats, Q.plain("auth token")).collect()}
+    said = {(r.doc_id, r.node_id) for r in score.bm25(corpus.postings, corpus.stats, Q.parse('"auth token"')).collect()}
+    best = sorted(raw, key=lambda k: (-round(raw[k], 9), k))[:10]
+    want = {k: round(raw[k] * (1.5 if k in said else 1), 6) for k in best}
+    assert {(r.doc_id, r.node_id): r.score for r in got} == pytest.approx(want) and len(set(want) & said) > 0
+    docs = search.search_documents(corpus, "auth token", 5).collect()
+    assert len(docs) == 5 and docs[0].best_score == max(d.best_score for d in docs) and all(d.doc_name == d.doc_id for d in docs)
+    ids = [(r.doc_id, r.node_id) for r in search.ranked_ids(corpus, "auth token", 4).collect()]
+    scores = {(r.doc_id, r.node_id): r.score for r in search.document_scores(corpus, "auth token").collect()}
+    assert ids == sorted(scores, key=lambda k: (-scores[k], k))[:4]
+    many = search.search_many(corpus, [{"query": "auth"}, {"query": "x", "expression": "cache AND error"}, {"query": "tok.n", "regex": True}]).collect()
+    for i, q in enumerate([{"query": "auth"}, {"query": "x", "expression": "cache AND error"}, {"query": "tok.n", "regex": True}]):
+        assert [(r.doc_id, r.node_id, r.score) for r in many if r.query_no == i] == [(r.doc_id, r.node_id, r.score) for r in search.search(corpus, **q).flat_nodes.collect()]
+    nothing = search.search(corpus, "zzzz")
+    assert nothing.flat_nodes.count() == 0 and [r.doc_id for r in nothing.routed.orderBy("doc_rank").collect()] == ["d0", "d1", "d10"]
+
+
+def test_public_names_and_commands(spark, tmp_path, capsys):
+    import sylvan
+
+    assert all(hasattr(sylvan, n) for n in sylvan.__all__)
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a.md").write_text("# A\nwords here")
+    (folder / "b.txt").write_text("other words")
+    assert cli.main(["index", str(tmp_path / "ix"), str(folder), "--max-files", "5"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["indexed"] == 2
+    assert cli.main([str(tmp_path / "ix"), "words", "--format", "json"], spark) == 0 and len(capsys.readouterr().out.splitlines()) == 2
+    assert cli.main(["delete", str(tmp_path / "ix"), str(folder / "a.md")], spark) == 0 and json.loads(capsys.readouterr().out) == {"deleted": 1}
+
+
 def test_watch_stream(spark, tmp_path):
     folder, store, seen = tmp_path / "docs", index.Index(spark, str(tmp_path / "ix")), []
     folder.mkdir()
@@ -255,6 +383,32 @@ def test_watch_stream(spark, tmp_path):
     assert seen and store.table("documents").count() == 1
 
 
+def test_watch_sees_edits_and_deletions(spark, tmp_path):
+    import time
+
+    folder, store, seen = tmp_path / "docs", index.Index(spark, str(tmp_path / "ix")), []
+    folder.mkdir()
+    for name in ("a.md", "b.txt", "c.md"):
+        (folder / name).write_text(f"# T\n{name}")
+    q = watch.watch(store, str(folder), checkpoint=str(tmp_path / "cp"), after=seen.append)
+
+    def until(ready):
+        end = time.time() + 90
+        while time.time() < end and not ready():
+            time.sleep(0.3)
+        assert ready()
+
+    try:
+        assert names_of(store) == ["a", "b", "c"]
+        (folder / "a.md").write_text("# T\nA.md")
+        until(lambda: any(d["indexed"] == 1 for d in seen))
+        (folder / "c.md").unlink()
+        until(lambda: any(d["pruned"] == 1 for d in seen))
+        assert names_of(store) == ["a", "b"]
+    finally:
+        q.stop()
+
+
 def test_evaluation(spark):
     ranked = spark.createDataFrame([("q", "a", 1), ("q", "b", 2), ("q", "c", 3)], "query_id string, item string, rank int")
     m = evaluate.ranking_metrics(ranked, spark.createDataFrame([("q", "b"), ("q", "z"), ("r", "a")], "query_id string, item string"), 2).collect()
