@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylvan.functions import text as X
+from sylvan.operators.lineage import cut, small_batches
 
 #: Vectors of one block, and the value that stands for no cosine.
 BLOCK_VECTORS, NO_COSINE = 4096, -9.0
@@ -53,13 +55,26 @@ def answer_metrics(answers: DataFrame) -> DataFrame:
     return rows.select("query_id", "em", F.when((F.size("a") > 0) & (F.size("g") > 0) & (common > 0), 2 * p * r / (p + r)).otherwise(0.0).alias("f1"))
 
 
+#: Beginnings of evidence that are held against the nodes at a time (some 10 MB); more go in further passes.
+EVIDENCE_HEADS = 50_000
+
+
 def evidence_match(evidence: DataFrame, nodes: DataFrame, chars: tuple[int, ...] = (80, 50, 30)) -> DataFrame:
-    """(query_id, doc_id, node_id): nodes whose text holds the evidence's beginning, the longest that is found anywhere."""
+    """(query_id, doc_id, node_id): nodes whose text holds the evidence's beginning, the longest that is found anywhere; or,
+    with a ``title`` in both, whose title is the evidence's."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
-    heads = evidence.select("query_id", F.posexplode(F.array(*[F.substring(norm(F.col("text")), 1, n) for n in chars])).alias("i", "head")).where("head <> ''")
-    hits = nodes.select("doc_id", "node_id", norm(F.col("text")).alias("t")).join(F.broadcast(heads), F.contains(F.col("t"), F.col("head"))).select("query_id", "i", "doc_id", "node_id")
+    heads = cut(evidence.select("query_id", F.posexplode(F.array(*[F.substring(norm(F.col("text")), 1, n) for n in chars])).alias("i", "head")).where("head <> ''"))
+    passes = -(-heads.count() // EVIDENCE_HEADS) or 1
+    texts = nodes.select("doc_id", "node_id", norm(F.col("text")).alias("t"))
+    parts = [heads.where(F.pmod(F.xxhash64("head"), F.lit(passes)) == k) for k in range(passes)] if passes > 1 else [heads]
+    hits = reduce(DataFrame.unionByName, [texts.join(F.broadcast(h), F.contains(F.col("t"), F.col("head"))).select("query_id", "i", "doc_id", "node_id") for h in parts])
+    hits = cut(hits)
     best = hits.groupBy("query_id").agg(F.min("i").alias("i"))
-    return hits.join(best, ["query_id", "i"]).select("query_id", "doc_id", "node_id").distinct()
+    found = hits.join(best, ["query_id", "i"]).select("query_id", "doc_id", "node_id")
+    if "title" in evidence.columns and "title" in nodes.columns:
+        named = evidence.select("query_id", norm(F.col("title")).alias("__t")).where("__t <> ''").join(nodes.select("doc_id", "node_id", norm(F.col("title")).alias("__t")), "__t")
+        found = found.unionByName(named.select("query_id", "doc_id", "node_id"))
+    return found.distinct()
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,15 +118,18 @@ def _tops(k: int):
     return run
 
 
-def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, vec_id, cosine, rank): the baseline that compares each query vector with all, block by block.
+def cosine_top(vectors: DataFrame, queries: DataFrame, k: int = 10, among: DataFrame | None = None) -> DataFrame:
+    """(query_id, vec_id, cosine, rank): the baseline that compares each query vector with all (or those of ``among``), block
+    by block.
 
     A pair without a cosine (a null, a zero vector, other lengths) has null and ranks last.
     """
     from pyspark.sql import Window as W
 
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    small_batches(spark)
+    if among is not None:
+        vectors = vectors.join(among.select("vec_id"), "vec_id", "left_semi")
     parts = math.ceil(math.sqrt(2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def blocks(df: DataFrame, name: str) -> DataFrame:
