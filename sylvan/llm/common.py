@@ -2,58 +2,35 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast up to this many rows (a few dozen MB); beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
-#: Characters of text that one Python batch holds at most (a single longer text is a batch of its own).
-BATCH_CHARS = 8_000_000
+from sylvan.operators.lineage import cut, discard, shared_dir, small_batches
 
+__all__ = ["BATCH_CHARS", "BROADCAST_BYTES", "discard", "maybe_broadcast", "shared_dir", "small_batches", "stored", "text_batches"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session (tests) may go without the setting; it then gets a folder of its own.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that every executor can reach")
-    own = tempfile.mkdtemp(prefix="sylvan-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+#: A side is broadcast up to so many bytes; beyond it the join shuffles.
+BROADCAST_BYTES = 64 << 20
+#: Characters of text that one Python batch holds at most (a single longer text is a batch of its own).
+BATCH_CHARS = 8_000_000
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+    """Write ``df`` to the shared folder and read it back: lineage ends there, and lost executors lose nothing. The table
+    goes with :func:`discard`, at the latest when the driver ends."""
+    return cut(df, name)
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``limit`` rows, else as it is (the join then shuffles)."""
-    if rows is None:
-        rows = df.count()
-    return F.broadcast(df) if rows <= limit else df
 
-
-def small_batches(spark: SparkSession, most: str = "8m") -> None:
-    """Have this session send texts to Python in batches of at most ``most`` bytes: long texts make rows a poor measure,
-    and both the executor's buffers and the worker hold a batch whole."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` marked for broadcast if its rows are estimated, from their number and the width of its longest strings, to
+    take at most ``limit`` bytes, else as it is (the join then shuffles). Reads ``df`` once: give a stored table."""
+    long = [F.coalesce(F.max(F.octet_length(c)), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    n, *sizes = df.agg(F.count("*"), *long).first()
+    return F.broadcast(df) if n * (sum(sizes) + 16 * len(df.columns)) <= limit else df
 
 
 def text_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
@@ -69,4 +46,3 @@ def text_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = BATCH
                 start, total = i, 0
             total += n
         yield batch.slice(start)
-

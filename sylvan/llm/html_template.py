@@ -12,7 +12,8 @@ of a host of ``MANY_PAGES`` or more. Copies of one article count once, whatever
 A host has few templates however many pages it has (at most elements a page / ``MIN_SHARE``), so they travel as one list
 a host: broadcast while all lists together are small, else joined by host and a salt that spreads large hosts.
 
-Defined cases: a null or empty html has null or empty text; a null or hostless url belongs to the host "" that has no
+Defined cases: an empty table has no rows; a null or empty html has null or empty text; a page of any length is parsed
+whole, in time that grows in proportion to it; a null or hostless url belongs to the host "" that has no
 templates; repeated rows are one content; broken markup is read on as far as it goes (unclosed
 elements end with their parent, unknown ends are skipped); further columns are ignored.
 """
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,12 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.llm.common import BROADCAST_ROWS, stored, text_batches
+from sylvan.llm.common import stored, text_batches
 
 MIN_PAGES, MIN_SHARE, MIN_CHARS = 3, 0.005, 15
+#: A quarter of the hashes (8 bytes each) that all lists together may hold to be broadcast: 32 MB.
+BROADCAST_ROWS = 1_000_000
 #: Of an element on more than this share of a host's pages, if they are so many or more, the text is nobody's content.
 MANY_PAGES, MOST_PAGES = 10, 0.5
-_MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][\w:-]*)")
+#: The common tag, up to the next ``<`` at most.
+_TAG = re.compile(r"<(/?)([a-zA-Z][\w:-]*+)(?:[^<>\"']++|\"[^\"<]*+\"|'[^'<]*+')*+>")
+_SIGNS = re.compile("[>\"']")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style noscript template textarea svg iframe".split())
 _BLOCK = frozenset("address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
@@ -50,14 +57,76 @@ class Element:
         self.tag, self.parts, self.hash, self.chars = tag, [], 0, 0
 
 
+class _Ends:
+    """Where the tags of a page end: the first ``>`` outside quotes. Every sign is looked at a bounded number of times,
+    however many tags have no end: places from where a search failed fail at once the next time."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.signs = [m.start() for m in _SIGNS.finditer(page)]
+        self.partner = [-1] * len(self.signs)
+        last: dict[str, int] = {}
+        for i in range(len(self.signs) - 1, -1, -1):
+            c = page[self.signs[i]]
+            self.partner[i] = last.get(c, -1)
+            last[c] = i
+        self.dead: set[int] = set()
+
+    def after(self, at: int) -> int:
+        """The place of the end of the tag whose name ends at ``at``, or -1."""
+        i, seen = bisect_left(self.signs, at), []
+        while i < len(self.signs) and i not in self.dead:
+            if self.page[self.signs[i]] == ">":
+                return self.signs[i]
+            seen.append(i)
+            if self.partner[i] < 0:
+                break
+            i = self.partner[i] + 1
+        self.dead.update(seen)
+        return -1
+
+
+def _marks(page: str) -> Iterator[tuple[int, int, str, bool, bool]]:
+    """(start, end, tag, is an end?, closes itself?) of each tag in order; comments and declarations have no tag. The caller
+    sends the place to go on from, if it isn't the end."""
+    ends, at, last = None, 0, page.rfind(">")
+    while (at := page.find("<" if at <= last else "<!--", at)) >= 0:
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = end + 3 if end >= 0 else len(page)
+            mark = (at, end, "", False, False)
+        elif (m := _TAG.match(page, at)) is not None:
+            end = m.end()
+            mark = (at, end, m[2].lower(), bool(m[1]), end - 1 > m.end(2) and page[end - 2] == "/")
+        elif (m := _NAME.match(page, at)) is not None:
+            ends = ends or _Ends(page)
+            if (close := ends.after(m.end())) < 0:
+                at += 1
+                continue
+            end = close + 1
+            mark = (at, end, m[2].lower(), bool(m[1]), close > m.end() and page[close - 1] == "/")
+        elif page.startswith(("<!", "<?"), at) and (end := page.find(">", at) + 1):
+            mark = (at, end, "", False, False)
+        else:
+            at += 1
+            continue
+        at = (yield mark) or end
+
+
 def parse(page: str) -> tuple[Element, list[Element]]:
-    """The root and all elements, each with its hash and characters of text; ends come before their parents'."""
+    """The root and all elements, each with its hash and characters of text; ends come before their parents'. Time grows in
+    proportion to the page, however broken it is."""
     root = Element("")
     stack, done = [root], []
-    at = 0
+    open_: dict[str, int] = {}
+    blocks: list[int] = []
 
     def close() -> None:
         e = stack.pop()
+        if stack:
+            open_[e.tag] -= 1
+        if blocks and blocks[-1] == len(stack):
+            blocks.pop()
         sums = [e.tag]
         for p in e.parts:
             if isinstance(p, str):
@@ -69,39 +138,45 @@ def parse(page: str) -> tuple[Element, list[Element]]:
         e.hash = xxhash.xxh3_64_intdigest("\x01".join(sums)) - (1 << 63)
         done.append(e)
 
-    while m := _MARK.search(page, at):
-        if text := _SPACE.sub(" ", entities.unescape(page[at : m.start()])):
+    def said(begin: int, end: int) -> None:
+        if text := _SPACE.sub(" ", entities.unescape(page[begin:end])):
             stack[-1].parts.append(text)
-        at = m.end()
-        tag = m[2]
+
+    at, marks = 0, _marks(page)
+    mark = next(marks, None)
+    while mark is not None:
+        start, end, tag, is_end, alone = mark
+        said(at, start)
+        at = end
         if not tag:
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if any(e.tag == tag for e in stack[1:]):
+            pass
+        elif is_end:
+            if open_.get(tag):
                 while stack[-1].tag != tag:
                     close()
                 close()
-            continue
-        if tag in _RAW:
-            end = re.compile(f"</{tag}", re.I).search(page, at)
-            at = (page.find(">", end.end()) + 1 or len(page)) if end and not m[3].endswith("/") else at if m[3].endswith("/") else len(page)
-            continue
-        for k in range(len(stack) - 1, 0, -1):
-            own = stack[k].tag
-            if tag in _CLOSES.get(own, ()):
-                while len(stack) > k:
+        elif tag in _RAW:
+            if not alone:
+                m = re.compile(f"</{tag}", re.I).search(page, at)
+                at = (page.find(">", m.end()) + 1 or len(page)) if m else len(page)
+        else:
+            if blocks and tag in _CLOSES.get(stack[blocks[-1]].tag, ()):
+                keep = blocks[-1]
+                while len(stack) > keep:
                     close()
-                break
-            if own in _BLOCK:
-                break
-        e = Element(tag)
-        stack[-1].parts.append(e)
-        stack.append(e)
-        if tag in _VOID or m[3].endswith("/"):
-            close()
-    if text := _SPACE.sub(" ", entities.unescape(page[at:])):
-        stack[-1].parts.append(text)
+            e = Element(tag)
+            stack[-1].parts.append(e)
+            open_[tag] = open_.get(tag, 0) + 1
+            if tag in _BLOCK:
+                blocks.append(len(stack))
+            stack.append(e)
+            if tag in _VOID or alone:
+                close()
+        try:
+            mark = marks.send(at)
+        except StopIteration:
+            mark = None
+    said(at, len(page))
     while stack:
         close()
     return root, done

@@ -1,21 +1,25 @@
 """Toxicity by a weighted lexicon: folded texts, Aho-Corasick matching, scores by length, exception phrases.
 
-Folding maps one character to one: case, accents, look-alike letters of other scripts, and digits or signs that stand for
-letters. A match is a term between non-letters of the original text (a stem, written ``abc*``, only needs a start) whose
-original has a letter, so that numbers don't match. Occurrences of an exception phrase take back the terms within them.
-The score is the sum of the weights of all matches, divided by the number of words.
+Folding drops marks that combine with letters and signs without width, then maps one character to one: case, accents,
+look-alike letters of other scripts, and digits or signs that stand for letters. A match is a term between non-letters of
+the text (a stem, written ``abc*``, only needs a start) that has a letter there, so that numbers don't match. A word counts
+once: by its own entry, else by its longest stem. Words within an exception phrase, whatever white space it has, don't
+count. The score is the sum of the weights of all words, divided by the number of words.
 
 The lexicon is a seed list and the terms learned from labelled documents: words, and beginnings of words, with the
-log-odds of their share in toxic and clean labelled documents, from at most ``MAX_LABELLED`` labelled rows.
+log-odds of their share in toxic and clean labelled documents, from at most ``MAX_LABELLED`` labelled rows. All terms that
+reach the odds are kept; the bounded rows bound their number. Seeds win over learned terms of the same form.
 
-Defined cases: a null or empty text scores 0 and is clean; a null label is not used; repeated rows are scored alike and
-repeated labels count once per row; further columns are carried and never read; without labels the seeds stand alone.
+Defined cases: a null or empty text scores 0 and is clean; texts of any length are matched whole; a null label is not used;
+repeated rows are scored alike and repeated labels count once per row; of equal hashes of ids at the bound, ids and labels
+decide; an empty table has no rows; further columns are carried and never read; without labels the seeds stand alone.
 """
 
 from __future__ import annotations
 
-import math
+import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -25,8 +29,8 @@ from pyspark.sql import functions as F
 
 from sylvan.llm.common import small_batches
 
-#: Labelled rows used to learn terms (by hash of their id), and terms kept.
-MAX_LABELLED, MAX_TERMS = 10_000, 5_000
+#: Labelled rows used to learn terms, by hash of their id.
+MAX_LABELLED = 10_000
 #: A document is toxic from this score on, if its matches weigh ``MIN_WEIGHT`` together: one seed, or two learned terms.
 THRESHOLD, MIN_WEIGHT = 0.05, 6.0
 SEEDS = {w: 8.0 for w in "idiot moron imbecile stupid scum trash loser clown pathetic worthless disgusting bastard asshole bitch whore cunt retard retarded faggot dumbass dipshit douchebag scumbag motherfucker vermin subhuman".split()} | {w: 6.0 for w in "shithead bullshit fuck fucking fucker idiotic moronic crap jerk arsehole wanker".split()} | {w: 6.0 for w in "arschloch hurensohn vollidiot schlampe wichser connard salope encule putain batard gilipollas cabron pendejo".split()}
@@ -50,51 +54,74 @@ TABLE = _table()
 _ASCII = bytes(TABLE.get(i, i) for i in range(256)) if all(v < 256 for v in TABLE.values()) else b""
 
 
+#: Marks that combine with the letter before, and signs without width.
+MARKS = "\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\u00ad\u034f\u200b-\u200f\u2060-\u2064\ufeff"
+_MARKS = re.compile(f"[{MARKS}]+")
+
+
+def bare(text: str) -> str:
+    """``text`` without marks and signs that have no place of their own."""
+    return text if text.isascii() else _MARKS.sub("", text)
+
+
 def fold(text: str) -> str:
-    """``text`` character by character in plain lower-case letters, as far as they stand for any."""
+    """Each character of ``text`` as a plain lower-case letter, as far as it stands for any."""
     return text.encode().translate(_ASCII).decode() if text.isascii() else text.translate(TABLE)
 
 
-def automaton(lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS) -> ahocorasick.Automaton | None:
-    """Values are (length, weight, stem?); an exception weighs what it takes back."""
-    found = ahocorasick.Automaton()
-    for term, weight in lexicon.items():
-        key = fold(term.removesuffix("*"))
-        old = found.get((key), None)
-        found.add_word(key, [*(old or []), (len(key), weight, term.endswith("*"))])
-    for phrase in exceptions:
-        key = fold(phrase)
-        inside = sum(w for w in (lexicon.get(x, 0.0) for x in key.split()))
-        if inside:
-            found.add_word(key, [*(found.get(key, None) or []), (len(key), -inside, False)])
-    if not len(found):
-        return None
-    found.make_automaton()
-    return found
-
-
-def score(text: str | None, terms: ahocorasick.Automaton | None) -> tuple[float, float, int, int]:
+class Matcher:
+    """Entries by folded term, and the exception phrases that hold one."""
+
+    def __init__(self, lexicon: dict[str, float], exceptions: tuple[str, ...] = EXCEPTIONS):
+        self.words, self.stems = {}, {}
+        for term, weight in lexicon.items():
+            own, key = (self.stems if term.endswith("*") else self.words), fold(bare(term.removesuffix("*")))
+            own[key] = max(weight, own.get(key, weight))
+        self.found = ahocorasick.Automaton()
+        for key in {*self.words, *self.stems}:
+            if key:
+                self.found.add_word(key, key)
+        if len(self.found):
+            self.found.make_automaton()
+        phrases = sorted({tuple(fold(bare(p)).split()) for p in exceptions}, key=lambda p: (-len(p), p))
+        self.phrases = re.compile("|".join(r"\s+".join(map(re.escape, p)) for p in phrases)) if phrases else None
+
+    def matches(self, text: str) -> list[tuple[int, int, float]]:
+        """(start, end, weight) of the words of ``text`` (without marks) that count."""
+        folded, end = fold(text), len(text)
+        best: dict[int, tuple] = {}
+        for last, key in self.found.iter(folded):
+            start, stop = last + 1 - len(key), last + 1
+            if start and text[start - 1].isalnum():
+                continue
+            whole = key in self.words and not (stop < end and text[stop].isalnum())
+            if (whole or key in self.stems) and any(c.isalpha() for c in text[start:stop]):
+                best[start] = max(best.get(start, ()), (whole, len(key), stop, self.words[key] if whole else self.stems[key]))
+        if not best:
+            return []
+        out = [(start, stop, weight) for start, (_, _, stop, weight) in sorted(best.items())]
+        if self.phrases is not None:
+            free = [m.span() for m in self.phrases.finditer(folded) if not (m.start() and text[m.start() - 1].isalnum() or m.end() < end and text[m.end()].isalnum())]
+            if free:
+                starts = [s for s, _ in free]
+                out = [x for x in out if not ((i := bisect_right(starts, x[0])) and x[1] <= free[i - 1][1])]
+        return out
+
+
+def score(text: str | None, terms: Matcher) -> tuple[float, float, int, int]:
     """(score, weight, matches, words)."""
     words = len(text.split()) if text else 0
-    if not words or terms is None:
+    if not words or not len(terms.found):
         return 0.0, 0.0, 0, words
-    total, hits, end = 0.0, 0, len(text)
-    for last, entries in terms.iter(fold(text)):
-        for length, weight, stem in entries:
-            start = last + 1 - length
-            if start and text[start - 1].isalnum() or not stem and last + 1 < end and text[last + 1].isalnum():
-                continue
-            if any(c.isalpha() for c in text[start : last + 1]):
-                total += weight
-                hits += 1 if weight > 0 else -1
-    total = max(total, 0.0)
-    return total / words, total, hits, words
+    found = terms.matches(bare(text))
+    total = sum(w for _, _, w in found)
+    return total / words, total, len(found), words
 
 
 def _scorer(lexicon: dict[str, float], exceptions: tuple[str, ...]):
     @F.arrow_udf("struct<score: double, weight: double, hits: long, words: long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        terms = automaton(lexicon, exceptions)
+        terms = Matcher(lexicon, exceptions)
         for texts in batches:
             found = [score(t.as_py(), terms) for t in texts]
             yield pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True) if found else [()] * 4, (pa.float64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], ["score", "weight", "hits", "words"])
@@ -102,7 +129,7 @@ def _scorer(lexicon: dict[str, float], exceptions: tuple[str, ...]):
     return run
 
 
-def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> dict[str, float]:
+def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labelled: int = MAX_LABELLED) -> dict[str, float]:
     """Terms of labelled documents, weighted by the log-odds of their mean share of a document's words: words of 4 toxic
     documents or more with 4 at least, beginnings of 5 to 8 letters with 3 at least that 6 different words share."""
     chosen = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("d"), (F.col(label_col) > 0).cast("int").alias("y")).orderBy(F.xxhash64("d"), "d", "y").limit(max_labelled)
@@ -110,10 +137,10 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     src = "".join(map(chr, TABLE))
     dst = "".join(chr(v) for v in TABLE.values())
     keep = [i for i, c in enumerate(src) if c.isalpha() and ord(c) < 0x10000]
-    plain = F.translate(F.lower("t"), "".join(src[i] for i in keep), "".join(dst[i] for i in keep))
+    plain = F.translate(F.lower(F.regexp_replace("t", f"[{MARKS}]+", "")), "".join(src[i] for i in keep), "".join(dst[i] for i in keep))
     words = F.filter(F.split(plain, r"[^\p{L}]+"), lambda w: F.length(w) > 0)
     tokens = rows.select("d", "y", words.alias("ws")).select("d", "y", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    tokens = tokens.where(F.length("w").between(3, 40)).groupBy("d", "y", "n", "w").agg((F.count("*") / F.col("n")).alias("share"))
+    tokens = tokens.groupBy("d", "y", "n", "w").agg((F.count("*") / F.col("n")).alias("share"))
     share = lambda y: F.sum(F.when(F.col("y") == y, F.col("share")).otherwise(0.0))
     per_word = tokens.groupBy("w").agg(F.sum("y").alias("a"), share(1).alias("ra"), share(0).alias("rc"))
     sizes = rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
@@ -125,17 +152,12 @@ def learned(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     stems = per_word.select(F.explode(F.transform(lengths, lambda n: F.concat(F.substring("w", F.lit(1), n), F.lit("*")))).alias("w"), "a", "ra", "rc")
     stems = stems.groupBy("w").agg(F.sum("a").alias("a"), F.sum("ra").alias("ra"), F.sum("rc").alias("rc"), F.count("*").alias("kinds"))
     found = per_word.where("a >= 4").withColumn("o", odds).where("o >= 4").select("w", "a", "o").unionByName(stems.where("a >= 12 and kinds >= 6").withColumn("o", odds).where("o >= 3").select("w", "a", "o"))
-    best = found.orderBy(F.desc("o"), F.desc("a"), "w").limit(max_terms).collect()
-    return {r["w"]: min(8.0, round(r["o"], 4)) for r in best}
+    return {r["w"]: min(8.0, round(r["o"], 4)) for r in found.select("w", "o").collect()}
 
 
 def lexicon_of(docs: DataFrame, labels: DataFrame | None, **options) -> dict[str, float]:
-    """The seeds and what the labels teach. A word whose beginning is in the lexicon too counts by its own entry and
-    not by the beginning: only the longest entries stay that no shorter one of as much weight covers."""
-    terms = (learned(docs, labels, **options) if labels is not None else {}) | SEEDS
-    stems = sorted((t[:-1] for t in terms if t.endswith("*")), key=len)
-    covered = lambda t, own: any(t != s and t.startswith(s) for s in stems if s != own)
-    return {t: w for t, w in terms.items() if t in SEEDS or not covered(t.removesuffix("*"), t.removesuffix("*") if t.endswith("*") else None)}
+    """The seeds and what the labels teach."""
+    return (learned(docs, labels, **options) if labels is not None else {}) | SEEDS
 
 
 def scored(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text", exceptions: tuple[str, ...] = EXCEPTIONS, into: str = "toxicity") -> DataFrame:

@@ -14,7 +14,7 @@ def test_run_is_the_stages_by_hand(spark, documents, labels, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     model = pii.trained(spark)
     rows = [(r.doc_id, r.text) for r in documents.collect()]
-    terms = toxicity.automaton(toxicity.lexicon_of(documents, labels))
+    terms = toxicity.Matcher(toxicity.lexicon_of(documents, labels))
     rows = [r for r in rows if not (lambda s: s[0] >= toxicity.THRESHOLD and s[1] >= toxicity.MIN_WEIGHT)(toxicity.score(r[1], terms))]
     drop = {2, 3, 10}
     rows = [r for r in dict.fromkeys(rows) if r[0] not in drop]

@@ -60,6 +60,21 @@ class TestHtml:
         assert text("") == "" and text("<") == "<" and text("<style>a") == ""
         assert text("<div>" * 3000 + "deep") == "deep"
 
+    def test_long_broken_markup_takes_time_in_proportion(self):
+        import time
+
+        mega = 1_000_000
+        for text in ("<a" * (mega // 2), "<div>" * 100_000 + "</x>" * 100_000, "<b>" * 100_000 + "<li></li>" * 50_000, "<a \"" * (mega // 4) + ">", "<a '\"" * (mega // 5), "<!" * (mega // 2), "<i>" * 50_000 + "<p>x" * 50_000, "<a \"x'" * 50_000 + "<p>" * 50_000, "<" * mega):
+            begin = time.process_time()
+            html_template.text_of(html_template.parse(text)[0], set())
+            assert time.process_time() - begin < 12
+
+    def test_tags_end_outside_quotes(self):
+        text = lambda s: html_template.text_of(html_template.parse(s)[0], set())[0]
+        assert text('<a title="x > y">in</a> out') == "in out" and text("<p title='a\">'>b") == "b"
+        assert text('<a title="no end>in') == '<a title="no end>in' and text("<br/>a<img src=x/>b") == "ab"
+        assert text("<script/>a<!-- never closed") == "a" and text("a <3 b <? x ?> c") == "a <3 b c"
+
     def test_clashing_columns_and_empty(self, spark, pages):
         from pyspark.sql import functions as F
 
@@ -279,3 +294,19 @@ class TestArchives:
 
     def test_empty(self, pages):
         assert warc.deduplicated(pages.limit(0)).count() == 0
+
+
+def test_republished_articles_stay_and_templates_go(spark):
+    def own(i, article, nav="Home and all news", notice=""):
+        return (i, f"https://a.example.com/en/{i}", f"<html><head><title>T{i}</title></head><body><nav><ul><li>{nav}</ul></nav><div>{notice}</div><article><h1>About {article} at length</h1><p>{prose(article, 30)}</p></article><footer>All rights of no. {i % 2}</footer></body></html>")
+
+    rows = [own(i, i) for i in range(20)] + [own(20 + i, 7, nav=f"The shelf number {i}") for i in range(5)] + [own(3, 3)] * 4
+    got = {r.page_id: r for r in html_template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(25):
+        article = i if i < 20 else 7
+        assert f"About {article} at length\n{prose(article, 30)}" in got[i].text and "All rights" not in got[i].text
+    assert "Home and" not in got[3].text and got[3].deleted == 2
+    # a notice longer than any article, on all pages, is nobody's content
+    rows = [own(i, i if i < 20 else 7, notice=prose(99, 200)) for i in range(24)]
+    got = html_template.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.deleted == 3 and prose(99, 200) not in r.text and prose(r.page_id if r.page_id < 20 else 7, 30) in r.text for r in got)
