@@ -12,6 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The registries' suffixes and those under which the synthetic crawl gives names to its sites, as a private section would.
+SUFFIXES = (*url_reputation.SUFFIXES, "example.com", "example.net", "example.org")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"))
 
@@ -24,7 +28,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page shows the document whose number its path ends in: the label of that document is the page's outcome."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.try_to_number(F.regexp_extract("url", r"/[a-z]{2}/([0-9]+)", 1), F.lit("999999999999999999")).cast("long").alias("key"))
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("key"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0).alias("bad"))
-    return url_reputation.filtered(pages, labels)
+    return url_reputation.filtered(pages, labels, suffixes=SUFFIXES)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,7 +110,7 @@ h2 AS (SELECT 1 / (CASE WHEN d > 0 THEN least(greatest((q - u) / d, 0.001::DOUBL
 h3 AS (SELECT host, (s * m + k) / (s + n) AS mean, s + n AS weight FROM h0, h2),
 bound AS (SELECT host, round(mean, 6) AS mean, round(greatest(mean - 1.645::DOUBLE * sqrt(mean * (1 - mean) / (weight + 1)), 0.0::DOUBLE), 6) AS lower FROM h3)
 SELECT page_id, url, host, mean, lower, lower <= 0.30::DOUBLE AS kept FROM part JOIN bound USING (host)
-""" % {"suffixes": ", ".join(f"'{x}'" for x in url_reputation.SUFFIXES)},
+""" % {"suffixes": ", ".join(f"'{x}'" for x in SUFFIXES)},
     "op5_exact_top_k": """
 WITH tok AS (
   SELECT row_no, doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS w

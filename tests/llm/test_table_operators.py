@@ -107,6 +107,7 @@ class TestUrls:
 
     def test_is_brute_force(self, spark):
         r = random.Random(1)
+        suffixes = (*url_reputation.SUFFIXES, "example.com")
         hosts = [("www.bad.example.com", 0.9, 60), ("m.bad.example.com", 0.9, 2), ("www.good.example.com", 0.05, 60), ("m.good.example.com", 0.05, 3), ("one.co.uk", 0.3, 20), ("two.co.uk", 0.3, 0), ("solo", 0.5, 3)]
         rows, out = [], []
         for h, p, n in hosts:
@@ -119,16 +120,16 @@ class TestUrls:
         units = []
         for h, _, _ in hosts:
             parts = h.split(".")
-            suffix = ".".join(parts[-2:]) if ".".join(parts[-2:]) in url_reputation.SUFFIXES else parts[-1]
+            suffix = ".".join(parts[-2:]) if ".".join(parts[-2:]) in suffixes else parts[-1]
             domain = ".".join(parts[-suffix.count(".") - 2 :])
             own = [bad[i] for i, u, _ in rows if u == f"http://{h}/x" and i in bad]
             units.append((h, domain, suffix, sum(own), len(own)))
         want = self.brute(units, (sum(bad.values()) + 0.5) / (len(bad) + 1))
-        got = {r.host: r for r in url_reputation.reputation(pages, outcomes).collect()}
+        got = {r.host: r for r in url_reputation.reputation(pages, outcomes, suffixes).collect()}
         for h, (mean, weight) in want.items():
             assert got[h].mean == pytest.approx(mean)
             assert got[h].lower == pytest.approx(max(mean - 1.645 * math.sqrt(mean * (1 - mean) / (weight + 1)), 0))
-        kept = {r.host: r.kept for r in url_reputation.filtered(pages, outcomes).collect()}
+        kept = {r.host: r.kept for r in url_reputation.filtered(pages, outcomes, suffixes=suffixes).collect()}
         assert not kept["www.bad.example.com"] and kept["www.good.example.com"] and got["m.bad.example.com"].mean > got["m.good.example.com"].mean
 
     def test_cases(self, spark):
@@ -140,6 +141,19 @@ class TestUrls:
         assert url_reputation.filtered(pages, odd).count() == 5
         assert url_reputation.filtered(pages.limit(0), odd).count() == 0
 
+    def test_long_urls_clashing_columns_and_suffixes(self, spark):
+        from pyspark.sql import functions as F
+
+        rows = [(1, "http://a.com.sg/" + "x" * 1_000_000, 1), (2, "http://" + "h" * 100_000 + ".com/", 2), (3, "http://u:p@b.co.za/", 3), (4, "http://com.sg/", 4)]
+        pages = spark.createDataFrame(rows, "page_id long, url string, key long")
+        outcomes = spark.createDataFrame([(1, 1), (3, 0)], "key long, bad int")
+        got = {r.page_id: r for r in url_reputation.filtered(pages, outcomes).collect()}
+        assert got[1].host == "a.com.sg" and got[2].host == "h" * 100_000 + ".com"
+        parts = {r.host: (r.domain, r.suffix) for r in pages.select(*url_reputation.parts_of(F.col("url"))).collect()}
+        assert parts["a.com.sg"] == ("a.com.sg", "com.sg") and parts["b.co.za"] == ("b.co.za", "co.za") and parts["com.sg"] == ("com.sg", "com.sg")
+        odd = pages.select("*", *[F.lit("x").alias(c) for c in ("host", "domain", "suffix", "k", "n", "m", "mean", "bad", "seen", "lower", "kept")])
+        assert rows_of(url_reputation.filtered(odd, outcomes)) == rows_of(url_reputation.filtered(pages, outcomes))
+
 
 class TestTopK:
     def brute(self, docs, text, k):
