@@ -9,9 +9,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylvan.operators.lineage import cut, discard, shared_dir, small_batches
+from sylvan.operators.lineage import cut, discard, scratch_dir, shared_dir, small_batches
 
-__all__ = ["BATCH_CHARS", "BROADCAST_BYTES", "discard", "maybe_broadcast", "shared_dir", "small_batches", "stored", "text_batches"]
+__all__ = ["BATCH_CHARS", "BROADCAST_BYTES", "discard", "maybe_broadcast", "scratch_dir", "shared_dir", "small_batches", "stored", "text_batches"]
 
 #: A side is broadcast up to so many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20

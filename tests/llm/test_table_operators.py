@@ -309,6 +309,46 @@ class TestArchives:
     def test_empty(self, pages):
         assert warc.deduplicated(pages.limit(0)).count() == 0
 
+    def test_header_values_come_back(self):
+        for value in ["a\r\nWARC-Type: metadata", " outer ", "\t", "", "caf\u00e9 100%25", "\u00a0x\u2028", "x" * 100_000, "\x00"]:
+            (_, h, _), = warc.records(io.BytesIO(warc.record("response", [("WARC-Target-URI", value), ("WARC-Page-ID", "7")], b"")))
+            assert h["warc-target-uri"] == value and h["warc-type"] == "response" and h["warc-page-id"] == "7"
+
+    @pytest.mark.parametrize("stored_first", [False, True])
+    def test_odd_urls_ids_ties_and_columns(self, spark, tmp_path, stored_first):
+        from pyspark.sql import functions as F
+
+        rows = [("p10", "http://x/\r\nWARC-Type: metadata\r\n", "one"), ("p9", " http://y ", "one"), (None, "http://z", "two"), (None, None, "two"), ("p1", None, "two"), ("p10", "http://x/\r\nWARC-Type: metadata\r\n", "one"), ("x" * 50, "u", None), ("q", "u", "")]
+        df = spark.createDataFrame(rows, "page_id string, url string, html string").repartition(3)
+        if stored_first:
+            df.write.parquet(f"{tmp_path}/pages")
+            df = spark.read.parquet(f"{tmp_path}/pages")
+        odd = df.select("*", *[F.lit("x").alias(c) for c in ("file", "at", "bucket", "copies", "keep", "payload_digest", "original", "o_id", "_metadata")])
+        got = sorted(repr((r.page_id, r.url, r.warc_type, r.payload_length, r.refers_to)) for r in warc.deduplicated(odd).collect())
+        want = [(rows[0][0], rows[0][1], "response", 3, None), ("p9", " http://y ", "revisit", 3, "p10"), ("p1", None, "response", 3, None), (None, "http://z", "revisit", 3, "p1"), (None, None, "revisit", 3, "p1"), ("q", "u", "response", 0, None), ("x" * 50, "u", "revisit", 0, "q")]
+        assert got == sorted(map(repr, want))
+        numbers = spark.createDataFrame([(2.5, "u", "a"), (10.0, "v", "a")], "page_id double, url string, html string")
+        assert {(r.page_id, r.warc_type, r.refers_to) for r in warc.deduplicated(numbers).collect()} == {(2.5, "response", None), (10.0, "revisit", 2.5)}
+
+    def test_archives_with_revisits_become_deduplicated_archives(self, spark, tmp_path):
+        own = lambda page, url, date, payload: [("WARC-Page-ID", page), ("WARC-Target-URI", url), ("WARC-Date", date), ("WARC-Payload-Digest", warc.digest_of(payload)), ("WARC-Record-ID", warc.urn(page))]
+        a, b, big = b"alpha", b"beta", b"c" * 3_000_000
+        first = warc.record("warcinfo", [], b"about") + warc.record("response", own("1", "u1", "2024-01-02", a), warc.http(a)) + warc.record("revisit", own("2", "u\n2", "2024-01-03", b), b"") + warc.record("response", own("3", "u3", "2024-01-01", big), warc.http(big))
+        second = warc.record("response", own("4", "u4", "2024-01-01", a), b"HTTP/1.1 200 OK\r\nX-Own: kept\r\n\r\n" + a) + warc.record("response", own("5", "u5", "2024-01-05", b), warc.http(b)) + warc.record("revisit", [*own("6", "u6", "2024-01-01", b"lost"), ("WARC-Refers-To-Target-URI", "gone"), ("WARC-Refers-To-Date", "2020-01-01")], b"")
+        (tmp_path / "in").mkdir()
+        (tmp_path / "in" / "a.warc.gz").write_bytes(first)
+        (tmp_path / "in" / "b.warc").write_bytes(gzip.decompress(second))
+        (tmp_path / "in" / "c.warc.gz").write_bytes(warc.record("response", own("1", "u1", "2024-01-02", a), warc.http(a)))
+        paths = spark.createDataFrame([(f"file://{tmp_path}/in/{n}",) for n in ("a.warc.gz", "b.warc", "c.warc.gz", "a.warc.gz")], "path string")
+        got = {r.page_id: r for r in warc.rewritten(spark, paths, f"file://{tmp_path}/out").collect()}
+        assert {k: (r.warc_type, r.refers_to, r.payload_length) for k, r in got.items()} == {"1": ("revisit", "4", 5), "2": ("revisit", "5", 4), "3": ("response", None, 3_000_000), "4": ("response", None, 5), "5": ("response", None, 4), "6": ("revisit", None, None)}
+        assert got["2"].url == "u\n2" and (got["6"].refers_to_uri, got["6"].refers_to_date) == ("gone", "2020-01-01") and len(got) == 6
+        blocks = {h["warc-page-id"]: block for f in (tmp_path / "out").glob("*.warc.gz") for _, h, block in warc.records(io.BytesIO(f.read_bytes()))}
+        assert blocks["4"].startswith(b"HTTP/1.1 200 OK\r\nX-Own: kept") and blocks["3"] == warc.http(big) and blocks["1"] == b""
+        again = warc.rewritten(spark, spark.createDataFrame([(f"file://{f}",) for f in (tmp_path / "out").glob("*.warc.gz")], "path string"), f"file://{tmp_path}/again").collect()
+        assert sorted((r.page_id, r.warc_type, r.refers_to) for r in again) == sorted((r.page_id, r.warc_type, r.refers_to) for r in got.values())
+        assert warc.rewritten(spark, paths.limit(0), f"file://{tmp_path}/none").count() == 0
+
 
 def test_republished_articles_stay_and_templates_go(spark):
     def own(i, article, nav="Home and all news", notice=""):
