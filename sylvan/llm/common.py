@@ -25,7 +25,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return cut(df, name)
 
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` marked for broadcast if its rows are estimated, from their number and the width of its longest strings, to
     take at most ``limit`` bytes, else as it is (the join then shuffles). Reads ``df`` once: give a stored table."""
     long = [F.coalesce(F.max(F.octet_length(c)), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]

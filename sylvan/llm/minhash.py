@@ -5,11 +5,13 @@ signatures is the number of symbols in which they differ. The signature is split
 pigeonhole principle two signatures at distance ``RADIUS`` or less differ in at most ``RADIUS // chunks`` symbols of
 some chunk. Each chunk therefore emits one key for every way to leave that many symbols out, and every pair within the
 radius shares a key. Buckets are verified against the whole signatures, so the search is exact for the signature
-distance: no partner or candidate is capped.
+distance: no partner or candidate is capped. Keys are sorted by Spark and read as a stream; a bucket of more than ``BIG``
+members is cut into blocks, and every two blocks are a bucket of their own, so that no task compares more at a time.
 
 Defined cases: a null text, or one without a word, has no signature and is in no group. Texts of fewer than three words
 have one shingle, the whole text. Repeated rows and equal ids are documents of their own and group by their texts.
-A group's representative is its smallest non-null ``doc_id``. Further columns are carried or ignored, never read.
+A group's representative is its smallest non-null ``doc_id``. An empty table has no rows; texts of any length are hashed
+whole. Further columns are carried or ignored, never read.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.llm.common import maybe_broadcast, small_batches, stored, text_batches
+from sylvan.llm.common import discard, maybe_broadcast, small_batches, stored, text_batches
 
 K, CHUNK, RADIUS, SHINGLE = 64, 4, 31, 3
+#: Members of a bucket that is verified as one; keys, and members of buckets, of one task.
+BIG, TASK_KEYS, TASK_MEMBERS = 4096, 4_000_000, 1_000_000
 _WORD = re.compile(r"\w+")
 _U64, _U32 = np.uint64, np.uint32
 _MIX1, _MIX2 = _U64(0xBF58476D1CE4E5B9), _U64(0x94D049BB133111EB)
@@ -129,30 +133,60 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[:-1][some], edge[1:][some]
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct member lists of this partition's buckets of two or more."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-    if not parts:
-        return
-    key, nid = (np.concatenate(x) for x in zip(*parts, strict=True))
-    parts.clear()
-    order = np.lexsort((nid, key))
-    key, nid = key[order], nid[order]
-    seen = set()
-    out: list[np.ndarray] = []
-    held = 0
-    for s, e in zip(*_runs(key), strict=True):
-        members = np.unique(nid[s:e])
-        if len(members) < 2 or (d := xxhash.xxh3_128_digest(members.tobytes())) in seen:
+def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Members of each key of two or more, from batches (key, nid) in order of the key."""
+    own, parts = None, []  # the key that may go on in the next batch
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        seen.add(d)
-        out.append(members)
-        held += len(members)
-        if held > 500_000:
+        key, nid = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if parts and key[0] == own:
+            n = len(key) if key[-1] == own else int(np.argmax(key != own))
+            parts.append(nid[:n])
+            key, nid = key[n:], nid[n:]
+            if not len(key):
+                continue
+        if parts:
+            yield np.concatenate(parts)
+        last = int(np.argmax(key == key[-1]))
+        for s, e in zip(*_runs(key[:last]), strict=True) if last else ():
+            yield nid[s:e]
+        own, parts = key[-1], [nid[last:]]
+    if parts:
+        yield np.concatenate(parts)
+
+
+def _blocked(members: np.ndarray, big: int) -> Iterator[np.ndarray]:
+    """``members`` whole, or every two of its blocks together."""
+    if len(members) <= big:
+        yield members
+        return
+    blocks = np.array_split(members, -(-len(members) // (big // 2)))
+    for a, b in combinations(blocks, 2):
+        yield np.concatenate([a, b])
+
+
+def _buckets(big: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct member lists of this partition's buckets of two or more."""
+        seen = set()
+        out: list[np.ndarray] = []
+        held = 0
+        for some in _streamed(batches):
+            members = np.unique(some)
+            if len(members) < 2 or (d := xxhash.xxh3_128_digest(members.tobytes())) in seen:
+                continue
+            seen.add(d)
+            for part in _blocked(members, big):
+                out.append(part)
+                held += len(part)
+                if held > 500_000:
+                    yield _lists(out)
+                    out, held = [], 0
+        if out:
             yield _lists(out)
-            out, held = [], 0
-    if out:
-        yield _lists(out)
+
+    return run
 
 
 def _lists(members: list[np.ndarray]) -> pa.RecordBatch:
@@ -220,7 +254,7 @@ def components(edges: DataFrame) -> DataFrame:
         return pairs.join(least, "u")
 
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = stored(edges, "edges")
+    before = edges = stored(edges, "edges")
     mark = None
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -228,7 +262,9 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.where("v < u").distinct()
         small = smallest(down)
         edges = small.select(F.col("v").alias("a"), F.col("m").alias("b")).union(small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        edges = stored(edges, "edges")
+        old, edges = before, stored(edges, "edges")
+        discard(old)
+        before = edges
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -237,12 +273,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_edges(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Star edges (a, b) of ``nodes`` (nid, sig) whose components are those of all pairs within ``radius``."""
+    """Star edges (a, b) of ``nodes`` (nid, sig), a stored table, whose components are those of all pairs within ``radius``.
+    Tasks are as many as the keys and the members need."""
+    session = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = lambda rows, most: max(-(-rows // most), min(session, -(-rows // (most // 16))), 1)
     keys = nodes.select("nid", "sig").mapInArrow(_keys(radius, chunk), "key long, nid long")
-    buckets = keys.repartition("key").mapInArrow(_buckets, "members array<long>").distinct()
+    keys = keys.repartition(tasks(nodes.count() * K, TASK_KEYS), "key").sortWithinPartitions("key")
+    buckets = keys.mapInArrow(_buckets(BIG), "members array<long>").distinct()
     buckets = stored(buckets.select(F.monotonically_increasing_id().alias("bucket"), "members"), "buckets")
+    total = buckets.agg(F.sum(F.size("members").cast("long"))).first()[0] or 0
     members = buckets.select("bucket", F.explode("members").alias("nid")).join(nodes.select("nid", "sig"), "nid")
-    return members.select("bucket", "nid", "sig").repartition("bucket").mapInArrow(_verify(radius), "a long, b long")
+    return members.select("bucket", "nid", "sig").repartition(tasks(total, TASK_MEMBERS), "bucket").mapInArrow(_verify(radius), "a long, b long")
 
 
 def _grouped(docs: DataFrame, radius: int, id_col: str, text_col: str) -> DataFrame:
@@ -274,11 +315,11 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "d
     kept = F.col("doc_id").eqNullSafe(F.col("k.doc_id")) & (F.col("text_hash") == F.col("k.text_hash"))
     marks = stored(rows.join(best, "root").select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__h"), "copies", kept.alias("kept")), "marks")
     drop, repeated = marks.where("not kept").select("__d", "__h"), marks.where("kept and copies > 1").select("__d", "__h")
-    again = repeated.count()
+    again = repeated.limit(1).count()
     out = docs.withColumn(name, F.xxhash64(F.col(text_col)))
     same = F.col(id_col).eqNullSafe(F.col("__d")) & (F.col(name) == F.col("__h"))
     out = out.join(maybe_broadcast(drop), same, "left_anti")
     if again:
-        side = maybe_broadcast(repeated, again)
+        side = maybe_broadcast(repeated)
         out = out.join(side, same, "left_anti").unionByName(out.join(side, same, "left_semi").dropDuplicates([id_col, name]))
     return out.drop(name)

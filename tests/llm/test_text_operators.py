@@ -375,7 +375,43 @@ class TestNearDuplicates:
         x, y = minhash.chunk_keys(a, minhash.RADIUS, minhash.CHUNK), minhash.chunk_keys(b, minhash.RADIUS, minhash.CHUNK)
         assert all(set(p) & set(q) for p, q in zip(x.tolist(), y.tolist(), strict=True))
 
-    def test_is_brute_force(self, spark):
+    def brute(self, docs, radius=minhash.RADIUS):
+        """Signatures in plain integers, every pair compared, components by relabelling."""
+        import xxhash
+
+        m64, m32 = (1 << 64) - 1, (1 << 32) - 1
+
+        def mix(x):
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & m64
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & m64
+            return x ^ x >> 31
+
+        seeds = [mix(i * 0x9E3779B97F4A7C15 & m64) >> 32 for i in range(1, 129)]
+        signs = {}
+        for i, text in docs:
+            words = [xxhash.xxh64_intdigest(w) for w in re.findall(r"\w+", (text or "").lower())]
+            n = min(3, len(words))
+            if not n:
+                continue
+            shingles = set()
+            for k in range(len(words) - n + 1):
+                total = 0
+                for w in words[k : k + n]:
+                    total = (total * 0x9E3779B97F4A7C15 + w) & m64
+                shingles.add(mix((total + n) & m64) >> 32)
+            signs[i] = [(min(((seeds[j] | 1) * x + seeds[64 + j]) & m32 for x in shingles) * 0x9E3779B1 & m32) >> 16 for j in range(64)]
+        label = {i: i for i in signs}
+        for i in signs:
+            for j in signs:
+                if i < j and label[i] != label[j] and sum(a != b for a, b in zip(signs[i], signs[j], strict=True)) <= radius:
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label = {k: new if v == old else v for k, v in label.items()}
+        groups = defaultdict(set)
+        for i, g in label.items():
+            groups[g].add(i)
+        return {k: v for k, v in groups.items() if len(v) > 1}
+
+    def copies(self):
         r = random.Random(9)
         rows = []
         for g in range(40):
@@ -383,16 +419,31 @@ class TestNearDuplicates:
             for _ in range(r.choice([1, 1, 2, 5])):
                 copy = [w if r.random() > r.choice([0, 0.03, 0.15]) else "edited" for w in base]
                 rows.append((len(rows), " ".join(copy)))
-        docs = spark.createDataFrame(rows, "doc_id long, text string")
-        signed = sorted(minhash.signatures(docs).collect(), key=lambda x: x.doc_id)
-        root = minhash.linked(np.stack([np.frombuffer(x.sig, "<u2") for x in signed]), minhash.RADIUS)
-        want = defaultdict(set)
-        for i, g in enumerate(root):
-            want[int(g)].add(i)
+        return rows
+
+    @pytest.mark.parametrize("big", [4096, 4])
+    def test_is_brute_force(self, spark, tmp_path, monkeypatch, big):
+        from sylvan.llm import entries
+
+        monkeypatch.setattr(minhash, "BIG", big)
+        monkeypatch.setattr(minhash, "TASK_KEYS", 600)
+        rows = self.copies()
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
         got = defaultdict(set)
-        for x in minhash.near_duplicates(docs).collect():
-            got[x.group_id].add(x.doc_id)
-        assert dict(got) == {k: v for k, v in want.items() if len(v) > 1}
+        for x in entries.op10_minhash_near_dedup(spark, str(tmp_path)).collect():
+            got[x.duplicate_of].add(x.doc_id)
+        assert dict(got) == self.brute(rows)
+
+    def test_a_hot_bucket_is_every_two_blocks(self):
+        members = np.arange(1000)
+        lists = list(minhash._blocked(members, 64))
+        assert {(a, b) for x in lists for a in x.tolist() for b in x.tolist() if a < b} == {(a, b) for a in range(1000) for b in range(a + 1, 1000)} and max(map(len, lists)) <= 64
+        import pyarrow as pa
+
+        key = np.array([1, 1, 2, 3, 3, 3, 3, 3, 4, 5, 5])
+        for size in (1, 2, 3, 11):
+            batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(np.arange(len(key))[i : i + size])], ["key", "nid"]) for i in range(0, len(key), size)]
+            assert [m.tolist() for m in minhash._streamed(iter(batches)) if len(m) > 1] == [[0, 1], [3, 4, 5, 6, 7], [9, 10]]
 
     def test_long_chains_are_one_component(self, spark):
         edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
