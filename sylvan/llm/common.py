@@ -26,9 +26,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``df`` marked for broadcast if its rows are estimated, from their number and the width of its longest strings, to
+    """``df`` marked for broadcast if its rows are estimated, from their number and the width of its longest strings and arrays, to
     take at most ``limit`` bytes, else as it is (the join then shuffles). Reads ``df`` once: give a stored table."""
-    long = [F.coalesce(F.max(F.octet_length(c)), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary")]
+    long = [F.coalesce(F.max(F.octet_length(c) if t in ("string", "binary") else 16 * F.size(c)), F.lit(0)) for c, t in df.dtypes if t in ("string", "binary") or t.startswith("array")]
     n, *sizes = df.agg(F.count("*"), *long).first()
     return F.broadcast(df) if n * (sum(sizes) + 16 * len(df.columns)) <= limit else df
 

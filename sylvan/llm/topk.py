@@ -1,16 +1,18 @@
 """Exact top-k search by BM25 with block-at-a-time pruning.
 
 Runs of consecutive documents form blocks. A block keeps a forward index: for each document the query terms it holds with
-their counts. Per block, the largest weight of each term gives, summed over a query's terms, a bound on the score of any
-document in it. A first pass scores for each query the best-bounded block of every task; the k-th best score so found is
-a floor for all. The second pass takes a query's blocks by falling bound, scores them through their forward indexes, and
-stops as soon as the bounds fall below the k-th best score. Nothing that could enter the result is left out.
+their counts. A table of its own keeps each block's largest weight of each term; summed over a query's terms, these bound
+the score of any document in the block. A query's blocks are taken by falling bound, over all tasks, in rounds: the next
+``FIRST`` blocks, then ``GROWTH`` times as many, and so on. A round scores its blocks alone, through their forward indexes;
+the others are not read to Python. The k-th best score so far is the query's floor, and the query is done as soon as the
+bound of its next block is below it. Nothing that could enter the result is left out.
 
 Scores are rounded to 6 decimals; equal ones rank by ``doc_id``, nulls last. Each distinct term of a query counts once.
 
-Defined cases: texts that are null or hold no word are no documents and match nothing; a query without a word of the
-corpus has no result; repeated rows, of documents as of queries, are answered apiece (queries by their id and text);
-a query has fewer than k rows where fewer documents share a term; further columns are ignored.
+Defined cases: texts that are null or hold no word are no documents and match nothing; texts of any length are read whole; a
+query without a word of the corpus has no result; repeated rows, of documents as of queries, are answered apiece (queries
+by their id and text); a query has fewer than k rows where fewer documents share a term; an empty table gives no rows;
+further columns are ignored. Queries pass through the driver, ``QUERIES_A_PASS`` at a time.
 """
 
 from __future__ import annotations
@@ -27,12 +29,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sylvan.llm.common import stored, text_batches
+from sylvan.llm.common import discard, maybe_broadcast, stored, text_batches
 
 K1, B = 1.2, 0.75
-BLOCK_DOCS, BLOCKS_HELD = 256, 64
+BLOCK_DOCS = 256
+#: Blocks of each query in the first round, and how many times more in each further one.
+FIRST, GROWTH = 2, 8
 #: Queries of one pass over the index; more are answered in more passes.
 QUERIES_A_PASS = 2_000
+#: How many blocks and queries there were, and pairs of both that were scored, since the count was last cleared.
+PRUNED: Counter = Counter()
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -86,10 +92,11 @@ class Scorer:
         tf = block["counts"].astype(np.float64)
         return self.idf[block["terms"]] * tf * (K1 + 1) / (tf + norm)
 
-    def bounds(self, block: dict) -> np.ndarray:
-        most = np.zeros(len(self.idf))
-        np.maximum.at(most, block["terms"], block["weights"])
-        return np.add.reduceat(np.append(most[self.terms], 0.0), self.edges[:-1]) * (np.diff(self.edges) > 0)
+    def bounds(self, terms: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Of each query, from a block's terms and their largest weights."""
+        dense = np.zeros(len(self.idf))
+        dense[terms] = most
+        return np.add.reduceat(np.append(dense[self.terms], 0.0), self.edges[:-1]) * (np.diff(self.edges) > 0)
 
     def score(self, block: dict, query: int) -> np.ndarray:
         chosen = np.zeros(len(self.idf), bool)
@@ -98,49 +105,76 @@ class Scorer:
         return np.round(np.add.reduceat(np.append(held, 0.0), block["starts"][:-1]) * (np.diff(block["starts"]) > 0), 6)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], scorer: Scorer, most: int) -> Iterator[list[dict]]:
-    """Blocks with their weights, ``most`` at a time."""
-    held: list[dict] = []
-    for batch in batches:
-        for i in range(batch.num_rows):
-            block = {n: np.array(batch.column(n)[i].values) for n in ("lengths", "starts", "terms", "counts")}
-            block["ids"] = batch.column("doc_ids")[i].values
-            block["weights"] = scorer.weights(block)
-            held.append(block)
-            if len(held) == most:
-                yield held
-                held = []
-    if held:
-        yield held
+def _maxima(scorer: Scorer):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = {n: np.array(batch.column(n)[i].values) for n in ("lengths", "starts", "terms", "counts")}
+                terms = np.array(batch.column("distinct")[i].values)
+                most = np.zeros(len(scorer.idf))
+                np.maximum.at(most, block["terms"], scorer.weights(block))
+                yield pa.RecordBatch.from_arrays([batch.column("block").slice(i, 1), pa.array([terms], pa.list_(pa.int32())), pa.array([most[terms]], pa.list_(pa.float64()))], ["block", "terms", "most"])
+
+    return run
+
+
+def _next(scorer: Scorer, floors: np.ndarray, marks: dict[str, np.ndarray], n: int):
+    """Of each query that isn't done, this task's ``n`` first blocks by (falling bound, block) that come after its mark and
+    whose bound reaches its floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = np.flatnonzero(marks["open"])
+        blocks, bounds = [], []
+
+        def rows() -> pa.RecordBatch:
+            block, bound = np.array(blocks, np.int64), np.stack(bounds)
+            which, place = [], []
+            for q in open_:
+                b = bound[:, q]
+                after = (b < marks["bound"][q]) | (b == marks["bound"][q]) & (block > marks["block"][q])
+                found = np.flatnonzero(after & (b > 0) & (b + 2e-6 >= floors[q]))
+                found = found[np.lexsort((block[found], -b[found]))][:n]
+                which.append(found)
+                place.append(np.full(len(found), q))
+            which, place = np.concatenate(which or [np.zeros(0, np.int64)]), np.concatenate(place or [np.zeros(0, np.int64)])
+            return pa.RecordBatch.from_arrays([pa.array(place.astype(np.int64)), pa.array(block[which]), pa.array(bound[which, place] if len(which) else np.zeros(0))], ["place", "block", "bound"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                blocks.append(batch.column("block")[i].as_py())
+                bounds.append(scorer.bounds(np.array(batch.column("terms")[i].values), np.array(batch.column("most")[i].values)))
+                if len(blocks) == 4096:
+                    yield rows()
+                    blocks, bounds = [], []
+        if blocks:
+            yield rows()
+
+    return run
 
 
-def _search(scorer: Scorer, floors: np.ndarray, first_only: bool):
+def _scored(scorer: Scorer, floors: np.ndarray):
+    """The best documents of this task's blocks (with the ``places`` of the queries they are scored for)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor = floors.copy()
-        n = len(floor)
-        best: list[list[tuple[float, object]]] = [[] for _ in range(n)]
-        id_type = pa.int64()
-        for held in _blocks(batches, scorer, BLOCKS_HELD):
-            id_type = held[0]["ids"].type
-            bounds = np.stack([scorer.bounds(b) for b in held])
-            for q in range(n):
-                order = np.argsort(-bounds[:, q], kind="stable")
-                for i in order[:1] if first_only else order:
-                    bound = bounds[i, q]
-                    if bound <= 0 or bound + 2e-6 < floor[q]:
-                        break
-                    scores = scorer.score(held[i], q)
+        floor, best = floors.copy(), {}
+        id_type = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = {n: np.array(batch.column(n)[i].values) for n in ("lengths", "starts", "terms", "counts")}
+                block["weights"], ids = scorer.weights(block), batch.column("doc_ids")[i].values
+                id_type = ids.type
+                for q in batch.column("places")[i].as_py():
+                    scores = scorer.score(block, q)
                     hits = np.flatnonzero((scores > 0) & (scores >= floor[q]))
-                    if not len(hits):
-                        continue
-                    ids = held[i]["ids"].take(pa.array(hits)).to_pylist()
-                    pool = best[q] + list(zip(scores[hits].tolist(), ids, strict=True))
-                    pool.sort(key=lambda x: (-x[0], x[1] is None, x[1] if x[1] is not None else 0))
-                    best[q] = pool[: scorer.k]
-                    if len(best[q]) == scorer.k:
-                        floor[q] = max(floor[q], best[q][-1][0])
-        rows = [(q, i, s) for q in range(n) for s, i in best[q]]
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], pa.float64())], ["place", "doc_id", "score"])
+                    if len(hits):
+                        pool = best.get(q, []) + list(zip(scores[hits].tolist(), ids.take(pa.array(hits)).to_pylist(), strict=True))
+                        pool.sort(key=lambda x: (-x[0], x[1] is None, x[1] if x[1] is not None else 0))
+                        best[q] = pool[: scorer.k]
+                        if len(best[q]) == scorer.k:
+                            floor[q] = max(floor[q], best[q][-1][0])
+        if best:
+            rows = [(q, i, s) for q, own in best.items() for s, i in own]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], id_type), pa.array([r[2] for r in rows], pa.float64())], ["place", "doc_id", "score"])
 
     return run
 
@@ -169,7 +203,7 @@ def _answer(docs: DataFrame, batch: list[tuple[object, list[str]]], k: int, id_c
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     ints = T.ArrayType(T.IntegerType())
     schema = T.StructType([T.StructField("doc_ids", T.ArrayType(kinds["doc_id"])), *(T.StructField(c, ints) for c in ("lengths", "starts", "terms", "counts", "distinct")), T.StructField("dfs", T.ArrayType(T.LongType()))])
-    index = stored(rows.mapInArrow(_index(vocabulary), schema), "forward")
+    index = stored(rows.mapInArrow(_index(vocabulary), schema).withColumn("block", F.monotonically_increasing_id()), "forward")
     size = index.select(F.size("doc_ids").cast("long").alias("n"), F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x).alias("l")).agg(F.sum("n"), F.sum("l")).first()
     n, total = size[0] or 0, size[1] or 0
     idf = np.zeros(len(vocabulary))
@@ -180,12 +214,37 @@ def _answer(docs: DataFrame, batch: list[tuple[object, list[str]]], k: int, id_c
     terms = np.array([vocabulary[w] for _, own in batch for w in own], np.int64)
     scorer = Scorer(idf, total / n if n else 1.0, terms, edges, k)
     found = T.StructType([T.StructField("place", T.LongType()), T.StructField("doc_id", kinds["doc_id"]), T.StructField("score", T.DoubleType())])
-    blocks = index.select("doc_ids", "lengths", "starts", "terms", "counts")
-    floors = np.zeros(len(batch))
+    maxima = stored(index.mapInArrow(_maxima(scorer), "block long, terms array<int>, most array<double>"), "maxima")
     by_rank = W.partitionBy("place").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last())
-    seed = blocks.mapInArrow(_search(scorer, floors, True), found).withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") == k)
-    for r in seed.select("place", "score").toLocalIterator():
-        floors[r["place"]] = r["score"]
-    hits = blocks.mapInArrow(_search(scorer, floors, False), found).withColumn("rank", F.row_number().over(by_rank).cast("long")).where(F.col("rank") <= k)
+    by_bound = W.partitionBy("place").orderBy(F.desc("bound"), "block")
+    floors = np.zeros(len(batch))
+    marks = {"open": np.ones(len(batch), bool), "bound": np.full(len(batch), np.inf), "block": np.full(len(batch), -1)}
+    best, turn = None, FIRST
+    seen = Counter(blocks=maxima.count(), queries=len(batch))
+    while marks["open"].any():
+        pairs = maxima.mapInArrow(_next(scorer, floors, marks, turn), "place long, block long, bound double")
+        pairs = stored(pairs.withColumn("n", F.row_number().over(by_bound)).where(F.col("n") <= turn), "pairs")
+        last = {r["place"]: r for r in pairs.groupBy("place").agg(F.count("*").alias("n"), F.max_by(F.struct("bound", "block"), "n").alias("at")).collect()}
+        for q in np.flatnonzero(marks["open"]):
+            r = last.get(int(q))
+            if r is not None:
+                marks["bound"][q], marks["block"][q] = r["at"]["bound"], r["at"]["block"]
+                seen["scored"] += r["n"]
+            marks["open"][q] = r is not None and r["n"] == turn
+        if last:
+            wanted = stored(pairs.groupBy("block").agg(F.collect_list("place").alias("places")), "wanted")
+            blocks = index.select("block", "doc_ids", "lengths", "starts", "terms", "counts").join(maybe_broadcast(wanted), "block").drop("block")
+            hits = blocks.mapInArrow(_scored(scorer, floors), found)
+            hits = (hits if best is None else hits.unionByName(best)).withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= k)
+            old, best = best, stored(hits.drop("rank"), "best")
+            for r in best.groupBy("place").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") == k).collect():
+                floors[r["place"]] = r["score"]
+            for spent in (old, wanted):
+                if spent is not None:
+                    discard(spent)
+        discard(pairs)
+        turn *= GROWTH
+    PRUNED.update(seen)
     names = spark.createDataFrame([(i, b[0]) for i, b in enumerate(batch)], T.StructType([T.StructField("place", T.LongType()), T.StructField("item_id", kinds["item_id"])]))
+    hits = (best if best is not None else spark.createDataFrame([], found)).withColumn("rank", F.row_number().over(by_rank).cast("long"))
     return hits.join(F.broadcast(names), "place").select("item_id", "rank", "doc_id", "score")

@@ -171,7 +171,6 @@ class TestTopK:
 
     def test_is_brute_force(self, spark, monkeypatch):
         monkeypatch.setattr(topk, "BLOCK_DOCS", 8)
-        monkeypatch.setattr(topk, "BLOCKS_HELD", 3)
         docs = [(i, prose(i % 150, 5 + i % 37)) for i in range(200)] + [(None, prose(3, 9)), (500, None), (501, ""), (3, prose(3, 8)), (502, prose(9, 30_000))]
         asked = [(1, prose(3, 6)), (2, prose(77, 4)), (3, ""), (4, None), (5, "zzzzz"), (1, "th an"), (None, "an")]
         got = defaultdict(list)
@@ -182,6 +181,20 @@ class TestTopK:
         assert sorted(got[1], key=repr) == sorted(self.brute(docs, prose(3, 6), 7) + self.brute(docs, "th an", 7), key=repr)
         assert set(got) <= {1, 2}
 
+    def test_blocks_are_skipped_and_columns_may_clash(self, spark, monkeypatch):
+        from pyspark.sql import functions as F
+
+        monkeypatch.setattr(topk, "BLOCK_DOCS", 8)
+        topk.PRUNED.clear()
+        docs = [(i, prose(i, 30) + (" zebra" * (1 + i % 3) if i % 100 == 7 else "")) for i in range(400)]
+        df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+        asked = spark.createDataFrame([(1, "zebra zebra"), (2, "zebra")], "item_id long, text string")
+        got = sorted((r.item_id, r.rank, r.doc_id, r.score) for r in topk.top_documents(df, asked, k=2).collect())
+        assert [(i, *x) for i in (1, 2) for x in self.brute(docs, "zebra", 2)] == got
+        assert topk.PRUNED["blocks"] >= 50 and topk.PRUNED["scored"] <= 10
+        odd = df.select("*", *[F.lit("x").alias(c) for c in ("block", "place", "score", "rank", "item_id", "terms", "bound")])
+        assert sorted((r.item_id, r.rank, r.doc_id, r.score) for r in topk.top_documents(odd, asked.withColumn("rank", F.lit(1)), k=2).collect()) == got
+
     def test_empty_and_passes(self, spark, documents, empty, monkeypatch):
         asked = spark.createDataFrame([(1, "two words"), (2, prose(1, 5))], "item_id long, text string")
         assert topk.top_documents(empty, asked).count() == 0 and topk.top_documents(documents, asked.limit(0)).count() == 0
