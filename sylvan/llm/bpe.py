@@ -6,8 +6,11 @@ the one vocabulary suffix that is compatible with the state of the node it start
 are the encoding of their own concatenation). Shared prefixes are so encoded once; a word's tokens are read off backwards
 from its node.
 
-Defined cases: a null text has null tokens; an empty text has none; a text of any length is encoded whole; repeated rows
-are encoded alike; further columns are ignored. Tokens of special meaning are ordinary text.
+Defined cases: a null text has null tokens; an empty text has none; a text of any length, and a word of any length in it,
+is encoded whole; repeated rows are encoded alike; a null id is carried as null; an empty table has no rows; further columns
+are ignored, one that is named ``doc_id`` beside another id column too. Tokens of special meaning are ordinary text.
+
+The vocabulary is a file that every executor reads under the same path, once a Python worker.
 """
 
 from __future__ import annotations
@@ -28,8 +31,9 @@ from sylvan.llm.common import text_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The trie and the words are dropped and begun anew beyond so many nodes and words. Longer words are not kept.
-MAX_NODES, MAX_WORDS, LONG_WORD = 800_000, 300_000, 64
+#: The trie and the words are dropped, and begun anew with the next batch, beyond so many nodes, words, or bytes of words.
+#: Words of more than ``LONG_WORD`` bytes have a trie of their own, which goes when they are encoded: their tokens alone stay.
+MAX_NODES, MAX_WORDS, MAX_BYTES, LONG_WORD = 800_000, 300_000, 16_000_000, 64
 _BATCH = 4_000_000
 
 
@@ -53,6 +57,7 @@ class Coder:
         self.child: dict[int, int] = {}
         self.last = array("i", [-1])
         self.index: dict[str, int] = {}
+        self.held = 0
         self.starts, self.sizes, self.flat = array("q"), array("i"), array("i")
 
     def merged(self, word: bytes) -> list[int]:
@@ -106,11 +111,13 @@ class Coder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All tokens of the texts, and the number of each text's."""
         words = [self.split(t) for t in texts]
-        if len(self.index) > MAX_WORDS or len(self.last) > MAX_NODES:
+        if len(self.index) > MAX_WORDS or self.held > MAX_BYTES or len(self.last) > MAX_NODES:
             self.reset()
         index = self.index
         for word in sorted(set(chain.from_iterable(words)).difference(index)):
-            tokens = self.insert(word.encode())
+            coded = word.encode()
+            tokens = self.insert(coded)
+            self.held += len(coded)
             index[word] = len(self.starts)
             self.starts.append(len(self.flat))
             self.sizes.append(len(tokens))

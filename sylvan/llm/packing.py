@@ -6,8 +6,9 @@ smallest piece gives way to two unpacked pieces that together fill the widened g
 whose sum is largest). A text longer than a bin is cut: its full parts are bins of their own, its rest is packed as a
 piece. Each piece but a bin's first costs ``len(SEPARATOR)`` more. Texts travel once, with the one shuffle by shard.
 
-Defined cases: null and empty texts are in no bin; a null id is carried as null; repeated rows are packed as often as they
-occur; equal lengths go by id, then text; an empty table has no bins; further columns are ignored.
+Defined cases: null and empty texts are in no bin; texts of any length are packed whole; ids may be of any type that can be
+ordered (numbers, strings, dates), and a null id is carried as null; repeated rows are packed as often as they occur; equal
+lengths go by id, then text; an empty table has no bins; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -96,13 +97,12 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard_chars: int = SHARD_C
     total = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     shards = -(-total // shard_chars) or 1
     kind = rows.schema["doc_id"].dataType.simpleString()
-    ids = pa.list_(pa.string() if kind == "string" else pa.int64() if kind == "bigint" else pa.int32())
 
     def pack(key: tuple, group: pa.Table) -> pa.Table:
         shard = key[0].as_py()
         bins = pack_texts(list(zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True)), capacity, separator)
         return pa.table([
-            pa.array([shard] * len(bins), pa.int64()), pa.array(range(len(bins)), pa.int64()), pa.array([b[0] for b in bins], ids), pa.array([b[1] for b in bins], pa.list_(pa.int32())),
+            pa.array([shard] * len(bins), pa.int64()), pa.array(range(len(bins)), pa.int64()), pa.array([b[0] for b in bins], pa.list_(group.schema.field("doc_id").type)), pa.array([b[1] for b in bins], pa.list_(pa.int32())),
             pa.array([b[2] for b in bins], pa.list_(pa.int32())), pa.array([len(b[3]) for b in bins], pa.int64()), pa.array([b[3] for b in bins], pa.string()),
         ], ["shard", "bin", "doc_ids", "starts", "lengths", "used", "text"])
 

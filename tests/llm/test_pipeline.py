@@ -7,6 +7,8 @@ from sylvan.llm import entries, minhash, pii, toxicity
 
 import __spark_entry__
 
+from .conftest import rows_of
+
 
 def test_run_is_the_stages_by_hand(spark, documents, labels, tmp_path):
     documents.write.parquet(f"{tmp_path}/documents.parquet")
@@ -40,6 +42,15 @@ def test_stages_keep_the_columns(spark, documents, labels, tmp_path):
     assert minhash.RADIUS < minhash.K
 
 
+def test_empty_tables_and_clashing_columns(spark, documents, labels, empty, odd, tmp_path):
+    for name, docs, marks in (("none", empty, labels.limit(0)), ("plain", documents, labels), ("odd", odd, labels.selectExpr("*", "'x' as text", "'y' as lang"))):
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
+    pieces = lambda name: rows_of(corpus_pipeline.run(spark, f"{tmp_path}/{name}").selectExpr("explode(arrays_zip(doc_ids, starts, lengths))"))
+    assert pieces("odd") == pieces("plain")
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert {n.split("_")[0] for n in entries.QUERIES} == {f"op{i}" for i in range(1, 11)}

@@ -39,6 +39,19 @@ class TestBpe:
             w = "".join(r.choices("abcdeth ingé", k=r.randint(1, 14))).encode()
             assert c.ranks.get(w) is not None or c.insert(w) == c.merged(w)
 
+    def test_long_words_are_whole_and_leave_the_trie(self, monkeypatch):
+        c = bpe.Coder(bpe.read_ranks(bpe.VOCABULARY))
+        long = ["ab" * 400, "q" * 70, "ä" * 60]
+        for w in long:
+            assert c.encode([w])[0].tolist() == c.merged(w.encode())
+        assert len(c.last) == 1 and c.held == sum(len(w.encode()) for w in long)
+        monkeypatch.setattr(bpe, "MAX_BYTES", 100)
+        assert c.encode(["xyz"])[1].tolist() == [len(c.merged(b"xyz"))] and c.held == 3 and list(c.index) == ["xyz"]
+
+    def test_another_id_column_may_clash(self, documents):
+        rows = documents.selectExpr("doc_id + 100 as name", "lang as doc_id", "text")
+        assert rows_of(bpe.encoded(rows, id_col="name").selectExpr("doc_id - 100", "tokens")) == rows_of(bpe.encoded(documents).selectExpr("doc_id", "tokens"))
+
     def test_decoding_and_empty(self, documents, empty, odd):
         back = bpe.decoded(bpe.encoded(documents).select("doc_id", "tokens"))
         assert rows_of(back.select("doc_id", "text")) == rows_of(documents.select("doc_id", "text"))
@@ -346,6 +359,13 @@ class TestPacking:
         assert packing.packed(empty).count() == 0
         assert packing.packed(odd, capacity=1000).count() == len(bins)
 
+    @pytest.mark.parametrize("kind", ["int", "string", "double", "date", "decimal(12,2)"])
+    def test_ids_of_any_type(self, documents, kind):
+        ids = documents.selectExpr("case when doc_id is not null then " + ("date_add(date'2020-01-01', int(doc_id))" if kind == "date" else f"cast(doc_id as {kind})") + " end as doc_id", "text")
+        got = packing.packed(ids, capacity=1000)
+        assert got.schema["doc_ids"].dataType.elementType == ids.schema["doc_id"].dataType
+        assert got.selectExpr("sum(size(doc_ids))").first()[0] == packing.packed(documents, capacity=1000).selectExpr("sum(size(doc_ids))").first()[0]
+
     def test_many_shards(self, documents):
         few = packing.packed(documents, capacity=500, shard_chars=2000)
         assert few.select("shard").distinct().count() > 1
