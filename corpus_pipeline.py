@@ -1,4 +1,10 @@
-"""The corpus pipeline: each stage works on all that its predecessor kept and returns the columns of documents."""
+"""The corpus pipeline: each stage works on all that its predecessor kept and returns the columns of documents.
+
+Defined cases: a document with a null or empty text passes the first three stages and is in no sequence; one with a null id
+is judged like any other, and its id is null in the sequence; of rows repeated whole one stays; of copies the document of the
+smallest id stays; texts of any length are read whole; an empty table has no sequences; without labels the lexicon's seeds
+stand alone; further columns are carried to the last stage, whatever their names, and left out there.
+"""
 
 from __future__ import annotations
 
