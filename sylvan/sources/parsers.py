@@ -9,9 +9,12 @@ import ast
 import csv
 import io
 import json
+import os
 import re
+import shutil
 import subprocess
 import tempfile
+import warnings
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
@@ -107,29 +110,44 @@ def heading_level(raw: Column, before: Column, after: Column) -> Column:
     )
 
 
-def text_headings(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, raw, level, title) with levels on heading lines, underlined titles among them, and page marks."""
+def text_headings(docs: DataFrame, pages: bool = False) -> DataFrame:
+    """(doc_id, line, raw, level, title) with levels on heading lines, underlined titles among them, and, with ``pages``,
+    on page marks (``[PAGE 3]``)."""
     rows = outside_fences(lines(docs))
     w = _in_order()
     own = F.when(F.col("open"), heading_level(F.col("raw"), F.lag("raw").over(w), F.lead("raw").over(w)))
-    own = F.when(F.col("open") & F.trim("raw").rlike(r"^(##\s+Page\s+\d+|\[PAGE \d+\])$"), 1).otherwise(own)
+    if pages:
+        own = F.when(F.trim("raw").rlike(_PAGE), 1).otherwise(own)
     rows = rows.withColumn("own", own)
     under = F.trim(F.lead("raw").over(w))
     marked = F.col("open") & F.col("own").isNull() & (F.trim("raw") != "") & (F.length(F.trim("raw")) < 80) & under.rlike(r"^[=\-~^+#]{3,}$") & ~F.trim("raw").rlike(r"^[=\-~^+#]{3,}$")
     level = F.when(marked, F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in (("=", 1), ("-", 2), ("~", 3), ("^", 4)) for x in p]), F.substring(under, 1, 1)), F.lit(2))).otherwise(F.col("own"))
-    return rows.withColumns({"level": level, "title": F.when(level.isNotNull(), F.trim("raw"))}).drop("own", "open")
+    title = F.trim("raw")
+    if pages:
+        title = F.regexp_replace(title, _PAGE, "Page $1")
+    return rows.withColumns({"level": level, "title": F.when(level.isNotNull(), title)}).drop("own", "open")
 
 
-def plain_text(docs: DataFrame, drop_preamble: bool = True) -> DataFrame:
+def plain_text(docs: DataFrame, drop_preamble: bool = True, pages: bool = False) -> DataFrame:
     """Detected headings; a text without any is one root titled by the document's name."""
     clean = docs.select("doc_id", preprocessed(F.coalesce("text", F.lit(""))).alias("text"), *[c for c in ("doc_name",) if c in docs.columns])
-    found = cut(text_headings(clean), drop_preamble)
+    found = cut(text_headings(clean, pages), drop_preamble)
     name = F.col("doc_name") if "doc_name" in docs.columns else F.col("doc_id").cast("string")
     none = clean.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
     whole = none.select("doc_id", F.lit(1).alias("ord"), F.lit(1).alias("level"), name.alias("title"), "text", F.lit(1).alias("line_start"), F.size(F.split("text", "\n")).alias("line_end"))
     return found.unionByName(whole)
 
 
+def paged_text(docs: DataFrame, most: int = 8000) -> DataFrame:
+    """Texts (doc_id, text) with page marks: nodes at their headings, or at their pages where headings are so few that the
+    nodes would hold more than ``most`` characters on average."""
+    name = [c for c in ("doc_name",) if c in docs.columns]
+    clean = docs.select("doc_id", preprocessed(F.coalesce("text", F.lit(""))).alias("text"), *name)
+    heads = text_headings(clean).groupBy("doc_id").agg(F.count("level").alias("heads"))
+    sparse = clean.join(heads, "doc_id").where(F.length("text") / (F.col("heads") + 1) > most).select("doc_id")
+    return plain_text(clean.join(sparse, "doc_id", "left_anti")).unionByName(plain_text(clean.join(sparse, "doc_id", "left_semi"), pages=True))
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
     """A node for each paragraph, titled by its first line up to 80 characters."""
     parts = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), r"\n\s*\n")).alias("i", "raw")).withColumn("text", F.trim("raw")).where("text <> ''")
@@ -137,6 +155,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return parts.select("doc_id", ord_.alias("ord"), F.lit(1).alias("level"), F.substring(F.element_at(F.split("text", "\n"), 1), 1, 80).alias("title"), "text", ord_.alias("line_start"), ord_.alias("line_end"))
 
 
+_PAGE = r"^\[PAGE\s+(\d+)\]$"
 _MODS = r"(?:(?:public|private|protected|internal|static|abstract|final|export|default|async)\s+)*"
 CODE_RULES: dict[str, list[tuple[str, int]]] = {
     ".py": [(r"^(class\s+\w+.*)", 1), (r"^(\s*(?:async\s+)?def\s+\w+.*)", 2)],
@@ -283,8 +302,8 @@ class _Headings(HTMLParser):
                 self.heads[-1][1] = (self.heads[-1][1] + " " + s).strip()
 
 
-def html_flat(text: str, name: str) -> Flat:
-    """Headings h1 to h6, each at the first later line that holds its title; without any, one node."""
+def html_flat(text: str, name: str, bare: int = 1) -> Flat:
+    """Headings h1 to h6, each at the first later line that holds its title; without any, one node of level ``bare``."""
     p = _Headings()
     p.feed(text)
     p.close()
@@ -296,7 +315,7 @@ def html_flat(text: str, name: str) -> Flat:
             marks.append((level, title, line))
             at = line + 1
     if not marks:
-        return [(1, name, "\n".join(found), 1, len(found))]
+        return [(bare, name, "\n".join(found), 1, len(found))]
     ends = [m[2] for m in marks[1:]] + [len(found)]
     return [(level, title, "\n".join(found[s:e]), s + 1, e) for (level, title, s), e in zip(marks, ends, strict=True)]
 
@@ -410,18 +429,45 @@ def excel_flat(data: bytes, name: str, most: int = 200) -> Flat:
     return out or [(1, name, "(empty workbook)", 1, 1)]
 
 
-def pdf_flat(data: bytes, name: str) -> Flat:
-    """Pages of a PDF or e-book, if the reader package is installed."""
+def pdf(docs: DataFrame) -> DataFrame:
+    """PDFs and e-books (doc_id, content), if the reader package is installed; unreadable ones are empty."""
+
+    @F.pandas_udf("string")
+    def text(content: pd.Series, name: pd.Series) -> pd.Series:
+        return pd.Series([None if c is None else pdf_headings(pdf_text(bytes(c), n or "")) for c, n in zip(content, name, strict=True)], dtype=object)
+
+    return paged_text(docs.withColumn("text", text("content", F.col("doc_id").cast("string"))))
+
+
+def pdf_text(data: bytes, name: str) -> str:
+    """The pages that hold text, each after its mark; empty for a file that can't be read."""
     import pymupdf
 
-    pages = [p.get_text() for p in pymupdf.open(stream=data, filetype=name.rpartition(".")[2] or "pdf")]
-    return [(1, f"Page {i}", pdf_headings(t), i, i) for i, t in enumerate(pages, 1)]
+    try:
+        with pymupdf.open(stream=data, filetype=name.rpartition(".")[2] or "pdf") as book:
+            pages = [p.get_text().strip() for p in book]
+    except RuntimeError as why:
+        warnings.warn(f"{name} can't be read: {why}", stacklevel=2)
+        return ""
+    return "\n".join(f"\n[PAGE {i}]\n{t}" for i, t in enumerate(pages, 1) if t)
+
+
+#: Single words in capitals that head sections although they are short; others may be labels of tables.
+SECTION_WORDS = frozenset("ABSTRACT APPENDIX BACKGROUND CONCLUSION CONCLUSIONS DISCUSSION EVALUATION EXPERIMENTS KEYWORDS LIMITATIONS METHODOLOGY METHODS MOTIVATION OVERVIEW REFERENCES RESULTS SUMMARY".split())
+_CAPITALS = r"[A-Z][A-Z \t\-:,&/()]"
 
 
 def pdf_headings(text: str) -> str:
-    """Numbers alone on a line join the capital title that follows; capital titles get blank lines around them."""
-    text = re.sub(r"(?m)^(\d+(?:\.\d+)*\.?)\s*\n(?=[A-Z][A-Z ,&:/-]{2,}$)", r"\1 ", text)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"(?m)^([A-Z][A-Z ,&:/-]{3,})$", r"\n\1\n", text))
+    """Numbers alone on a line join the capital title on the next; capital titles of six letters or more, single words if
+    long or known to head sections, get blank lines around them."""
+
+    def apart(m: re.Match) -> str:
+        title = m[1].strip()
+        label = len(title.split()) == 1 and len(title) < 12 and title not in SECTION_WORDS
+        return m[0] if label or len(title) < 6 else f"\n{title}\n"
+
+    text = re.sub(rf"(?m)^[ \t]*(\d+(?:\.\d+)*\.?)[ \t]*\n[ \t]*({_CAPITALS}{{2,}})$", lambda m: ("\n" if m.start() else "") + f"{m[1]} {m[2].strip()}\n", text)
+    return re.sub(r"\n{3,}", "\n\n", re.sub(rf"(?m)^[ \t]*({_CAPITALS}{{2,}})$", apart, text))
 
 
 def doc_flat(data: bytes, name: str) -> Flat:
@@ -429,17 +475,35 @@ def doc_flat(data: bytes, name: str) -> Flat:
     with tempfile.NamedTemporaryFile(suffix=".doc") as f:
         f.write(data)
         f.flush()
-        for tool in (["textutil", "-convert", "txt", "-stdout"], ["antiword"], ["catdoc"]):
+        folder = tempfile.mkdtemp()  # the converter's own output, read here and removed
+        office = ["--headless", "--convert-to", "txt:Text", "--outdir", folder]
+        for tool in (["textutil", "-convert", "txt", "-stdout"], ["antiword"], ["catdoc"], ["libreoffice", *office], ["soffice", *office]):
             try:
                 done = subprocess.run([*tool, f.name], capture_output=True, timeout=60)
-            except FileNotFoundError:
+            except (FileNotFoundError, subprocess.TimeoutExpired):
                 continue
-            if not done.returncode:
-                text = done.stdout.decode("utf-8", "replace")
+            written = os.path.join(folder, os.path.basename(f.name).removesuffix(".doc") + ".txt")
+            if not done.returncode and (done.stdout.strip() or os.path.isfile(written)):
+                raw = done.stdout
+                if tool[0].endswith("office"):
+                    with open(written, "rb") as made:
+                        raw = made.read()
+                shutil.rmtree(folder)
+                text = raw.decode("utf-8", "replace")
                 return [(1, name, text, 1, text.count("\n") + 1)]
+        shutil.rmtree(folder)
     raise RuntimeError("no converter for .doc files is installed")
 
 
+def html(docs: DataFrame) -> DataFrame:
+    """Pages by their headings; those without any by the headings that their text shows."""
+    found = files(docs, lambda text, name: html_flat(text, name, bare=0))
+    bare = found.where("level = 0").select("doc_id", "text")
+    if "doc_name" in docs.columns:
+        bare = bare.join(docs.select("doc_id", "doc_name"), "doc_id")
+    return found.where("level > 0").unionByName(plain_text(bare))
+
+
 def files(docs: DataFrame, parse: Callable[[object, str], Flat], column: str = "text") -> DataFrame:
     """``parse`` over whole files (doc_id, ``column``) in Arrow batches; nulls have no nodes."""
     out = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("ord", T.IntegerType()), T.StructField("level", T.IntegerType()), T.StructField("title", T.StringType()), T.StructField("text", T.StringType()), T.StructField("line_start", T.IntegerType()), T.StructField("line_end", T.IntegerType())])
@@ -458,8 +522,8 @@ class Registry:
     def __init__(self) -> None:
         self.types = dict(SOURCE_TYPES)
         self.parsers: dict[str, Callable[[DataFrame], DataFrame]] = {
-            "markdown": markdown, "text": plain_text, "xml": lambda d: code(d, ".xml"), "json": lambda d: files(d, json_flat), "jsonl": lambda d: files(d, jsonl_flat), "csv": lambda d: files(d, csv_flat), "html": lambda d: files(d, html_flat),
-            "docx": lambda d: files(d, docx_flat, "content"), "excel": lambda d: files(d, excel_flat, "content"), "pdf": lambda d: files(d, pdf_flat, "content"), "doc": lambda d: files(d, doc_flat, "content"),
+            "markdown": markdown, "text": plain_text, "xml": lambda d: code(d, ".xml"), "json": lambda d: files(d, json_flat), "jsonl": lambda d: files(d, jsonl_flat), "csv": lambda d: files(d, csv_flat), "html": html,
+            "docx": lambda d: files(d, docx_flat, "content"), "excel": lambda d: files(d, excel_flat, "content"), "pdf": pdf, "doc": lambda d: files(d, doc_flat, "content"),
         }
 
     def register(self, extension: str, parse: Callable[[object, str], Flat] | Callable[[DataFrame], DataFrame], source_type: str | None = None, whole_frame: bool = False) -> None:

@@ -95,6 +95,24 @@ def test_file_formats():
     assert parsers.pdf_headings("2.\nTITLE HERE\nx").startswith("2. TITLE HERE")
 
 
+def test_pages_of_print(spark):
+    assert parsers.pdf_headings("x\nPB-C\nRETINA\nABSTRACT\ny") == "x\nPB-C\nRETINA\n\nABSTRACT\n\ny"
+    body = "\n[PAGE 1]\n" + "some words here. " * 40 + "\n[PAGE 2]\n" + "more words there. " * 40
+    docs = spark.createDataFrame([("few", body), ("many", parsers.pdf_headings("\n[PAGE 1]\n1.\nFIRST PART\nlow\n2.\nSECOND PART\nhigh")), ("short", "[PAGE 1]\nonly this"), ("none", None)], "doc_id string, text string")
+    got = {}
+    for r in parsers.paged_text(docs, 500).orderBy("doc_id", "ord").collect():
+        got.setdefault(r.doc_id, []).append((r.level, r.title))
+    assert got == {"few": [(1, "Page 1"), (1, "Page 2")], "many": [(1, "1. FIRST PART"), (1, "2. SECOND PART")], "short": [(1, "short")], "none": [(1, "none")]}
+
+
+def test_html_with_and_without_headings(spark):
+    docs = spark.createDataFrame([("a.html", "<h1>One</h1><p>x</p><h2>Two</h2>y", "a"), ("b.html", "<p>1. First thing</p><p>text</p><p>2. Second thing</p>", "b"), ("c.html", "<p>plain</p>", "c"), ("d.html", "", "d"), ("e.html", None, "e")], "doc_id string, text string, doc_name string")
+    got = {}
+    for r in parsers.Registry().parse(docs, ".html").orderBy("doc_id", "ord").collect():
+        got.setdefault(r.doc_id, []).append(r.title)
+    assert got == {"a.html": ["One", "Two"], "b.html": ["1. First thing", "2. Second thing"], "c.html": ["c"], "d.html": ["d"]}
+
+
 def zipped(files):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
