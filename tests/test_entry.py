@@ -10,11 +10,10 @@ from sylvan.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["tok_vocab", "summary_rule", "line_nodes", "html_nodes", "tree_levels", "node_ids", "match_and", "match_phrase", "match_near", "bm25_columns", "grep_lines", "propagate_scores", "merge_global", "anchors", "batch_search", "node_diff", "debounce_sessions", "eval_metrics"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 
 
-@pytest.mark.parametrize("name", SOME)
+@pytest.mark.parametrize("name", sorted(catalogue.ORACLE))
 def test_query_is_its_sql(spark, name):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
