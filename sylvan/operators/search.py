@@ -7,9 +7,11 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sylvan.config import Config
 from sylvan.operators import index, score, tree, walk
@@ -87,26 +89,39 @@ def attached(top: DataFrame, nodes: DataFrame, text_mode: str = "full", include_
     return out
 
 
+def shares(sizes: DataFrame, most: int, keys: list[str]) -> DataFrame:
+    """(keys, rank, chars) of the texts that get a part of ``most`` characters, of ``sizes`` (keys, rank, place, total, n):
+    the place from 1 among all ``total`` texts of a group and the length. A text that isn't empty takes one character at
+    least while some are left, so only the first ``most`` such texts of a group can get any, and only they are brought together."""
+    kind = sizes.schema
+    out = T.StructType([*(kind[c] for c in (*keys, "rank")), T.StructField("chars", T.IntegerType())])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place")
+        left, taken = most, []
+        for place, total, n in zip(pdf["place"].tolist(), pdf["total"].tolist(), pdf["n"].tolist(), strict=True):
+            if left <= 0:
+                break
+            taken.append(min(max(left // (total - place + 1), 1), n))
+            left -= taken[-1]
+        return pdf[: len(taken)].assign(chars=taken)[out.names]
+
+    first = sizes.where("n > 0").withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy("place"))).where(F.col("__k") <= most)
+    return first.drop("__k").groupBy(*keys).applyInPandas(run, out)
+
+
 def budgeted(flat: DataFrame, most: int = 32_000, by: str | None = None) -> DataFrame:
     """``flat`` with texts cut in rank order: each node gets an even share of what is left, what it leaves flows on. Lengths
     alone are brought together; each text is cut where its row is. ``rank`` is unique (within ``by``)."""
     keys = [by] if by else []
-    sizes = flat.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("rank"), F.coalesce(F.length("text"), F.lit(0)).alias("n")))).alias("rows"))
-    n = F.size("rows")
-    start = F.struct(F.lit(most).alias("left"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("shares"))
-
-    def step(a, x):
-        share = F.when(a["left"] > 0, F.greatest(F.floor(a["left"] / (n - a["i"])).cast("int"), F.lit(1))).otherwise(0)
-        taken = F.least(share, x["n"])
-        return F.struct((a["left"] - taken).alias("left"), (a["i"] + 1).alias("i"), F.concat(a["shares"], F.array(taken)).alias("shares"))
-
-    shares = sizes.withColumn("shares", F.aggregate("rows", start, step)["shares"]).select(*keys, F.explode(F.arrays_zip("rows", "shares")).alias("x"))
-    shares = shares.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("x.rows.rank").alias("__rank"), F.col("x.shares").alias("__share"))
+    sizes = flat.select(*keys, "rank", F.coalesce(F.length("text"), F.lit(0)).alias("n"))
+    sizes = sizes.withColumns({"place": F.row_number().over(W.partitionBy(*keys).orderBy("rank")), "total": F.count("*").over(W.partitionBy(*keys))})
+    got = shares(sizes, most, keys).select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("rank").alias("__rank"), F.col("chars").alias("__chars"))
     same = F.col("rank") == F.col("__rank")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-    cut_ = flat.join(shares, same)
-    return cut_.select(*[F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.col("__share")).alias("text") if c == "text" else F.col(c) for c in flat.columns])
+    cut_ = flat.join(got, same, "left")
+    return cut_.select(*[F.substring(F.coalesce("text", F.lit("")), F.lit(1), F.coalesce("__chars", F.lit(0))).alias("text") if c == "text" else F.col(c) for c in flat.columns])
 
 
 def node_scores(corpus: Corpus, mode: Q.Mode, config: Config, docs: DataFrame | None = None, pre_filter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from sylvan import cli
 from sylvan.config import COMPAT, Config
 from sylvan.functions import text as X
-from sylvan.operators import evaluate, index, score, search, tree, walk
+from sylvan.operators import evaluate, index, order, score, search, tree, walk
 from sylvan.operators.lineage import cut
 from sylvan.plans import query as Q
 from sylvan.sources import discovery, parsers
@@ -217,6 +217,37 @@ def test_budget(spark):
     assert [len(r.text) for r in search.budgeted(rows, 100).orderBy("rank").collect()] == [10, 30, 30, 0]
 
 
+def test_budget_of_large_groups(spark):
+    """Groups with more texts than characters, unevenly long, empty ones between, places with gaps."""
+    r = random.Random(5)
+    rows = [(by, 3 * i + 1, r.choice([0, 1, 1, 2, 5, 400])) for by, n in (("a", 900), ("b", 4), (None, 60)) for i in range(n)]
+    want = {}
+    for by in ("a", "b", None):
+        own, left = [x for x in rows if x[0] == by], 500
+        for i, (_, rank, n) in enumerate(own):
+            got = min(max(left // (len(own) - i), 1) if left > 0 else 0, n)
+            want[by, rank], left = got, left - got
+    df = spark.createDataFrame([(by, rank, "x" * n) for by, rank, n in rows], "by string, rank int, text string").repartition(5)
+    assert {(x.by, x.rank): len(x.text) for x in search.budgeted(df, 500, "by").collect()} == want
+    # a text's share is found without a step of the size of all the shares before it
+    many = spark.range(40_000).select(F.lit("x").alias("by"), F.col("id").alias("rank"), F.lit("ab").alias("text"))
+    assert "aggregate(" not in search.budgeted(many, 50, "by")._jdf.queryExecution().analyzed().toString()
+    assert search.budgeted(many, 50, "by").agg(F.sum(F.length("text"))).first()[0] == 50
+
+
+def test_numbers_over_all_tasks(spark):
+    r = random.Random(6)
+    rows = [(by, k) for by, n in (("a", 5000), ("b", 1), (None, 300)) for k in range(n)]
+    r.shuffle(rows)
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small tables would be one task
+    try:
+        got = order.numbered(spark.createDataFrame(rows, "by string, k int").repartition(7), ["by"], ["k"])
+        assert {(x.by, x.k): x.ord for x in got.collect()} == {(by, k): k + 1 for by, k in rows}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
 def test_functions(spark):
     one = spark.range(1)
     got = one.select(X.tokens(F.lit("Café user_login-x 12 ß")), X.cjk_tokens(F.lit("全文检索 ab")), X.summary(F.lit("x" * 700)), X.highlight(F.lit("An apple"), ["app"]), X.normal_answer(F.lit("The $5.2 Million!"))).first()
