@@ -63,11 +63,24 @@ def evidence_match(evidence: DataFrame, nodes: DataFrame, chars: tuple[int, ...]
     """(query_id, doc_id, node_id): nodes whose text holds the evidence's beginning, the longest that is found anywhere; or,
     with a ``title`` in both, whose title is the evidence's."""
     norm = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))
-    heads = cut(evidence.select("query_id", F.posexplode(F.array(*[F.substring(norm(F.col("text")), 1, n) for n in chars])).alias("i", "head")).where("head <> ''"))
+    # whoever holds a beginning holds the shortest one, and each word with white space on both sides of it as a word of its own
+    inner = lambda c: F.filter(F.slice(F.split(c, " "), 2, F.greatest(F.size(F.split(c, " ")) - 2, F.lit(0))), lambda w: w != "")
+    longest = lambda c: F.aggregate(inner(c), F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    begun = evidence.select("query_id", norm(F.col("text")).alias("__t"))
+    begun = begun.select("query_id", longest(F.substring("__t", 1, min(chars))).alias("word"), F.posexplode(F.array(*[F.substring("__t", 1, n) for n in chars])).alias("i", "head"))
+    heads = cut(begun.where("head <> ''"))
     passes = -(-heads.count() // EVIDENCE_HEADS) or 1
     texts = nodes.select("doc_id", "node_id", norm(F.col("text")).alias("t"))
     parts = [heads.where(F.pmod(F.xxhash64("head"), F.lit(passes)) == k) for k in range(passes)] if passes > 1 else [heads]
-    hits = reduce(DataFrame.unionByName, [texts.join(F.broadcast(h), F.contains(F.col("t"), F.col("head"))).select("query_id", "i", "doc_id", "node_id") for h in parts])
+    got = ["query_id", "i", "doc_id", "node_id"]
+    hits = []
+    for h in parts:
+        words = h.where("word <> ''").agg(F.collect_set("word").alias("__words"))
+        some = texts.crossJoin(F.broadcast(words)).select("doc_id", "node_id", "t", F.explode(F.array_intersect(F.split("t", " "), "__words")).alias("word"))
+        hits.append(some.join(F.broadcast(h), (some["word"] == h["word"]) & F.contains(F.col("t"), F.col("head"))).select(*got))
+        if not h.where("word = ''").isEmpty():  # no word is whole: held against every text
+            hits.append(texts.join(F.broadcast(h.where("word = ''")), F.contains(F.col("t"), F.col("head"))).select(*got))
+    hits = reduce(DataFrame.unionByName, hits)
     hits = cut(hits)
     best = hits.groupBy("query_id").agg(F.min("i").alias("i"))
     found = hits.join(best, ["query_id", "i"]).select("query_id", "doc_id", "node_id")

@@ -248,6 +248,26 @@ def test_numbers_over_all_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", was)
 
 
+def test_evidence_by_words_and_without(spark):
+    """Beginnings with whole words in them are looked up by one; those without are held against every text."""
+    texts = ["xx the quick brown fox jumps over the lazy dog and runs", "unquick brown fox", "a QUICK\nbrown  fox jumps", "whole", "unwholesome", "", None, "quick browned"]
+    docs = spark.createDataFrame([(i, "n1", x) for i, x in enumerate(texts)], "doc_id int, node_id string, text string")
+    asked = [(0, "ick Brown fox"), (1, "quick brown fox jumps over a fence"), (2, "hole"), (3, "no such words at all"), (4, ""), (5, None), (6, "quick bro")]
+    evidence = spark.createDataFrame(asked, "query_id int, text string")
+    clean = lambda x: " ".join((x or "").lower().split())
+    want = set()
+    for q, x in asked:
+        for n in (20, 12, 5):
+            found = {(q, i) for i, d in enumerate(texts) if clean(x)[:n] and clean(x)[:n] in clean(d)}
+            if found:
+                want |= found
+                break
+    out = evaluate.evidence_match(evidence, docs, (20, 12, 5))
+    assert {(r.query_id, r.doc_id) for r in out.collect()} == want
+    long = evaluate.evidence_match(spark.createDataFrame([(1, "quick brown fox jumps")], "query_id int, text string"), docs)
+    assert {r.doc_id for r in long.collect()} == {0, 2}
+
+
 def test_functions(spark):
     one = spark.range(1)
     got = one.select(X.tokens(F.lit("Café user_login-x 12 ß")), X.cjk_tokens(F.lit("全文检索 ab")), X.summary(F.lit("x" * 700)), X.highlight(F.lit("An apple"), ["app"]), X.normal_answer(F.lit("The $5.2 Million!"))).first()
