@@ -207,10 +207,8 @@ def batch_search(corpus: Corpus, queries: DataFrame, config: Config | None = Non
     """Many plain queries (query_id, query) in one plan: routed documents, normalised and propagated scores, the best
     nodes of each (query_id, doc_id, node_id, doc_rank, node_rank, score)."""
     c = config or Config()
-    raw = cut(score.bm25_batch(corpus.postings, corpus.stats, queries, c.weights, corpus.cut))
-    per_doc = raw.groupBy("query_id", "doc_id").agg(F.max("score").alias("best"))
-    docs = per_doc.withColumn("doc_rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc(F.round("best", 9)), "doc_id"))).where(F.col("doc_rank") <= c.top_k_docs)
-    norm = raw.join(docs, ["query_id", "doc_id"]).withColumn("score", F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0))
+    norm = cut(score.batch_routed(corpus.postings, corpus.stats, queries, c.top_k_docs, c.weights, corpus.cut))
+    norm = norm.withColumn("score", F.when(F.col("best") > 0, F.col("score") / F.col("best")).otherwise(0.0))
     parents = corpus.nodes.where("parent_node_id is not null").select("doc_id", "node_id", "parent_node_id")
     up = norm.join(parents, ["doc_id", "node_id"]).groupBy("query_id", "doc_id", "doc_rank", F.col("parent_node_id").alias("node_id")).agg((c.ancestor_decay * F.max("score")).alias("score"))
     total = norm.select("query_id", "doc_id", "doc_rank", "node_id", "score").unionByName(up).groupBy("query_id", "doc_id", "doc_rank", "node_id").agg(F.sum("score").alias("score"))

@@ -248,6 +248,29 @@ def test_numbers_over_all_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", was)
 
 
+@pytest.mark.parametrize("most", [1, 60, 10**6])
+def test_best_documents_by_blocks(spark, monkeypatch, most):
+    """The best documents of many queries as from all scores: many nodes a document, equal documents, blocks of any size."""
+    monkeypatch.setattr(score, "BLOCK_SCORES", most)
+    r = random.Random(9)
+    words = "alpha beta gamma delta eps zeta eta".split()
+    nodes = [(f"d{d:03}", f"n{n}", "", " ".join(r.choice(words) for _ in range(r.randint(0, 6)))) for d in range(60) for n in range(r.randint(1, 5))]
+    nodes += [("e" + d, n, a, x) for d, n, a, x in nodes[:40]]  # equal documents: the first by id
+    df = spark.createDataFrame(nodes, "doc_id string, node_id string, title string, text string")
+    posts = cut(index.postings(index.fields(df)))
+    stats = index.stats_of(posts, df)
+    asked = spark.createDataFrame([(i, " ".join(r.sample(words, r.randint(1, 4)))) for i in range(9)] + [(9, "nothing"), (10, None)], "query_id int, query string")
+    everything = {}
+    for x in score.bm25_batch(posts, stats, asked).collect():
+        everything.setdefault(x.query_id, {}).setdefault(x.doc_id, {})[x.node_id] = x.score
+    want = {}
+    for q, docs in everything.items():
+        for n, d in enumerate(sorted(docs, key=lambda d: (-round(max(docs[d].values()), 9), d))[:3], 1):
+            want |= {(q, d, i): (n, round(v, 9)) for i, v in docs[d].items()}
+    got = score.batch_routed(posts, stats, asked, 3).collect()
+    assert {(x.query_id, x.doc_id, x.node_id): (x.doc_rank, round(x.score, 9)) for x in got} == want and len(got) == len(want)
+
+
 def test_evidence_by_words_and_without(spark):
     """Beginnings with whole words in them are looked up by one; those without are held against every text."""
     texts = ["xx the quick brown fox jumps over the lazy dog and runs", "unquick brown fox", "a QUICK\nbrown  fox jumps", "whole", "unwholesome", "", None, "quick browned"]
