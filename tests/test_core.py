@@ -248,6 +248,21 @@ def test_numbers_over_all_tasks(spark):
         spark.conf.set("spark.sql.adaptive.enabled", was)
 
 
+def test_parents_across_stretches(spark, monkeypatch):
+    monkeypatch.setattr(tree, "STRETCH", 7)
+    r = random.Random(3)
+    docs = {d: [r.choice([1, 2, 3, 3, 4, 4, 5, 5, 5]) for _ in range(n)] for d, n in (("a", 90), ("b", 3), ("c", 14))}
+    docs["d"] = [1, 2] + [3] * 40
+    rows = [(d, i, n) for d, levels in docs.items() for i, n in enumerate(levels, 1)]
+    out = tree.with_parents(spark.createDataFrame(rows, "doc_id string, ord int, level int").repartition(3))
+    assert "__stretch" in out._jdf.queryExecution().analyzed().toString()  # no window holds a whole document
+    assert "__stretch" not in out.columns
+    out = out.collect()
+    assert {(x.doc_id, x.ord): x.parent_ord or 0 for x in out} == {(d, i): p for d, levels in docs.items() for i, p in enumerate(tree.stack_parents(levels), 1)}
+    at = {(x.doc_id, x.ord): x for x in out}
+    assert all(x.depth == len(x.path) - 1 and (not x.parent_ord or at[x.doc_id, x.parent_ord].path == x.path[:-1]) for x in out)
+
+
 @pytest.mark.parametrize("most", [1, 60, 10**6])
 def test_best_documents_by_blocks(spark, monkeypatch, most):
     """The best documents of many queries as from all scores: many nodes a document, equal documents, blocks of any size."""
