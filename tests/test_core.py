@@ -263,6 +263,16 @@ def test_parents_across_stretches(spark, monkeypatch):
     assert all(x.depth == len(x.path) - 1 and (not x.parent_ord or at[x.doc_id, x.parent_ord].path == x.path[:-1]) for x in out)
 
 
+def test_texts_join_trees_last(spark):
+    """Windows and ids of a tree go by titles; no text is in their way, and none is lost."""
+    turns = spark.createDataFrame([("x", i, "user", f"text {i}") for i in range(5)] + [("y", 0, "user", None)], "conv_id string, turn int, role string, text string")
+    flat = parsers.conversations(turns)
+    with_text = [w for w in tree.build(flat)._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window" in w and "__title" in w and "text" in w]
+    assert not with_text
+    got = {(r.doc_id, r.ord): r.text for r in tree.build(flat).collect()}
+    assert got == {("conv-x", 1): "", ("conv-y", 1): "", ("conv-y", 2): ""} | {("conv-x", i + 2): f"text {i}" for i in range(5)}
+
+
 @pytest.mark.parametrize("most", [1, 60, 10**6])
 def test_best_documents_by_blocks(spark, monkeypatch, most):
     """The best documents of many queries as from all scores: many nodes a document, equal documents, blocks of any size."""
