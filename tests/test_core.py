@@ -296,6 +296,16 @@ def test_best_documents_by_blocks(spark, monkeypatch, most):
     assert {(x.query_id, x.doc_id, x.node_id): (x.doc_rank, round(x.score, 9)) for x in got} == want and len(got) == len(want)
 
 
+def test_postings_are_sorted_in_small_batches(spark):
+    """Words sorted at a time, and rows sent to Python at a time, stay small whatever the tables are."""
+    assert index.BATCH_WORDS <= 250_000
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = spark.createDataFrame([("a", "1", "", "Über über UBER x_y 语言处理 ŵ")], "doc_id string, node_id string, title string, text string")
+    got = {(p.term, p.tf) for p in index.postings(index.fields(df, with_summary=False)).collect()}
+    assert got == {("uber", 3), ("x", 1), ("y", 1), ("语言", 1), ("言处", 1), ("处理", 1), ("w", 1)}
+    assert 0 < spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) <= 8 << 20
+
+
 def test_evidence_by_words_and_without(spark):
     """Beginnings with whole words in them are looked up by one; those without are held against every text."""
     texts = ["xx the quick brown fox jumps over the lazy dog and runs", "unquick brown fox", "a QUICK\nbrown  fox jumps", "whole", "unwholesome", "", None, "quick browned"]
